@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import round_doubles
+from pyspark import StorageLevel
+
 from ..operators import kmeans as km
+from ..operators import profile as pr
 from ..operators.features import FEATURES, listing_features
 from ..operators.preprocess import impute_median
 from ..operators.segments import canonical_ids, name_segments, relabel
@@ -25,11 +28,13 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def register(name: str, sql: str | None = None, bits: int | None = 20):
+def register(name: str, sql: str | None = None, bits: int | None = 20, keep=()):
+    """Register a query; doubles are snapped to a 2^-bits grid except ``keep``
+    columns (already rounded to decimals by the operator itself)."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = fn(spark, sf_dir)
-            return round_doubles(out, bits) if bits is not None else out
+            return round_doubles(out, bits, exclude=keep) if bits is not None else out
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -67,6 +72,29 @@ class Context:
             self._ref = scoring.reference_centroids(self.model).cache()
         return self._ref
 
+    @property
+    def vf(self) -> DataFrame:
+        if getattr(self, "_vf", None) is None:
+            self._vf = pr.value_frequency(self.source).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._vf
+
+    @property
+    def summary(self) -> DataFrame:
+        return pr.column_summary(self.vf)
+
+    @property
+    def types(self) -> DataFrame:
+        return pr.column_types(self.source)
+
+    @property
+    def profile(self) -> DataFrame:
+        return pr.column_profile(self.summary, self.types)
+
+    @property
+    def row_count(self):
+        """Scalar subquery: number of listing rows (one value, evaluated once per plan)."""
+        return self.source.select(F.count(F.lit(1))).scalar()
+
     def ref_labels(self) -> DataFrame:
         """Canonically relabelled assignment to the reference centroids."""
         raw = km.assign_segments(self.model.scaled, self.ref_centroids)
@@ -202,3 +230,7 @@ def q_segment_summary(spark, sf_dir):
     j = labels.join(c.model.features, "seller_nickname")
     return j.groupBy("cluster_id", "segment_name").agg(
         F.count(F.lit(1)).alias("sellers"), *[F.avg(f).alias(f) for f in FEATURES])
+
+
+# register the remaining query groups
+from . import q_profile  # noqa: E402,F401
