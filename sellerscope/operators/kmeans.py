@@ -93,28 +93,40 @@ def quantile_profile_centroids(scaled: DataFrame, probs=(0.1, 0.5, 0.9), columns
     return q.groupBy(F.element_at(ids, F.col("p")).alias("cluster_id")).agg(*aggs)
 
 
-def fit_kmeans(scaled: DataFrame, k: int, columns=FEATURES, *, n_init: int = 10, max_iter: int = 300,
-               tol: float = 1e-4, seed: int = 42):
-    """Fit k-means ``n_init`` times (seeds ``seed .. seed+n_init-1``), keep the lowest
-    cost.  Returns ``(centroids DataFrame, cost)``; centroids have ids 0..k-1."""
+def _fit_once(vec: DataFrame, k: int, seed: int, max_iter: int, tol: float):
     from pyspark.ml.clustering import KMeans
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, initMode="k-means||",
+                   featuresCol="features").fit(vec)
+    return model, float(model.summary.trainingCost)
+
+
+def _vectors(scaled: DataFrame, columns) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
+    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled).select("features")
+
 
+def _run_fits(vec: DataFrame, jobs, max_iter: int, tol: float, parallelism: int):
+    """Run (k, seed) fits concurrently: each Lloyd iteration is a small Spark job,
+    so independent restarts share the cluster instead of queueing."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        futs = [pool.submit(_fit_once, vec, k, seed, max_iter, tol) for k, seed in jobs]
+        return [f.result() for f in futs]
+
+
+def fit_kmeans(scaled: DataFrame, k: int, columns=FEATURES, *, n_init: int = 10, max_iter: int = 300,
+               tol: float = 1e-4, seed: int = 42, parallelism: int = 10):
+    """Fit k-means ``n_init`` times (seeds ``seed .. seed+n_init-1``, run concurrently),
+    keep the lowest cost.  Returns ``(centroids DataFrame, cost)``; ids 0..k-1."""
     if k < 2:
         raise ValueError("k-means needs k >= 2; use total_sum_squares for k = 1")
-    vec = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled).select("features")
-    vec = vec.persist()
-    best = None
+    vec = _vectors(scaled, columns).persist()
     try:
-        for i in range(n_init):
-            model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, initMode="k-means||",
-                           featuresCol="features").fit(vec)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (model, cost)
+        vec.count()
+        fits = _run_fits(vec, [(k, seed + i) for i in range(n_init)], max_iter, tol, parallelism)
     finally:
         vec.unpersist()
-    model, cost = best
+    model, cost = min(fits, key=lambda mc: mc[1])
     spark = scaled.sparkSession
     rows = [(i, *[float(x) for x in center]) for i, center in enumerate(model.clusterCenters())]
     schema = "cluster_id int, " + ", ".join(f"{c} double" for c in columns)
@@ -122,17 +134,18 @@ def fit_kmeans(scaled: DataFrame, k: int, columns=FEATURES, *, n_init: int = 10,
 
 
 def inertia_curve(scaled: DataFrame, ks=range(1, 15), columns=FEATURES, *, n_init: int = 10,
-                  max_iter: int = 300, seed: int = 42) -> DataFrame:
-    """``(k, inertia)`` for each k; k = 1 is the total sum of squares."""
-    scaled = scaled.select(*columns).persist()
-    out = []
+                  max_iter: int = 300, tol: float = 1e-4, seed: int = 42, parallelism: int = 16) -> DataFrame:
+    """``(k, inertia)`` for each k (best of ``n_init`` restarts); k = 1 is the total sum of squares."""
+    ks = [int(k) for k in ks]
+    out = {}
+    if 1 in ks:
+        out[1] = float(total_sum_squares(scaled, columns).collect()[0]["total_sum_squares"])
+    vec = _vectors(scaled, columns).persist()
     try:
-        for k in ks:
-            if k == 1:
-                v = scaled.transform(lambda d: total_sum_squares(d, columns)).collect()[0]["total_sum_squares"]
-            else:
-                v = fit_kmeans(scaled, k, columns, n_init=n_init, max_iter=max_iter, seed=seed)[1]
-            out.append((int(k), float(v)))
+        vec.count()
+        jobs = [(k, seed + i) for k in ks if k > 1 for i in range(n_init)]
+        for (k, _), (_, cost) in zip(jobs, _run_fits(vec, jobs, max_iter, tol, parallelism)):
+            out[k] = min(out.get(k, float("inf")), cost)
     finally:
-        scaled.unpersist()
-    return scaled.sparkSession.createDataFrame(out, "k int, inertia double")
+        vec.unpersist()
+    return scaled.sparkSession.createDataFrame(sorted(out.items()), "k int, inertia double")

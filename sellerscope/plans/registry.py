@@ -234,3 +234,5 @@ def q_segment_summary(spark, sf_dir):
 
 # register the remaining query groups
 from . import q_profile  # noqa: E402,F401
+from . import q_sellers  # noqa: E402,F401
+from . import q_cluster  # noqa: E402,F401
