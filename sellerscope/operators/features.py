@@ -35,12 +35,13 @@ def listing_features(listings: DataFrame, *, seller="seller_nickname", price="pr
 
 def seller_features(listings: DataFrame, *, seller="seller_nickname", stock="stock", price="price",
                     category="category_id", condition="condition", refurbished="is_refurbished",
-                    approx_distinct: bool = False) -> DataFrame:
-    """``(seller, nine doubles)``; sellers with a NULL key are dropped (pandas groupby)."""
+                    approx_distinct: bool = False, by=()) -> DataFrame:
+    """``(seller, *by, nine doubles)``; sellers with a NULL key are dropped (pandas groupby).
+    ``by`` adds grouping keys (e.g. a snapshot period)."""
     lf = listing_features(listings)
     distinct = (F.approx_count_distinct(category) if approx_distinct else F.count_distinct(category))
     return (lf.where(F.col(seller).isNotNull())
-              .groupBy(seller)
+              .groupBy(seller, *by)
               .agg(distinct.cast("double").alias("categorias_distintas"),
                    F.avg(F.log1p(F.col(price).cast("double"))).alias("log_price_avg"),
                    F.avg(F.log1p(F.col(stock).cast("double"))).alias("log_stock_avg"),

@@ -11,7 +11,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import REPUTATION_SCORES, discount_pct, lookup
+from ..functions.expressions import REPUTATION_SCORES, discount_pct, lookup, snap
 
 # Cluster id -> segment name used by the scoring command, and the
 # name for ids outside the table.
@@ -120,10 +120,10 @@ def strategy_payload(listings: DataFrame, labels: DataFrame, *, as_of: str, key=
     m = lf.groupBy(key).agg(
         F.count(F.lit(1)).alias("publicaciones"),
         F.count_distinct("category_id").alias("categorias_distintas"),
-        F.round(F.avg("stock"), 1).alias("stock_promedio"),
-        F.round(F.avg("price"), 0).cast("bigint").alias("precio_medio_cop"),
+        F.round(snap(F.avg("stock")), 1).alias("stock_promedio"),
+        F.round(snap(F.avg("price")), 0).cast("bigint").alias("precio_medio_cop"),
         F.avg(disc).alias("descuento_pct"),
-        F.round(F.avg(lookup("seller_reputation", REPUTATION_SCORES, default=0.0)), 1).alias("rep_score"),
+        F.round(snap(F.avg(lookup("seller_reputation", REPUTATION_SCORES, default=0.0))), 1).alias("rep_score"),
         (F.avg(cancellation) if cancellation else F.lit(None).cast("double")).alias("tasa_cancelacion"))
     return (m.join(labels.select(key, "cluster_id"), key)
              .select(F.lit(as_of).cast("date").alias("fecha_actual"), key,
@@ -134,18 +134,26 @@ def strategy_payload(listings: DataFrame, labels: DataFrame, *, as_of: str, key=
 def strategy_prompts(payload: DataFrame, season_col: str | None = None, key="seller_nickname") -> DataFrame:
     """Render the per-seller strategy prompt text (the text is the output; no model call)."""
     season = F.col(season_col) if season_col else F.lit(NO_CAMPAIGN)
-    price = F.format_string("%,d", F.col("precio_medio_cop"))
-    disc = F.format_string("%d%%", F.round(F.col("descuento_pct") * 100, 0).cast("bigint"))
-    canc = F.coalesce(F.format_string("%.1f%%", F.round(F.col("tasa_cancelacion") * 100, 1)), F.lit("n/d"))
+    def fmt(pattern, c, value):
+        # format_string renders a NULL argument as text ("null"), so NULL is handled first
+        return F.when(F.col(c).isNull(), F.lit("n/d")).otherwise(F.format_string(pattern, value))
+
+    price = fmt("%,d", "precio_medio_cop", F.col("precio_medio_cop"))
+    # averages of decimal data often sit exactly on a .5 display boundary; snapping
+    # to a binary grid first makes the displayed rounding deterministic
+    disc = fmt("%d%%", "descuento_pct", F.round(snap(F.col("descuento_pct")) * 100, 0).cast("bigint"))
+    canc = fmt("%.1f%%", "tasa_cancelacion", F.round(snap(F.col("tasa_cancelacion")) * 100, 1))
+    stock = fmt("%.1f", "stock_promedio", F.col("stock_promedio"))
+    rep = fmt("%.1f", "rep_score", F.col("rep_score"))
     text = F.concat(
         F.lit("Date: "), F.col("fecha_actual").cast("string"), F.lit(" | Season: "), season,
         F.lit("\nSegment: "), F.col("cluster_name"),
         F.lit("\nListings: "), F.col("publicaciones").cast("string"),
         F.lit("\nDistinct categories: "), F.col("categorias_distintas").cast("string"),
-        F.lit("\nMean stock (units): "), F.format_string("%.1f", F.col("stock_promedio")),
-        F.lit("\nMean price: $"), F.coalesce(price, F.lit("n/d")),
-        F.lit("\nMean discount: "), F.coalesce(disc, F.lit("n/d")),
-        F.lit("\nReputation: "), F.format_string("%.1f", F.col("rep_score")), F.lit("/5"),
+        F.lit("\nMean stock (units): "), stock,
+        F.lit("\nMean price: $"), price,
+        F.lit("\nMean discount: "), disc,
+        F.lit("\nReputation: "), rep, F.lit("/5"),
         F.lit("\nCancellation: "), canc,
         F.lit("\nPropose ONE priority action to raise sales and margin for this segment and season."))
     return payload.select(key, F.col("cluster_name"), text.alias("prompt"))
@@ -210,3 +218,38 @@ def churn_alerts(listings: DataFrame, labels: DataFrame, key="seller_nickname",
                  .where(F.col("rep") < F.col("prev_rep"))
                  .select(key, F.col(snapshot).alias("snapshot_on"), "prev_rep", "rep",
                          F.lit("churn_risk").alias("alert")))
+
+
+def seller_gmv(listings: DataFrame, key="seller_nickname", gmv="gmv") -> DataFrame:
+    """``(seller, gmv, rep_score)``: GMV sum and mean reputation score per seller."""
+    return (listings.where(F.col(key).isNotNull())
+                    .groupBy(key)
+                    .agg(F.sum(gmv).alias("gmv"),
+                         F.avg(lookup("seller_reputation", REPUTATION_SCORES, default=0.0)).alias("rep_score")))
+
+
+def segment_gmv_growth(listings: DataFrame, labels: DataFrame, key="seller_nickname", gmv="gmv",
+                       date="snapshot_on") -> DataFrame:
+    """Monthly GMV per segment and its change against the previous month.
+
+    The per-segment window runs over (segment, month) aggregates: one row per
+    month per segment, never over listings."""
+    monthly = (listings.join(labels.select(key, "cluster_id"), key)
+                       .groupBy("cluster_id", F.date_format(date, "yyyy-MM").alias("month"))
+                       .agg(F.sum(gmv).alias("gmv")))
+    w = Window.partitionBy("cluster_id").orderBy("month")
+    return (monthly.withColumn("prev_gmv", F.lag("gmv").over(w))
+                   .withColumn("growth", F.try_divide(F.col("gmv") - F.col("prev_gmv"), F.col("prev_gmv"))))
+
+
+def segment_migration(snapshots: DataFrame, key="seller_nickname", period="period") -> DataFrame:
+    """Sellers moving from segment a in period p to segment b in period p + 1.
+
+    An equi-join of the snapshot table with itself on (seller, period + 1):
+    each seller row meets at most one partner row."""
+    a = snapshots.select(F.col(key), F.col(period).alias("from_period"), F.col("cluster_id").alias("from_cluster"))
+    b = snapshots.select(F.col(key), (F.col(period) - 1).alias("from_period"), F.col(period).alias("to_period"),
+                         F.col("cluster_id").alias("to_cluster"))
+    return (a.join(b, [key, "from_period"])
+             .groupBy("from_period", "to_period", "from_cluster", "to_cluster")
+             .agg(F.count(F.lit(1)).alias("sellers")))

@@ -114,7 +114,7 @@ def q_renewal(spark, sf_dir):
 
 
 @register("seller_weekly_frequency", Q(
-    f"SELECT {S}, CAST(COUNT(*) AS BIGINT) AS listings, MIN(published_on) AS first_date, MAX(published_on) AS last_date, "
+    f"SELECT {S}, CAST(COUNT(*) AS BIGINT) AS listings, CAST(MIN(published_on) AS VARCHAR) AS first_date, CAST(MAX(published_on) AS VARCHAR) AS last_date, "
     + rnd("CASE WHEN date_diff('day', MIN(published_on), MAX(published_on)) > 0 THEN COUNT(*) * 7.0 / "
           "date_diff('day', MIN(published_on), MAX(published_on)) END", "listings_per_week")
     + f" FROM listings GROUP BY {S}"))

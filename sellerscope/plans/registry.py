@@ -28,12 +28,19 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """ISO text for DATE columns, so both engines hand the comparison the same value type."""
+    from pyspark.sql import types as T
+    return df.select(*[F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DateType) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def register(name: str, sql: str | None = None, bits: int | None = 20, keep=()):
     """Register a query; doubles are snapped to a 2^-bits grid except ``keep``
     columns (already rounded to decimals by the operator itself)."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = fn(spark, sf_dir)
+            out = dates_as_text(fn(spark, sf_dir))
             return round_doubles(out, bits, exclude=keep) if bits is not None else out
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -236,3 +243,4 @@ def q_segment_summary(spark, sf_dir):
 from . import q_profile  # noqa: E402,F401
 from . import q_sellers  # noqa: E402,F401
 from . import q_cluster  # noqa: E402,F401
+from . import q_segments  # noqa: E402,F401
