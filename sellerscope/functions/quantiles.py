@@ -69,7 +69,10 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
                            F.lit(0).cast("bigint").alias("below"),
                            F.col("n").alias("inside"),
                            F.lit(True).alias("open"))
-    state = state.checkpoint(eager=True) if _has_ckpt(df) else state.cache()
+    # the state table has one row per (group, column, p); it is cached, and its
+    # lineage is at most MAX_ROUNDS short steps, so losing an executor only
+    # recomputes a few small aggregates
+    state = state.cache()
 
     grid_probs = [i / grid for i in range(grid + 1)]
     for _ in range(MAX_ROUNDS):
@@ -80,7 +83,7 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
         g = (rows.groupBy(*tkeys)
                  .agg(F.percentile_approx("v", grid_probs, accuracy).alias("grid")))
         # relative ranks of the two targets inside the bracket, mapped to grid cells
-        cand = (todo.join(g, tkeys)
+        cand = (_join(todo, g, tkeys)
                     .withColumn("i_lo", F.greatest(F.floor((F.col("r1") - F.col("below")) / F.col("inside") * grid) - 1, F.lit(0)))
                     .withColumn("i_hi", F.least(F.ceil((F.col("r2") - F.col("below") + 1) / F.col("inside") * grid) + 1, F.lit(grid)))
                     .withColumn("new_lo", F.element_at("grid", (F.col("i_lo") + 1).cast("int")))
@@ -91,7 +94,7 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
         chk = (chk_rows.groupBy(*tkeys)
                        .agg(F.count_if(F.col("v") < F.col("new_lo")).alias("add_below"),
                             F.count_if((F.col("v") >= F.col("new_lo")) & (F.col("v") <= F.col("new_hi"))).alias("new_inside")))
-        upd = (cand.join(chk, tkeys, "left")
+        upd = (_join(cand, chk, tkeys, "left")
                    .withColumn("ok", (F.col("below") + F.col("add_below") <= F.col("r1")) &
                                (F.col("r2") < F.col("below") + F.col("add_below") + F.col("new_inside")) &
                                (F.col("new_inside") < F.col("inside")))
@@ -101,7 +104,7 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
                            F.when(F.col("ok"), F.col("below") + F.col("add_below")).otherwise(F.col("below")).alias("below2"),
                            F.when(F.col("ok"), F.col("new_inside")).otherwise(F.col("inside")).alias("inside2"),
                            F.col("ok").alias("open2")))
-        new_state = (state.join(upd, tkeys, "left")
+        new_state = (_join(state, upd, tkeys, "left")
                           .select(*tkeys, "n", "h", "r1", "r2",
                                   F.coalesce("lo2", "lo").alias("lo"),
                                   F.coalesce("hi2", "hi").alias("hi"),
@@ -109,7 +112,7 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
                                   F.coalesce("inside2", "inside").alias("inside"),
                                   # a bracket the sketch could not shrink is finished as is (still exact)
                                   F.coalesce("open2", "open").alias("open")))
-        new_state = new_state.checkpoint(eager=True) if _has_ckpt(df) else new_state.cache()
+        new_state = new_state.cache()
         state.unpersist()
         state = new_state
 
@@ -131,20 +134,29 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
                       .withColumn("p", F.explode(F.array(*[F.lit(p) for p in probs]))))
     else:
         all_keys = params
-    return all_keys.join(res, tkeys, "left").select(*tkeys, "quantile")
+    return _join(all_keys, res, tkeys, "left").select(*tkeys, "quantile")
+
+
+def _join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` treating NULL = NULL (a NULL group is a group, as in SQL GROUP BY).
+
+    Spark plans ``<=>`` keys as ordinary hash/sort join keys."""
+    keys = list(keys)
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        e = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def _in_bracket(long: DataFrame, bounds: DataFrame, keys, tkeys, extra=()) -> DataFrame:
     b = bounds.select(*tkeys, "lo", "hi", *extra)
-    j = long.join(b, keys)
+    j = _join(long, b, keys)
     return j.where((F.col("lo").isNull() | (F.col("v") >= F.col("lo"))) &
                    (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
 
 
-def _has_ckpt(df: DataFrame) -> bool:
-    return bool(df.sparkSession.sparkContext.getCheckpointDir())
-
-
 def quantile_row(df: DataFrame, column: str, probs, names=None) -> DataFrame:
     """One-row DataFrame with one column per probability (e.g. ``p75``)."""
     q = exact_quantiles(df, [column], probs)
