@@ -245,3 +245,4 @@ from . import q_sellers  # noqa: E402,F401
 from . import q_cluster  # noqa: E402,F401
 from . import q_segments  # noqa: E402,F401
 from . import q_explore  # noqa: E402,F401
+from . import q_sources  # noqa: E402,F401
