@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 def kneedle(curve: DataFrame, x="k", y="inertia", sensitivity: float = 1.0, fallback: int | None = 3) -> DataFrame:
     """One row ``(elbow_k, found)``."""
-    w_all = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w = Window.orderBy(x)
+    w_all = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = Window.orderBy("x")
     c = (curve.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"))
               .withColumn("i", F.row_number().over(w) - 1)
               .withColumn("n", F.count(F.lit(1)).over(w_all))

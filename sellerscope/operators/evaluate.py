@@ -138,12 +138,14 @@ def calinski_harabasz(points: DataFrame, columns=FEATURES, cluster_id="cluster_i
 def cluster_quality(scaled: DataFrame, ks=range(2, 11), columns=FEATURES, *, n_init: int = 3,
                     max_iter: int = 300, seed: int = 42) -> DataFrame:
     """``(k, silhouette, davies_bouldin, calinski_harabasz, inertia)`` for each k."""
-    from .kmeans import assign_with_features, fit_kmeans
+    from .kmeans import _centroid_frame, assign_with_features, fit_sweep
     scaled = scaled.persist()
     rows = []
     try:
+        fits = fit_sweep(scaled, ks, columns, n_init=n_init, max_iter=max_iter, seed=seed)
         for k in ks:
-            cents, cost = fit_kmeans(scaled, k, columns, n_init=n_init, max_iter=max_iter, seed=seed)
+            centres, cost = fits[k]
+            cents = _centroid_frame(scaled.sparkSession, centres, columns)
             pts = assign_with_features(scaled, cents, columns)
             sil = silhouette(pts, columns).collect()[0]["silhouette"]
             db = davies_bouldin(pts, columns).collect()[0]["davies_bouldin"]

@@ -114,12 +114,28 @@ def _run_fits(vec: DataFrame, jobs, max_iter: int, tol: float, parallelism: int)
         return [f.result() for f in futs]
 
 
+def _centroid_frame(spark, centres, columns):
+    rows = [(i, *[float(x) for x in c]) for i, c in enumerate(centres)]
+    schema = "cluster_id int, " + ", ".join(f"{c} double" for c in columns)
+    return spark.createDataFrame(rows, schema)
+
+
 def fit_kmeans(scaled: DataFrame, k: int, columns=FEATURES, *, n_init: int = 10, max_iter: int = 300,
-               tol: float = 1e-4, seed: int = 42, parallelism: int = 10):
-    """Fit k-means ``n_init`` times (seeds ``seed .. seed+n_init-1``, run concurrently),
-    keep the lowest cost.  Returns ``(centroids DataFrame, cost)``; ids 0..k-1."""
+               tol: float = 1e-4, seed: int = 42, engine: str = "batched", parallelism: int = 10):
+    """Fit k-means with ``n_init`` restarts and keep the lowest inertia.
+
+    ``engine="batched"`` (default) advances all restarts together (one pass
+    per step, see ``batch_kmeans``); ``engine="ml"`` runs Spark ML ``KMeans``
+    (k-means|| init) once per restart, concurrently.  Returns
+    ``(centroids DataFrame with ids 0..k-1, inertia)``."""
     if k < 2:
         raise ValueError("k-means needs k >= 2; use total_sum_squares for k = 1")
+    spark = scaled.sparkSession
+    if engine == "batched":
+        from .batch_kmeans import best_of, fit_many
+        fits = fit_many(scaled, [(k, i) for i in range(n_init)], columns, max_iter=max_iter, tol=tol, seed=seed)
+        centres, cost = best_of(fits, k)
+        return _centroid_frame(spark, centres, columns), float(cost)
     vec = _vectors(scaled, columns).persist()
     try:
         vec.count()
@@ -127,25 +143,26 @@ def fit_kmeans(scaled: DataFrame, k: int, columns=FEATURES, *, n_init: int = 10,
     finally:
         vec.unpersist()
     model, cost = min(fits, key=lambda mc: mc[1])
-    spark = scaled.sparkSession
-    rows = [(i, *[float(x) for x in center]) for i, center in enumerate(model.clusterCenters())]
-    schema = "cluster_id int, " + ", ".join(f"{c} double" for c in columns)
-    return spark.createDataFrame(rows, schema), float(cost)
+    return _centroid_frame(spark, model.clusterCenters(), columns), float(cost)
+
+
+def fit_sweep(scaled: DataFrame, ks, columns=FEATURES, *, n_init: int = 10, max_iter: int = 300,
+              tol: float = 1e-4, seed: int = 42) -> dict:
+    """Best centroids and inertia for every k >= 2 in ``ks`` from one batched fit:
+    ``{k: (centres ndarray, inertia)}``."""
+    from .batch_kmeans import best_of, fit_many
+    ks = [int(k) for k in ks if int(k) >= 2]
+    fits = fit_many(scaled, [(k, i) for k in ks for i in range(n_init)], columns, max_iter=max_iter, tol=tol, seed=seed)
+    return {k: best_of(fits, k) for k in ks}
 
 
 def inertia_curve(scaled: DataFrame, ks=range(1, 15), columns=FEATURES, *, n_init: int = 10,
-                  max_iter: int = 300, tol: float = 1e-4, seed: int = 42, parallelism: int = 16) -> DataFrame:
+                  max_iter: int = 300, tol: float = 1e-4, seed: int = 42) -> DataFrame:
     """``(k, inertia)`` for each k (best of ``n_init`` restarts); k = 1 is the total sum of squares."""
     ks = [int(k) for k in ks]
     out = {}
     if 1 in ks:
         out[1] = float(total_sum_squares(scaled, columns).collect()[0]["total_sum_squares"])
-    vec = _vectors(scaled, columns).persist()
-    try:
-        vec.count()
-        jobs = [(k, seed + i) for k in ks if k > 1 for i in range(n_init)]
-        for (k, _), (_, cost) in zip(jobs, _run_fits(vec, jobs, max_iter, tol, parallelism)):
-            out[k] = min(out.get(k, float("inf")), cost)
-    finally:
-        vec.unpersist()
+    for k, (_, cost) in fit_sweep(scaled, ks, columns, n_init=n_init, max_iter=max_iter, tol=tol, seed=seed).items():
+        out[k] = cost
     return scaled.sparkSession.createDataFrame(sorted(out.items()), "k int, inertia double")
