@@ -165,3 +165,115 @@ def best_of(fits: dict, k: int):
     cands = [(v[1], key[1], v[0]) for key, v in fits.items() if key[0] == k]
     inertia, _, centres = min(cands, key=lambda t: (t[0], t[1]))
     return centres, inertia
+
+
+def quality_many(scaled: DataFrame, centres_by_k: dict, columns=FEATURES) -> list[tuple]:
+    """Silhouette (squared Euclidean), Davies-Bouldin, Calinski-Harabasz and inertia
+    for several labelings (one per k, points labelled by nearest centre) in two passes.
+
+    Pass 1 collects per (k, cluster) counts, vector sums, squared-norm sums and
+    the SSE to the fitted centre; pass 2 uses those k-row summaries to add each
+    point's silhouette, its distance to its cluster mean and its squared
+    distance to that mean.  Returns ``[(k, silhouette, db, ch, inertia)]``."""
+    cols = list(columns)
+    p = len(cols)
+    data = scaled.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).na.drop()
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    ks = sorted(centres_by_k)
+    try:
+        n_total = data.count()
+        schema1 = "k int, cluster int, n long, q double, sse double, " + ", ".join(f"s{i} double" for i in range(p))
+
+        def pass1(it):
+            acc = {}
+            for pdf in it:
+                x = pdf.to_numpy(dtype=float)
+                if x.shape[0] == 0:
+                    continue
+                nx = (x * x).sum(1)
+                for k in ks:
+                    c = centres_by_k[k]
+                    lab, d2 = _assign(x, c)
+                    m = c.shape[0]
+                    sums = np.zeros((m, p))
+                    np.add.at(sums, lab, x)
+                    part = (np.bincount(lab, minlength=m), np.bincount(lab, weights=nx, minlength=m),
+                            np.bincount(lab, weights=d2, minlength=m), sums)
+                    acc[k] = part if k not in acc else tuple(a + b for a, b in zip(acc[k], part))
+            rows = [(k, j, int(a[0][j]), float(a[1][j]), float(a[2][j]), *a[3][j].tolist())
+                    for k, a in acc.items() for j in range(a[0].shape[0])]
+            yield pd.DataFrame(rows, columns=["k", "cluster", "n", "q", "sse"] + [f"s{i}" for i in range(p)])
+
+        st = (data.mapInPandas(pass1, schema1).groupBy("k", "cluster")
+                  .agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("sse").alias("sse"),
+                       *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)]).collect())
+        stats = {}
+        for r in st:
+            stats.setdefault(r["k"], {})[r["cluster"]] = (r["n"], r["q"], r["sse"], np.array([r[f"s{i}"] for i in range(p)]))
+        summ = {}
+        for k in ks:
+            m = centres_by_k[k].shape[0]
+            n = np.array([stats.get(k, {}).get(j, (0, 0.0, 0.0, np.zeros(p)))[0] for j in range(m)], dtype=float)
+            q = np.array([stats.get(k, {}).get(j, (0, 0.0, 0.0, np.zeros(p)))[1] for j in range(m)])
+            sv = np.vstack([stats.get(k, {}).get(j, (0, 0.0, 0.0, np.zeros(p)))[3] for j in range(m)])
+            summ[k] = (n, q, sv)
+        schema2 = "k int, cluster int, sil double, dist double, ssw double"
+
+        def pass2(it):
+            acc = {}
+            for pdf in it:
+                x = pdf.to_numpy(dtype=float)
+                if x.shape[0] == 0:
+                    continue
+                nx = (x * x).sum(1)
+                for k in ks:
+                    n, q, sv = summ[k]
+                    m = n.shape[0]
+                    lab, _ = _assign(x, centres_by_k[k])
+                    tot = n[None, :] * nx[:, None] - 2.0 * x @ sv.T + q[None, :]
+                    rows_i = np.arange(x.shape[0])
+                    n_own = n[lab]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        a = np.where(n_own > 1, tot[rows_i, lab] / np.maximum(n_own - 1, 1), 0.0)
+                        b_all = np.where(n[None, :] > 0, tot / np.where(n[None, :] > 0, n[None, :], 1), np.inf)
+                    b_all[rows_i, lab] = np.inf
+                    b = b_all.min(1)
+                    den = np.maximum(a, b)
+                    sil = np.where((n_own > 1) & (den > 0) & np.isfinite(b), (b - a) / np.where(den > 0, den, 1), 0.0)
+                    means = sv / np.where(n > 0, n, 1)[:, None]
+                    diff = x - means[lab]
+                    d2 = np.maximum((diff * diff).sum(1), 0.0)
+                    part = (np.bincount(lab, weights=sil, minlength=m), np.bincount(lab, weights=np.sqrt(d2), minlength=m),
+                            np.bincount(lab, weights=d2, minlength=m))
+                    acc[k] = part if k not in acc else tuple(u + v for u, v in zip(acc[k], part))
+            rows = [(k, j, float(a[0][j]), float(a[1][j]), float(a[2][j])) for k, a in acc.items() for j in range(a[0].shape[0])]
+            yield pd.DataFrame(rows, columns=["k", "cluster", "sil", "dist", "ssw"])
+
+        st2 = (data.mapInPandas(pass2, schema2).groupBy("k", "cluster")
+                   .agg(F.sum("sil").alias("sil"), F.sum("dist").alias("dist"), F.sum("ssw").alias("ssw")).collect())
+        agg2 = {}
+        for r in st2:
+            agg2.setdefault(r["k"], {})[r["cluster"]] = (r["sil"], r["dist"], r["ssw"])
+        out = []
+        for k in ks:
+            n, q, sv = summ[k]
+            live = [j for j in range(n.shape[0]) if n[j] > 0]
+            kk = len(live)
+            means = {j: sv[j] / n[j] for j in live}
+            sil = sum(agg2[k][j][0] for j in live) / n_total
+            spread = {j: agg2[k][j][1] / n[j] for j in live}
+            db = None
+            if kk > 1:
+                tot = 0.0
+                for i in live:
+                    tot += max((spread[i] + spread[j]) / np.linalg.norm(means[i] - means[j]) for j in live if j != i)
+                db = tot / kk
+            g = sv[live].sum(0) / n_total
+            ssb = sum(n[j] * float(((means[j] - g) ** 2).sum()) for j in live)
+            ssw = sum(agg2[k][j][2] for j in live)
+            ch = (ssb / (kk - 1)) / (ssw / (n_total - kk)) if kk > 1 and ssw > 0 and n_total > kk else None
+            inertia = sum(stats[k][j][2] for j in stats[k])
+            out.append((int(k), float(sil) if kk > 1 else None, db, ch, float(inertia)))
+        return out
+    finally:
+        data.unpersist()

@@ -135,23 +135,17 @@ def calinski_harabasz(points: DataFrame, columns=FEATURES, cluster_id="cluster_i
     return spark.createDataFrame([(k, ch)], "n_clusters int, calinski_harabasz double")
 
 
-def cluster_quality(scaled: DataFrame, ks=range(2, 11), columns=FEATURES, *, n_init: int = 3,
-                    max_iter: int = 300, seed: int = 42) -> DataFrame:
-    """``(k, silhouette, davies_bouldin, calinski_harabasz, inertia)`` for each k."""
-    from .kmeans import _centroid_frame, assign_with_features, fit_sweep
-    scaled = scaled.persist()
-    rows = []
-    try:
+def cluster_quality(scaled: DataFrame, ks=range(2, 11), columns=FEATURES, *, n_init: int = 10,
+                    max_iter: int = 300, seed: int = 42, fits: dict | None = None) -> DataFrame:
+    """``(k, silhouette, davies_bouldin, calinski_harabasz, inertia)`` for each k.
+
+    ``fits`` (``{k: (centres, inertia)}``, e.g. from the k sweep) avoids refitting;
+    all scores for all k come from two passes over the points."""
+    from .batch_kmeans import quality_many
+    from .kmeans import fit_sweep
+    ks = [int(k) for k in ks]
+    if fits is None or any(k not in fits for k in ks):
         fits = fit_sweep(scaled, ks, columns, n_init=n_init, max_iter=max_iter, seed=seed)
-        for k in ks:
-            centres, cost = fits[k]
-            cents = _centroid_frame(scaled.sparkSession, centres, columns)
-            pts = assign_with_features(scaled, cents, columns)
-            sil = silhouette(pts, columns).collect()[0]["silhouette"]
-            db = davies_bouldin(pts, columns).collect()[0]["davies_bouldin"]
-            ch = calinski_harabasz(pts, columns).collect()[0]["calinski_harabasz"]
-            rows.append((int(k), sil, db, ch, cost))
-    finally:
-        scaled.unpersist()
+    rows = quality_many(scaled, {k: fits[k][0] for k in ks}, columns)
     return scaled.sparkSession.createDataFrame(
         rows, "k int, silhouette double, davies_bouldin double, calinski_harabasz double, inertia double")

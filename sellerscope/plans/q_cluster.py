@@ -93,9 +93,19 @@ def q_cov(spark, sf_dir):
     return covariance_matrix(ctx(spark, sf_dir).model.scaled, FEATURES)
 
 
+def _sweep(c):
+    """One batched k-means sweep (k = 2..14, 10 restarts, seed 42) shared by the
+    curve, the elbow, the final fit and the quality table."""
+    if getattr(c, "_sweep", None) is None:
+        c._sweep = km.fit_sweep(c.model.scaled, range(2, 15), n_init=10, max_iter=300)
+    return c._sweep
+
+
 def _curve(c):
     if getattr(c, "_curve", None) is None:
-        c._curve = km.inertia_curve(c.model.scaled, range(1, 15), n_init=10, max_iter=300).cache()
+        tss = km.total_sum_squares(c.model.scaled).collect()[0]["total_sum_squares"]
+        rows = [(1, float(tss))] + [(k, float(v[1])) for k, v in sorted(_sweep(c).items())]
+        c._curve = c.spark.createDataFrame(rows, "k int, inertia double")
     return c._curve
 
 
@@ -114,7 +124,7 @@ def q_elbow(spark, sf_dir):
 def _fit(c):
     if getattr(c, "_fit", None) is None:
         k = kneedle(_curve(c)).collect()[0]["elbow_k"]
-        labels, cents, cost = scoring.segment_sellers(c.model, k, n_init=10, max_iter=300)
+        labels, cents, cost = scoring.segment_sellers(c.model, k, fits=_sweep(c))
         c._fit = (labels.cache(), cents.cache(), cost, k)
     return c._fit
 
@@ -133,8 +143,9 @@ def q_fitted_centroids(spark, sf_dir):
 
 @register("cluster_quality", bits=10)
 def q_quality(spark, sf_dir):
-    """10.5: silhouette / DB / CH / inertia for k = 2..10 (3 restarts each)."""
-    return ev.cluster_quality(ctx(spark, sf_dir).model.scaled, range(2, 11), n_init=3)
+    """10.5: silhouette / DB / CH / inertia for k = 2..10 (best of the sweep's 10 restarts)."""
+    c = ctx(spark, sf_dir)
+    return ev.cluster_quality(c.model.scaled, range(2, 11), fits=_sweep(c))
 
 
 def _pca(c):

@@ -50,9 +50,15 @@ def score_sellers(model: SellerModel, centroids: DataFrame) -> DataFrame:
     return name_segments(assign_segments(model.scaled, centroids))
 
 
-def segment_sellers(model: SellerModel, k: int = 3, *, n_init: int = 10, max_iter: int = 300, seed: int = 42):
-    """Fit k-means, relabel canonically, name.  Returns (labels, centroids, cost)."""
-    cents, cost = fit_kmeans(model.scaled, k, FEATURES, n_init=n_init, max_iter=max_iter, seed=seed)
+def segment_sellers(model: SellerModel, k: int = 3, *, n_init: int = 10, max_iter: int = 300, seed: int = 42,
+                    fits: dict | None = None):
+    """Fit k-means (or take k's best run from a sweep), relabel canonically, name.
+    Returns (labels, centroids, cost)."""
+    if fits is not None and k in fits:
+        from ..operators.kmeans import _centroid_frame
+        cents, cost = _centroid_frame(model.scaled.sparkSession, fits[k][0], FEATURES), fits[k][1]
+    else:
+        cents, cost = fit_kmeans(model.scaled, k, FEATURES, n_init=n_init, max_iter=max_iter, seed=seed)
     raw = assign_segments(model.scaled, cents)
     mapping = canonical_ids(raw, model.scaled)
     labels = name_segments(relabel(raw, mapping))

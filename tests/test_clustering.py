@@ -121,3 +121,16 @@ def test_kneedle_matches_reference(spark):
         ref = _kneedle_reference(xs, ys)
         assert got["elbow_k"] == (ref if ref is not None else 3)
         assert got["found"] == (ref is not None)
+
+
+def test_batched_quality_matches_single_scores(spark):
+    from sellerscope.operators.batch_kmeans import quality_many
+    df = _points(spark, 5)
+    cents, cost = km.fit_kmeans(df, 3, COLS, n_init=2)
+    c = np.array([[r[x] for x in COLS] for r in cents.orderBy("cluster_id").collect()])
+    k, sil, db, ch, inertia = quality_many(df, {3: c}, COLS)[0]
+    pts = km.assign_with_features(df, cents, COLS)
+    assert math.isclose(sil, ev.silhouette(pts, COLS).collect()[0]["silhouette"], rel_tol=1e-9)
+    assert math.isclose(db, ev.davies_bouldin(pts, COLS).collect()[0]["davies_bouldin"], rel_tol=1e-9)
+    assert math.isclose(ch, ev.calinski_harabasz(pts, COLS).collect()[0]["calinski_harabasz"], rel_tol=1e-9)
+    assert math.isclose(inertia, cost, rel_tol=1e-9)
