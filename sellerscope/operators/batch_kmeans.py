@@ -273,7 +273,8 @@ def quality_many(scaled: DataFrame, centres_by_k: dict, columns=FEATURES) -> lis
             ssw = sum(agg2[k][j][2] for j in live)
             ch = (ssb / (kk - 1)) / (ssw / (n_total - kk)) if kk > 1 and ssw > 0 and n_total > kk else None
             inertia = sum(stats[k][j][2] for j in stats[k])
-            out.append((int(k), float(sil) if kk > 1 else None, db, ch, float(inertia)))
+            out.append((int(k), float(sil) if kk > 1 else None, None if db is None else float(db),
+                        None if ch is None else float(ch), float(inertia)))
         return out
     finally:
         data.unpersist()
