@@ -30,6 +30,17 @@ from pyspark.sql import functions as F
 from .features import FEATURES
 
 
+def _points(scaled: DataFrame, cols) -> DataFrame:
+    """The point matrix, persisted for the many passes.  Every pass is one task
+    per partition, so more partitions than cores only add per-task overhead:
+    they are coalesced (no shuffle) to the cluster's default parallelism."""
+    data = scaled.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).na.drop()
+    cores = scaled.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() > cores:
+        data = data.coalesce(cores)
+    return data.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _rng(seed: int, run: int, step: int, part: int) -> np.random.Generator:
     return np.random.default_rng([seed, run, step, part])
 
@@ -53,8 +64,7 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
     """Fit every run ``(k, restart)``; returns ``{(k, restart): (centres ndarray, inertia)}``."""
     cols = list(columns)
     p = len(cols)
-    data = scaled.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).na.drop()
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = _points(scaled, cols)
     try:
         n = data.count()
         if n == 0:
@@ -177,8 +187,7 @@ def quality_many(scaled: DataFrame, centres_by_k: dict, columns=FEATURES) -> lis
     distance to that mean.  Returns ``[(k, silhouette, db, ch, inertia)]``."""
     cols = list(columns)
     p = len(cols)
-    data = scaled.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).na.drop()
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = _points(scaled, cols)
     ks = sorted(centres_by_k)
     try:
         n_total = data.count()
