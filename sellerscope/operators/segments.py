@@ -85,8 +85,9 @@ def canonical_ids(labels: DataFrame, scaled: DataFrame, key="seller_nickname", c
     smallest 0 (occasional), the rest 2, 3, ... in descending order.  Only k
     rows reach the driver.
     """
-    stats = (labels.join(scaled.select(key, size_feature), key)
-                   .groupBy(cluster_id)
+    # labels that already carry the feature (assignment output) need no join
+    pts = labels if size_feature in labels.columns else labels.join(scaled.select(key, size_feature), key)
+    stats = (pts.groupBy(cluster_id)
                    .agg(F.avg(size_feature).alias("score"), F.count(F.lit(1)).alias("n"))
                    .collect())
     order = sorted(stats, key=lambda r: (-(r["score"] if r["score"] is not None else float("-inf")), -r["n"], r[cluster_id]))

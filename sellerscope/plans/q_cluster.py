@@ -193,7 +193,7 @@ def q_pca_clusters(spark, sf_dir):
 def q_segment_profile(spark, sf_dir):
     """12.3: mean and exact median of every scaled feature per segment."""
     c = ctx(spark, sf_dir)
-    pts = c.ref_labels().select("seller_nickname", "cluster_id").join(c.model.scaled, "seller_nickname")
+    pts = c.ref_points()
     means = pts.groupBy("cluster_id").agg(*[F.avg(f).alias(f) for f in FEATURES])
     means_long = means.select("cluster_id", F.inline(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).alias("mean")) for f in FEATURES])))
@@ -208,9 +208,8 @@ def q_segment_profile(spark, sf_dir):
 def q_centroids_orig(spark, sf_dir):
     """12.4: reference centroids mapped back to original units (inverse robust scaling)."""
     c = ctx(spark, sf_dir)
-    raw = km.assign_segments(c.model.scaled, c.ref_centroids)
-    from ..operators.segments import canonical_ids, relabel_centroids
-    cents = relabel_centroids(c.ref_centroids, canonical_ids(raw, c.model.scaled))
+    from ..operators.segments import relabel_centroids
+    cents = relabel_centroids(c.ref_centroids, c.ref_mapping())
     return inverse_scale(cents, c.model.params)
 
 

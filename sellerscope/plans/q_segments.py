@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import kmeans as km
 from ..operators import segments as sg
 from ..operators.features import FEATURES, seller_features
-from ..operators.segments import canonical_ids, relabel
+from ..operators.segments import relabel
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from .oracle_sql import REP_CASE, rnd, snap, with_ctes
@@ -188,9 +188,7 @@ def yearly_labels(c):
     feats = seller_features(lst, by=["period"])
     feats_scaled = _scale_with_keys(feats, c.model.params, [S, "period"])
     raw = km.assign_with_features(feats_scaled, c.ref_centroids).select(S, "period", "cluster_id")
-    global_raw = km.assign_segments(c.model.scaled, c.ref_centroids)
-    mapping = canonical_ids(global_raw, c.model.scaled)
-    return relabel(raw, mapping)
+    return relabel(raw, c.ref_mapping())
 
 
 def _scale_with_keys(feats, params, keys):

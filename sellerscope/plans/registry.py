@@ -115,10 +115,20 @@ class Context:
         """Scalar subquery: number of listing rows (one value, evaluated once per plan)."""
         return self.source.select(F.count(F.lit(1))).scalar()
 
+    def ref_mapping(self) -> dict:
+        """Raw reference-centroid id -> canonical id (k rows reach the driver)."""
+        if getattr(self, "_mapping", None) is None:
+            pts = km.assign_with_features(self.model.scaled, self.ref_centroids)
+            self._mapping = canonical_ids(pts, self.model.scaled)
+        return self._mapping
+
+    def ref_points(self) -> DataFrame:
+        """Scaled features + canonical cluster id + distance (a projection: no join)."""
+        return relabel(km.assign_with_features(self.model.scaled, self.ref_centroids), self.ref_mapping())
+
     def ref_labels(self) -> DataFrame:
         """Canonically relabelled assignment to the reference centroids."""
-        raw = km.assign_segments(self.model.scaled, self.ref_centroids)
-        return relabel(raw, canonical_ids(raw, self.model.scaled))
+        return self.ref_points().select("seller_nickname", "cluster_id", "distance2")
 
 
 _CTX: dict = {}
