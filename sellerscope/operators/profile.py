@@ -80,10 +80,12 @@ def approx_column_summary(df: DataFrame, columns=None, rsd: float = 0.01) -> Dat
     return row.select(F.inline(F.array(*parts)))
 
 
-def null_fraction(summary: DataFrame) -> DataFrame:
-    """NULL share as a 0-1 fraction."""
-    return summary.select("column_name", F.try_divide(F.col("null_count").cast("double"),
-                                                      F.col("total_rows").cast("double")).alias("null_fraction"))
+def null_fraction(summary: DataFrame, percent: bool = False) -> DataFrame:
+    """NULL share as a 0-1 fraction, or (``percent=True``) as 0-100 sorted descending."""
+    frac = F.try_divide(F.col("null_count").cast("double"), F.col("total_rows").cast("double"))
+    if percent:
+        return summary.select("column_name", (frac * 100).alias("null_percent")).orderBy(F.desc("null_percent"))
+    return summary.select("column_name", frac.alias("null_fraction"))
 
 
 def constant_columns(summary: DataFrame, max_distinct: int | None = None) -> DataFrame:

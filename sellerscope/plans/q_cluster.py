@@ -221,8 +221,11 @@ def q_zscores(spark, sf_dir):
     c = ctx(spark, sf_dir)
     feats = c.model.features
     pts = c.ref_labels().select("seller_nickname", "cluster_id").join(feats, "seller_nickname")
-    pop = {f: (feats.select(F.avg(f)).scalar(), feats.select(F.stddev_samp(f)).scalar()) for f in FEATURES}
+    # population mean / std of every feature: one aggregate, one scalar subquery (a struct)
+    pop = feats.select(F.struct(*[F.avg(f).alias(f"m_{f}") for f in FEATURES],
+                                *[F.stddev_samp(f).alias(f"s_{f}") for f in FEATURES])).scalar()
     g = pts.groupBy("cluster_id").agg(*[F.avg(f).alias(f) for f in FEATURES])
     return g.select("cluster_id", F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.try_divide(F.col(f) - pop[f][0], pop[f][1]).alias("zscore"))
+        F.struct(F.lit(f).alias("feature"),
+                 F.try_divide(F.col(f) - pop.getField(f"m_{f}"), pop.getField(f"s_{f}")).alias("zscore"))
         for f in FEATURES])))

@@ -109,6 +109,12 @@ def q_null_fraction(spark, sf_dir):
     return pr.null_fraction(ctx(spark, sf_dir).summary)
 
 
+@register("null_percent", P("SELECT column_name, " + rnd("100.0 * CAST(null_count AS DOUBLE) / total_rows", "null_percent") + " FROM summ"))
+def q_null_percent(spark, sf_dir):
+    """3.4b: NULL share as 0-100, descending."""
+    return pr.null_fraction(ctx(spark, sf_dir).summary, percent=True)
+
+
 @register("columns_with_nulls", P("SELECT column_name, " + rnd("CAST(null_count AS DOUBLE) / total_rows", "null_fraction") +
                                   " FROM summ WHERE null_count > 0"))
 def q_cols_nulls(spark, sf_dir):
