@@ -67,7 +67,7 @@ def column_summary(vf: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("freq"))), F.lit(0)).cast("bigint").alias("null_count"))
 
 
-def approx_column_summary(df: DataFrame, columns=None, rsd: float = 0.01) -> DataFrame:
+def approx_column_summary(df: DataFrame, columns=None, rsd: float = 0.05) -> DataFrame:
     """Same shape as ``column_summary`` with HyperLogLog distinct counts (no vf shuffle)."""
     cols = _cols(df, columns)
     aggs = []

@@ -80,6 +80,12 @@ def q_summary(spark, sf_dir):
     return ctx(spark, sf_dir).summary
 
 
+@register("column_summary_approx")
+def q_summary_approx(spark, sf_dir):
+    """3.1 (approximate option): HyperLogLog distinct counts, no value-frequency shuffle (5 % rsd)."""
+    return pr.approx_column_summary(ctx(spark, sf_dir).source)
+
+
 @register("numeric_stats", P("\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, {rnd(f'MIN({c})', 'min_value')}, {rnd(f'MAX({c})', 'max_value')}, "
     f"{rnd(f'AVG({c})', 'mean_value')}, {rnd(f'STDDEV_SAMP({c})', 'stddev_value')} FROM listings" for c in NUMERIC)))
