@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, urls
+from . import langid, mixing, pairwise, quality_rules, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +28,16 @@ def op7_url_filter(spark, sf_dir):
         "page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_quality_rules, op7_url_filter)}
+def op8_quality_classifier(spark, sf_dir):
+    """Quality by pairwise ranking."""
+    return pairwise.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark, sf_dir):
+    """Language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op4_mix_sources, op5_quality_rules, op7_url_filter, op8_quality_classifier, op10_language_id)}
 ORACLES = {"op4_mix_sources": mixing.ORACLE}
