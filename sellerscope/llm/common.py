@@ -181,3 +181,12 @@ def open_fs(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def worker_state(key: str, make):
+    """A value that stays in a reused Python worker from task to task (a cache: never needed for a right result)."""
+    import types
+    home = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
+    if not hasattr(home, key):
+        setattr(home, key, make())
+    return getattr(home, key)

@@ -123,7 +123,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 def threshold(scores: DataFrame, few, w) -> tuple[float, float]:
     """(score at the quantile that best parts the labels, slope of the score): over all learning rows.
 
-    Of LEVELS quantiles, the one with the best balanced accuracy; of equals, the middle one.
+    Of LEVELS quantiles, the first with the best balanced accuracy; the cut lies midway to the quantile below it.
     """
     if not len(few[0]) or not len(few[1]):
         return 0.0, 1.0
@@ -133,6 +133,6 @@ def threshold(scores: DataFrame, few, w) -> tuple[float, float]:
     share = {r[0]: np.array(r[2:], float) / max(1, r[1]) for r in below}
     gain = share.get(0, 0) - share.get(1, 0)
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    cut = float(edges[best[len(best) // 2]])
+    cut = (float(edges[best[0]]) + float(edges[max(0, best[0] - 1)])) / 2
     raw = np.concatenate([few[0] @ w, few[1] @ w])
     return cut, 4.0 / float(np.std(raw) or 1.0)
