@@ -76,16 +76,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
     emitted by position, so repeated rows stay separate rows.
     """
     counts = mix_counts(docs, doc_id=doc_id, **kw)
-    # repeated ids: the copies of an id are listed in rank order and dealt to its rows in turn
-    per = counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies"))
-    j = docs.join(per.withColumnRenamed("doc_id", "_id"), F.col(doc_id).eqNullSafe(F.col("_id")))
-    plain = j.filter(F.col("_rows") == 1)
-    again = ranked(j.filter(F.col("_rows") > 1), ["_id"], [F.xxhash64(*docs.columns)], "_k")
-    many = again.withColumn("_copies", F.floor(F.col("_copies") * F.col("_k") / F.col("_rows"))
-                            - F.floor(F.col("_copies") * (F.col("_k") - 1) / F.col("_rows"))).drop("_k")
-    out = plain.unionByName(many)
-    return (out.filter(F.col("_copies") > 0)
-            .withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns))
+    per = written(counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies")), "copies")
+    whole = docs.select(F.struct("*").alias("_row"))  # so that no column of the table can clash with those of the join
+    j = whole.join(per.withColumnRenamed("doc_id", "_id"), F.col(f"_row.{doc_id}").eqNullSafe(F.col("_id")))
+    plain = j.filter(F.col("_rows") == 1).select("_row", "_copies")
+    repeats = j.filter(F.col("_rows") > 1)
+    if not repeats.isEmpty():
+        again = ranked(repeats, ["_id"], [F.xxhash64(F.col(f"_row.{kw.get('text', 'text')}"))], "_k")
+        upto = lambda k: F.floor(F.col("_copies") * k / F.col("_rows"))
+        plain = plain.unionByName(again.select("_row", (upto(F.col("_k")) - upto(F.col("_k") - 1)).alias("_copies")))
+    out = plain.filter(F.col("_copies") > 0)
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_c")).select("_row.*")
 
 
 #: The same in SQL: sizes, water level from the sorted ceilings, ranks and crossings.

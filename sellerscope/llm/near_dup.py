@@ -217,9 +217,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_first(docs: DataFrame, **kw) -> DataFrame:
     """One row of each component of ``docs``, the one of smallest id; of rows that repeat an id, one. Columns unchanged."""
     found = near_duplicates(docs, **kw).filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    j = docs.join(written(found, "kept"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    again = j.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return j.filter("_rows = 1").select(*docs.columns).unionByName(again)
+    whole = docs.select(F.struct("*").alias("_row"))  # so that no column of the table can clash with those of the join
+    j = whole.join(written(found, "kept"), F.col("_row.doc_id").eqNullSafe(F.col("_id")))
+    again = j.filter("_rows > 1").groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row"))
+    return j.filter("_rows = 1").select("_row.*").unionByName(again.select("_row.*"))
 
 
 ORACLE = rf"""

@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, near_dup, pairwise, quality_rules, token_files, urls, warc
+from . import decontaminate, langid, mixing, near_dup, pairwise, quality_rules, suffix_dedup, token_files, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    """Repeated byte strings removed, by merged transforms."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark, sf_dir):
     """Benchmark windows in documents, by suffix arrays."""
     return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -60,5 +65,5 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontaminate, op3_warc, op4_mix_sources, op5_quality_rules, op6_token_files, op7_url_filter, op8_quality_classifier, op9_minhash_near_dedup, op10_language_id)}
+    op1_suffix_dedup, op2_decontaminate, op3_warc, op4_mix_sources, op5_quality_rules, op6_token_files, op7_url_filter, op8_quality_classifier, op9_minhash_near_dedup, op10_language_id)}
 ORACLES = {"op3_warc": warc.ORACLE, "op9_minhash_near_dedup": near_dup.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_mix_sources": mixing.ORACLE}
