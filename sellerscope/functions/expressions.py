@@ -72,26 +72,31 @@ def indicator(cond: Column) -> Column:
     return F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+SNAP_SHIFT = 1.5 * 2 ** 52  # adding and taking away this double rounds to the nearest whole number, ties to even
+
+
 def snap(c, bits: int = 20) -> Column:
-    """Round to the binary grid 2^-bits: floor(x * 2^bits + 0.5) / 2^bits.
+    """Round to the binary grid 2^-bits, ties to even; values of 2^(51-bits) and more stay as they are.
 
     Used when comparing results across engines whose sums differ in the last
-    bits.  Every step is an exactly specified IEEE operation, so equal inputs
-    give equal outputs in any engine; and because the grid is binary, an
-    average of decimal data (k / (100 n)) can only sit exactly on a rounding
-    midpoint when n has a factor 2^(bits-1), which a decimal grid hits at
-    n = 32 already.
+    bits.  All steps are additions and multiplications of doubles, so equal
+    inputs give equal outputs in any engine and nothing saturates; and because
+    the grid is binary, an average of decimal data (k / (100 n)) can only sit
+    exactly on a rounding midpoint when n has a factor 2^(bits-1), which a
+    decimal grid hits at n = 32 already.
     """
     f = float(2 ** bits)
-    return F.floor(col_(c) * F.lit(f) + F.lit(0.5)).cast("double") / F.lit(f)
+    x = col_(c).cast("double")
+    near = (x * F.lit(f) + F.lit(SNAP_SHIFT) - F.lit(SNAP_SHIFT)) / F.lit(f)
+    return F.when(F.abs(x) < F.lit(float(2 ** (51 - bits))), near).otherwise(x)
 
 
-def round_doubles(df: DataFrame, bits: int = 20, exclude=()) -> DataFrame:
-    """Snap every double column to a 2^-bits grid (see ``snap``)."""
+def round_doubles(df: DataFrame, bits: int = 20, exclude=(), bits_of: dict | None = None) -> DataFrame:
+    """Snap every double column to a 2^-bits grid (see ``snap``); ``bits_of`` names columns with another grid."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in exclude:
-            out.append(snap(f.name, bits).alias(f.name))
+            out.append(snap(f.name, (bits_of or {}).get(f.name, bits)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

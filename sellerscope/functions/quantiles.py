@@ -14,8 +14,11 @@ does a distributed selection instead:
    correctness never depends on the sketch's error bound;
 3. while a bracket still holds more than ``max_bracket`` rows, the grid is
    recomputed over the bracket rows only (each round shrinks it ~G/3 times);
+   where the sketch can't shrink it, the bracket is halved between its bounds,
+   so every round makes progress until it fits or holds one value only;
 4. the bracket rows are reduced to (value, count) and a running count inside
-   each (group, column, p) bracket picks the two order statistics.
+   each (group, column, p) bracket picks the two order statistics; a bracket of
+   one value is one such row.
 
 Every pass is a partial-aggregated shuffle; the only per-group work in one task
 is the final bracket, bounded by ``max_bracket`` rows.  Only a single boolean
@@ -27,10 +30,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 GRID = 200             # grid intervals per refinement round
 ACCURACY = 20000       # percentile_approx accuracy (>> GRID so the grid is well resolved)
-MAX_BRACKET = 200_000  # rows a final bracket may hold
-MAX_ROUNDS = 8
+MAX_BRACKET = 200_000  # rows of different values a final bracket may hold
 
 
 def _long(df: DataFrame, columns, by) -> DataFrame:
@@ -68,62 +72,70 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
                            F.lit(None).cast("double").alias("hi"),
                            F.lit(0).cast("bigint").alias("below"),
                            F.col("n").alias("inside"),
+                           F.lit(None).cast("double").alias("a1"),   # the two order statistics, once known
+                           F.lit(None).cast("double").alias("a2"),
                            F.lit(True).alias("open"))
-    # the state table has one row per (group, column, p); it is cached, and its
-    # lineage is at most MAX_ROUNDS short steps, so losing an executor only
-    # recomputes a few small aggregates
+    # the state table has one row per (group, column, p)
     state = state.cache()
 
     grid_probs = [i / grid for i in range(grid + 1)]
-    for _ in range(MAX_ROUNDS):
+    while True:
         todo = state.where(F.col("open") & (F.col("inside") > max_bracket))
         if todo.isEmpty():
             break
-        rows = _in_bracket(long, todo, keys, tkeys)
+        rows = _in_bracket(long, todo, keys, tkeys, small=not by)
         g = (rows.groupBy(*tkeys)
                  .agg(F.percentile_approx("v", grid_probs, accuracy).alias("grid")))
         # relative ranks of the two targets inside the bracket, mapped to grid cells
         cand = (_join(todo, g, tkeys)
                     .withColumn("i_lo", F.greatest(F.floor((F.col("r1") - F.col("below")) / F.col("inside") * grid) - 1, F.lit(0)))
                     .withColumn("i_hi", F.least(F.ceil((F.col("r2") - F.col("below") + 1) / F.col("inside") * grid) + 1, F.lit(grid)))
-                    .withColumn("new_lo", F.element_at("grid", (F.col("i_lo") + 1).cast("int")))
-                    .withColumn("new_hi", F.element_at("grid", (F.col("i_hi") + 1).cast("int"))))
-        # verify the new bracket by counting inside the old one
-        chk_rows = _in_bracket(long, cand.select(*tkeys, "lo", "hi", "new_lo", "new_hi"), keys, tkeys,
-                               extra=["new_lo", "new_hi"])
-        chk = (chk_rows.groupBy(*tkeys)
-                       .agg(F.count_if(F.col("v") < F.col("new_lo")).alias("add_below"),
-                            F.count_if((F.col("v") >= F.col("new_lo")) & (F.col("v") <= F.col("new_hi"))).alias("new_inside")))
-        upd = (_join(cand, chk, tkeys, "left")
-                   .withColumn("ok", (F.col("below") + F.col("add_below") <= F.col("r1")) &
-                               (F.col("r2") < F.col("below") + F.col("add_below") + F.col("new_inside")) &
-                               (F.col("new_inside") < F.col("inside")))
-                   .select(*tkeys,
-                           F.when(F.col("ok"), F.col("new_lo")).otherwise(F.col("lo")).alias("lo2"),
-                           F.when(F.col("ok"), F.col("new_hi")).otherwise(F.col("hi")).alias("hi2"),
-                           F.when(F.col("ok"), F.col("below") + F.col("add_below")).otherwise(F.col("below")).alias("below2"),
-                           F.when(F.col("ok"), F.col("new_inside")).otherwise(F.col("inside")).alias("inside2"),
-                           F.col("ok").alias("open2")))
+                    .withColumn("g_lo", F.element_at("grid", (F.col("i_lo") + 1).cast("int")))
+                    .withColumn("g_hi", F.element_at("grid", (F.col("i_hi") + 1).cast("int")))
+                    .withColumn("v_lo", F.element_at("grid", 1)).withColumn("v_hi", F.element_at("grid", -1))
+                    .withColumn("mid", F.when(F.col("v_lo") < F.col("v_hi"), F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) / 2)
+                                .otherwise(F.coalesce(F.col("lo") + (F.col("hi") - F.col("lo")) / 2, "v_lo"))))
+        # one count inside the old bracket: of the grid's bracket, and of the halves below and above the middle
+        extra, v = ["g_lo", "g_hi", "mid"], F.col("v")
+        chk = (_in_bracket(long, cand.select(*tkeys, "lo", "hi", *extra), keys, tkeys, extra=extra, small=not by)
+               .groupBy(*tkeys)
+               .agg(F.count_if(v < F.col("g_lo")).alias("g_below"), F.count_if((v >= F.col("g_lo")) & (v <= F.col("g_hi"))).alias("g_inside"),
+                    F.count_if(v <= F.col("mid")).alias("m_low"), F.min("v").alias("least"), F.max("v").alias("most"),
+                    F.max(F.when(v <= F.col("mid"), v)).alias("low_end"), F.min(F.when(v > F.col("mid"), v)).alias("high_end")))
+        below, inside = F.col("below"), F.col("inside")
+        ok = ((below + F.col("g_below") <= F.col("r1")) & (F.col("r2") < below + F.col("g_below") + F.col("g_inside")) & (F.col("g_inside") < inside))
+        one = F.col("least") == F.col("most")
+        lower = F.col("r2") < below + F.col("m_low")       # both targets in the lower half
+        upper = F.col("r1") >= below + F.col("m_low")      # both in the upper half; else they are the values next to the middle
+        pick = lambda g, lo, up: F.when(ok, g).when(one, F.lit(None)).when(lower, lo).when(upper, up)
+        known = lambda both: F.when(ok, F.lit(None)).when(one, F.col("least")).when(lower | upper, F.lit(None)).otherwise(both)
+        upd = _join(cand, chk, tkeys, "left").select(
+            *tkeys, pick(F.col("g_lo"), F.col("least"), F.col("high_end")).alias("lo2"), pick(F.col("g_hi"), F.col("low_end"), F.col("most")).alias("hi2"),
+            F.coalesce(pick(below + F.col("g_below"), below, below + F.col("m_low")), below).alias("below2"),
+            F.coalesce(pick(F.col("g_inside"), F.col("m_low"), inside - F.col("m_low")), F.lit(0)).alias("inside2"),
+            known(F.col("low_end")).alias("k1"), known(F.col("high_end")).alias("k2"), inside.alias("was"))
         new_state = (_join(state, upd, tkeys, "left")
                           .select(*tkeys, "n", "h", "r1", "r2",
                                   F.coalesce("lo2", "lo").alias("lo"),
                                   F.coalesce("hi2", "hi").alias("hi"),
                                   F.coalesce("below2", "below").alias("below"),
                                   F.coalesce("inside2", "inside").alias("inside"),
-                                  # a bracket the sketch could not shrink is finished as is (still exact)
-                                  F.coalesce("open2", "open").alias("open")))
-        new_state = new_state.cache()
+                                  F.coalesce("a1", "k1").alias("a1"), F.coalesce("a2", "k2").alias("a2"),
+                                  # a bracket that can't shrink holds two neighbouring doubles: two rows of (value, count)
+                                  F.coalesce(F.col("inside2") < F.col("was"), F.col("open")).alias("open")))
+        ensure_checkpoint_dir(df.sparkSession)
         state.unpersist()
-        state = new_state
+        state = new_state.checkpoint()  # so that plans don't grow from round to round
 
     # final: order statistics inside each bracket
-    rows = _in_bracket(long, state, keys, tkeys, extra=["below", "r1", "r2", "h"])
+    rows = _in_bracket(long, state.where(F.col("a1").isNull()), keys, tkeys, extra=["below", "r1", "r2", "h"], small=not by)
     vc = rows.groupBy(*tkeys, "below", "r1", "r2", "h", "v").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*tkeys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vc = vc.withColumn("cum", F.col("below") + F.sum("c").over(w))
     picked = (vc.groupBy(*tkeys, "h", "r1")
                 .agg(F.min(F.when(F.col("cum") > F.col("r1"), F.col("v"))).alias("v1"),
                      F.min(F.when(F.col("cum") > F.col("r2"), F.col("v"))).alias("v2")))
+    picked = picked.unionByName(state.where(F.col("a1").isNotNull()).select(*tkeys, "h", "r1", F.col("a1").alias("v1"), F.col("a2").alias("v2")))
     res = picked.select(*tkeys, (F.col("v1") + (F.col("h") - F.col("r1")) * (F.col("v2") - F.col("v1"))).alias("quantile"))
     # every requested key, also those whose values are all NULL (-> NULL quantile)
     spark = df.sparkSession
@@ -150,9 +162,10 @@ def _join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFr
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _in_bracket(long: DataFrame, bounds: DataFrame, keys, tkeys, extra=()) -> DataFrame:
+def _in_bracket(long: DataFrame, bounds: DataFrame, keys, tkeys, extra=(), small: bool = False) -> DataFrame:
+    """The values within the bounds of their key; ``small``: bounds has at most columns x probabilities rows, so it is broadcast."""
     b = bounds.select(*tkeys, "lo", "hi", *extra)
-    j = _join(long, b, keys)
+    j = _join(long, F.broadcast(b) if small else b, keys)
     return j.where((F.col("lo").isNull() | (F.col("v") >= F.col("lo"))) &
                    (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
 

@@ -21,56 +21,98 @@ driver holds only centres (sum of k over runs, times p floats) per step.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import FEATURES
 
-
-def _points(scaled: DataFrame, cols) -> DataFrame:
-    """The point matrix, persisted for the many passes.  Every pass is one task
-    per partition, so more partitions than cores only add per-task overhead:
-    they are coalesced (no shuffle) to the cluster's default parallelism."""
-    data = scaled.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).na.drop()
+# tasks get this module's functions by value: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ROWS = 2048  # points per matrix product
+
+
+def _points(scaled: DataFrame, cols, key: str | None):
+    """``(points, mean, rows, variances)``: the centred point matrix with a row id, persisted for the many passes.
+
+    A NULL is an error (impute first).  Centring keeps squared distances exact
+    for data far from the origin.  The id is a hash of ``key``, so random draws
+    belong to the row, not to its batch, partition or cluster; without a key
+    column rows are numbered by position.  Every pass is one task per
+    partition, so partitions beyond the cores are coalesced (no shuffle)."""
+    x = [F.col(c).cast("double") for c in cols]
+    stats = scaled.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(v.isNull()).alias(f"e{i}") for i, v in enumerate(x)],
+                       *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.var_pop(v).alias(f"v{i}") for i, v in enumerate(x)]).first()
+    empty = [c for i, c in enumerate(cols) if stats[f"e{i}"]]
+    if empty:
+        raise ValueError(f"NULL in {empty}: impute before clustering")
+    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(len(cols))])
+    row = F.xxhash64(key) if key and key in scaled.columns else F.xxhash64(F.monotonically_increasing_id())
+    data = scaled.select(row.alias("id"), *[(v - F.lit(float(m))).alias(f"x{i}") for i, (v, m) in enumerate(zip(x, mean))])
     cores = scaled.sparkSession.sparkContext.defaultParallelism
     if data.rdd.getNumPartitions() > cores:
         data = data.coalesce(cores)
-    return data.persist(StorageLevel.MEMORY_AND_DISK)
+    return data.persist(StorageLevel.MEMORY_AND_DISK), mean, int(stats["n"]), [stats[f"v{i}"] or 0.0 for i in range(len(cols))]
+
 
+def _uniform(ids: np.ndarray, seed: int, run: int, step: int) -> np.ndarray:
+    """One number in (0, 1) per row id and (seed, run, step): a finaliser of the hash, no generator state."""
+    h = ids.astype(np.int64).view(np.uint64) ^ np.random.default_rng([seed, run, step]).integers(0, 2 ** 63, dtype=np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
 
-def _rng(seed: int, run: int, step: int, part: int) -> np.random.Generator:
-    return np.random.default_rng([seed, run, step, part])
 
+def _stacked(centres: dict):
+    """All runs' centres below each other, with each run's first row: one matrix product serves every run."""
+    keys = list(centres)
+    rows = [np.asarray(centres[k]) for k in keys]
+    at = np.cumsum([0] + [len(r) for r in rows])
+    return keys, (np.vstack(rows) if len(rows) else np.zeros((0, 0))), at
 
-def _min_d2(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    if centres.shape[0] == 0:
-        return np.ones(x.shape[0])
-    # |x|^2 - 2 x.c + |c|^2, clipped at 0
-    d = (x * x).sum(1)[:, None] - 2.0 * x @ centres.T + (centres * centres).sum(1)[None, :]
-    return np.maximum(d.min(1), 0.0)
+
+def _distances(x: np.ndarray, stack: np.ndarray) -> np.ndarray:
+    """Squared distances of all points to all stacked centres (points and centres are centred)."""
+    return np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ stack.T) + (stack * stack).sum(1)[None, :], 0.0)
 
 
 def _assign(x: np.ndarray, centres: np.ndarray):
-    d = (x * x).sum(1)[:, None] - 2.0 * x @ centres.T + (centres * centres).sum(1)[None, :]
+    d = _distances(x, centres)
     lab = d.argmin(1)
-    return lab, np.maximum(d[np.arange(x.shape[0]), lab], 0.0)
+    return lab, d[np.arange(x.shape[0]), lab]
+
+
+def _sums(lab: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Vector sums per cluster, as a product with the one-hot labels."""
+    return (lab[None, :] == np.arange(k)[:, None]).astype(float) @ x
+
+
+def _pieces(it):
+    """(ids, points) of at most ROWS rows from the batches of a task."""
+    for pdf in it:
+        ids, x = pdf["id"].to_numpy(), pdf.drop(columns="id").to_numpy(dtype=float)
+        for lo in range(0, len(x), ROWS):
+            yield ids[lo:lo + ROWS], x[lo:lo + ROWS]
 
 
 def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *, max_iter: int = 300,
-             tol: float = 1e-4, seed: int = 42) -> dict:
-    """Fit every run ``(k, restart)``; returns ``{(k, restart): (centres ndarray, inertia)}``."""
+             tol: float = 1e-4, seed: int = 42, key: str | None = "seller_nickname") -> dict:
+    """Fit every run ``(k, restart)``; returns ``{(k, restart): (centres ndarray, inertia)}``.
+
+    Draws depend on the seed, the run, the step and the row's ``key`` only."""
     cols = list(columns)
     p = len(cols)
-    data = _points(scaled, cols)
+    data, mean, n, variances = _points(scaled, cols, key)
     try:
-        n = data.count()
         if n == 0:
             raise ValueError("no rows to cluster")
-        variances = data.agg(*[F.var_pop(f"x{i}").alias(f"v{i}") for i in range(p)]).collect()[0]
-        tol_abs = tol * float(np.mean([variances[f"v{i}"] or 0.0 for i in range(p)]))
+        tol_abs = tol * float(np.mean(variances))
         ks = [k for k, _ in runs]
         centres = [np.zeros((0, p)) for _ in runs]
 
@@ -80,29 +122,25 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
             active = [r for r in range(len(runs)) if centres[r].shape[0] < ks[r]]
             if not active:
                 break
-            snap_c = {r: centres[r] for r in active}
 
-            def pick(it, snap_c=snap_c, step=step, active=active):
-                from pyspark import TaskContext
-                part = TaskContext.get().partitionId()
+            def pick(it, stack=_stacked({r: centres[r] for r in active}), step=step):
                 best = {}
-                for pdf in it:
-                    x = pdf.to_numpy(dtype=float)
-                    if x.shape[0] == 0:
-                        continue
-                    for r in active:
-                        d2 = _min_d2(x, snap_c[r])
-                        u = _rng(seed, r, step, part).random(x.shape[0])
+                names, c, at = stack
+                for ids, x in _pieces(it):
+                    d = _distances(x, c) if len(c) else None
+                    for j, r in enumerate(names):
+                        d2 = d[:, at[j]:at[j + 1]].min(1) if at[j + 1] > at[j] else np.ones(len(x))
+                        u = _uniform(ids, seed, r, step)
                         with np.errstate(divide="ignore"):
-                            key = np.where(d2 > 0, np.log(np.maximum(u, 1e-300)) / d2, -np.inf)
-                        i = int(np.argmax(key))
-                        if np.isfinite(key[i]) and (r not in best or key[i] > best[r][0]):
-                            best[r] = (float(key[i]), x[i])
+                            draw = np.where(d2 > 0, np.log(u) / d2, -np.inf)
+                        i = int(np.argmax(draw))
+                        if np.isfinite(draw[i]) and (r not in best or draw[i] > best[r][0]):
+                            best[r] = (float(draw[i]), x[i])
                 rows = [(r, k_, *v.tolist()) for r, (k_, v) in best.items()]
                 yield pd.DataFrame(rows, columns=["run", "key"] + [f"x{i}" for i in range(p)])
 
             cands = data.mapInPandas(pick, cand_schema).groupBy("run").agg(
-                F.max_by(F.struct(*[f"x{i}" for i in range(p)]), "key").alias("c")).collect()
+                F.max_by(F.struct(*[f"x{i}" for i in range(p)]), F.struct("key", *[f"x{i}" for i in range(p)])).alias("c")).collect()
             got = {row["run"]: np.array([row["c"][f"x{i}"] for i in range(p)]) for row in cands}
             for r in active:
                 if r in got:
@@ -113,25 +151,18 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
         # ---- Lloyd iterations, all unconverged runs per pass ----
         part_schema = "run int, cluster int, n long, sse double, " + ", ".join(f"s{i} double" for i in range(p))
 
-        def partial_fn(snap_c):
+        def partial_fn(stack):
             def f(it):
+                names, c, at = stack
                 acc = {}
-                for pdf in it:
-                    x = pdf.to_numpy(dtype=float)
-                    if x.shape[0] == 0:
-                        continue
-                    for r, c in snap_c.items():
-                        lab, d2 = _assign(x, c)
-                        k = c.shape[0]
-                        cnt = np.bincount(lab, minlength=k)
-                        sse = np.bincount(lab, weights=d2, minlength=k)
-                        sums = np.zeros((k, p))
-                        np.add.at(sums, lab, x)
-                        if r in acc:
-                            a = acc[r]
-                            acc[r] = (a[0] + cnt, a[1] + sse, a[2] + sums)
-                        else:
-                            acc[r] = (cnt, sse, sums)
+                for _, x in _pieces(it):
+                    d = _distances(x, c)
+                    rows = np.arange(len(x))
+                    for j, r in enumerate(names):
+                        own = d[:, at[j]:at[j + 1]]
+                        lab, k = own.argmin(1), own.shape[1]
+                        part = (np.bincount(lab, minlength=k), np.bincount(lab, weights=own[rows, lab], minlength=k), _sums(lab, x, k))
+                        acc[r] = part if r not in acc else tuple(u + v for u, v in zip(acc[r], part))
                 rows = []
                 for r, (cnt, sse, sums) in acc.items():
                     for j in range(cnt.shape[0]):
@@ -140,7 +171,7 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
             return f
 
         def run_pass(snap_c):
-            agg = (data.mapInPandas(partial_fn(snap_c), part_schema)
+            agg = (data.mapInPandas(partial_fn(_stacked(snap_c)), part_schema)
                        .groupBy("run", "cluster")
                        .agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)])
                        .collect())
@@ -165,7 +196,7 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
                 if shift <= tol_abs:
                     converged.add(r)
         final = run_pass({r: centres[r] for r in range(len(runs))})
-        return {runs[r]: (centres[r], float(sum(v[1] for v in final.get(r, {}).values()))) for r in range(len(runs))}
+        return {runs[r]: (centres[r] + mean, float(sum(v[1] for v in final.get(r, {}).values()))) for r in range(len(runs))}
     finally:
         data.unpersist()
 
@@ -187,27 +218,22 @@ def quality_many(scaled: DataFrame, centres_by_k: dict, columns=FEATURES) -> lis
     distance to that mean.  Returns ``[(k, silhouette, db, ch, inertia)]``."""
     cols = list(columns)
     p = len(cols)
-    data = _points(scaled, cols)
+    data, mean, n_total, _ = _points(scaled, cols, None)
+    centres_by_k = {k: np.asarray(c) - mean for k, c in centres_by_k.items()}
     ks = sorted(centres_by_k)
     try:
-        n_total = data.count()
         schema1 = "k int, cluster int, n long, q double, sse double, " + ", ".join(f"s{i} double" for i in range(p))
 
         def pass1(it):
             acc = {}
-            for pdf in it:
-                x = pdf.to_numpy(dtype=float)
-                if x.shape[0] == 0:
-                    continue
+            for _, x in _pieces(it):
                 nx = (x * x).sum(1)
                 for k in ks:
                     c = centres_by_k[k]
                     lab, d2 = _assign(x, c)
                     m = c.shape[0]
-                    sums = np.zeros((m, p))
-                    np.add.at(sums, lab, x)
                     part = (np.bincount(lab, minlength=m), np.bincount(lab, weights=nx, minlength=m),
-                            np.bincount(lab, weights=d2, minlength=m), sums)
+                            np.bincount(lab, weights=d2, minlength=m), _sums(lab, x, m))
                     acc[k] = part if k not in acc else tuple(a + b for a, b in zip(acc[k], part))
             rows = [(k, j, int(a[0][j]), float(a[1][j]), float(a[2][j]), *a[3][j].tolist())
                     for k, a in acc.items() for j in range(a[0].shape[0])]
@@ -230,10 +256,7 @@ def quality_many(scaled: DataFrame, centres_by_k: dict, columns=FEATURES) -> lis
 
         def pass2(it):
             acc = {}
-            for pdf in it:
-                x = pdf.to_numpy(dtype=float)
-                if x.shape[0] == 0:
-                    continue
+            for _, x in _pieces(it):
                 nx = (x * x).sum(1)
                 for k in ks:
                     n, q, sv = summ[k]

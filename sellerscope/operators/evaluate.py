@@ -42,6 +42,9 @@ def cluster_stats(points: DataFrame, columns=FEATURES, cluster_id="cluster_id")
 
 def silhouette(points: DataFrame, columns=FEATURES, cluster_id="cluster_id") -> DataFrame:
     """One row ``(n_clusters, silhouette)``: mean squared-Euclidean silhouette."""
+    mean = points.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    # n |x|^2 - 2 x.S + Q cancels far from the origin: measure from the global mean
+    points = points.select(cluster_id, *[(F.col(c) - F.lit(mean[c])).alias(c) for c in columns])
     st = cluster_stats(points, columns, cluster_id)
     k = len(st)
     if k < 2:

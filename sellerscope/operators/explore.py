@@ -21,17 +21,16 @@ def quartiles_by(df: DataFrame, value: str, group: str) -> DataFrame:
 def anova_f(df: DataFrame, value: str, group: str) -> DataFrame:
     """One-way ANOVA F statistic of ``value`` across ``group`` (NULL groups kept as a level).
 
-    Per-group count/sum/sum of squares is one partial aggregate (one row per
-    group); the F ratio is computed from those rows."""
+    Per-group count, mean and population variance are one partial aggregate (one
+    row per group); the squares are of deviations from means, never of the raw
+    values, so large values lose no digits."""
     v = F.col(value).cast("double")
-    g = df.where(v.isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"),
-                                                  F.sum(v * v).alias("ss"))
-    t = g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("ss").alias("SS"),
-              F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between_raw"))
-    ssb = F.col("between_raw") - F.col("S") * F.col("S") / F.col("N")
-    ssw = F.col("SS") - F.col("between_raw")
-    return t.select(F.col("k").cast("int").alias("groups"), F.col("N").alias("n"),
-                    F.try_divide(ssb / (F.col("k") - 1), ssw / (F.col("N") - F.col("k"))).alias("f_statistic"))
+    g = df.where(v.isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("vp"))
+    mean = g.agg(F.try_divide(F.sum(F.col("m") * F.col("n")), F.sum("n"))).scalar()
+    t = g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum(F.col("vp") * F.col("n")).alias("ssw"),
+              F.sum(F.col("n") * (F.col("m") - mean) * (F.col("m") - mean)).alias("ssb"))
+    between, within = F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("N") - F.col("k"))
+    return t.select(F.col("k").cast("int").alias("groups"), F.col("N").alias("n"), F.try_divide(between, within).alias("f_statistic"))
 
 
 def median_by(df: DataFrame, value: str, group: str) -> DataFrame:

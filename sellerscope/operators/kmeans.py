@@ -4,9 +4,8 @@ A centroid set is k rows of a parameter table (k is small and fixed by the
 caller, a proven bound).  It is collected once and compiled into one
 projection (k unrolled squared distances and an argmin ``CASE``), so assigning
 100 million sellers is a map-only stage: no join, no broadcast table, no
-shuffle.  Fitting uses Spark ML ``KMeans`` (k-means|| init, distributed Lloyd
-iterations, the driver holds only k centroids); ``n_init`` restarts keep the
-lowest cost like scikit-learn.
+shuffle.  Fitting advances all restarts together (``batch_kmeans``) and keeps
+the lowest cost.  More than MAX_K centroids raise an error, none are dropped.
 """
 
 from __future__ import annotations
@@ -69,11 +68,6 @@ def lloyd_step(scaled: DataFrame, centroids: DataFrame, columns=FEATURES) -> Dat
     return a.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
 
 
-def inertia(scaled: DataFrame, centroids: DataFrame, columns=FEATURES) -> DataFrame:
-    a = assign_with_features(scaled, centroids, columns)
-    return a.agg(F.sum("distance2").alias("inertia"))
-
-
 def total_sum_squares(scaled: DataFrame, columns=FEATURES) -> DataFrame:
     """Inertia for k = 1: sum over features of n * population variance."""
     n = F.count(F.lit(1))
@@ -93,27 +87,6 @@ def quantile_profile_centroids(scaled: DataFrame, probs=(0.1, 0.5, 0.9), columns
     return q.groupBy(F.element_at(ids, F.col("p")).alias("cluster_id")).agg(*aggs)
 
 
-def _fit_once(vec: DataFrame, k: int, seed: int, max_iter: int, tol: float):
-    from pyspark.ml.clustering import KMeans
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, initMode="k-means||",
-                   featuresCol="features").fit(vec)
-    return model, float(model.summary.trainingCost)
-
-
-def _vectors(scaled: DataFrame, columns) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled).select("features")
-
-
-def _run_fits(vec: DataFrame, jobs, max_iter: int, tol: float, parallelism: int):
-    """Run (k, seed) fits concurrently: each Lloyd iteration is a small Spark job,
-    so independent restarts share the cluster instead of queueing."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futs = [pool.submit(_fit_once, vec, k, seed, max_iter, tol) for k, seed in jobs]
-        return [f.result() for f in futs]
-
-
 def _centroid_frame(spark, centres, columns):
     rows = [(i, *[float(x) for x in c]) for i, c in enumerate(centres)]
     schema = "cluster_id int, " + ", ".join(f"{c} double" for c in columns)
@@ -121,29 +94,16 @@ def _centroid_frame(spark, centres, columns):
 
 
 def fit_kmeans(scaled: DataFrame, k: int, columns=FEATURES, *, n_init: int = 10, max_iter: int = 300,
-               tol: float = 1e-4, seed: int = 42, engine: str = "batched", parallelism: int = 10):
-    """Fit k-means with ``n_init`` restarts and keep the lowest inertia.
-
-    ``engine="batched"`` (default) advances all restarts together (one pass
-    per step, see ``batch_kmeans``); ``engine="ml"`` runs Spark ML ``KMeans``
-    (k-means|| init) once per restart, concurrently.  Returns
-    ``(centroids DataFrame with ids 0..k-1, inertia)``."""
+               tol: float = 1e-4, seed: int = 42):
+    """Fit k-means with ``n_init`` restarts, all advanced together (see
+    ``batch_kmeans``), and keep the lowest inertia.  Returns ``(centroids
+    DataFrame with ids 0..k-1, inertia)``."""
     if k < 2:
         raise ValueError("k-means needs k >= 2; use total_sum_squares for k = 1")
-    spark = scaled.sparkSession
-    if engine == "batched":
-        from .batch_kmeans import best_of, fit_many
-        fits = fit_many(scaled, [(k, i) for i in range(n_init)], columns, max_iter=max_iter, tol=tol, seed=seed)
-        centres, cost = best_of(fits, k)
-        return _centroid_frame(spark, centres, columns), float(cost)
-    vec = _vectors(scaled, columns).persist()
-    try:
-        vec.count()
-        fits = _run_fits(vec, [(k, seed + i) for i in range(n_init)], max_iter, tol, parallelism)
-    finally:
-        vec.unpersist()
-    model, cost = min(fits, key=lambda mc: mc[1])
-    return _centroid_frame(spark, model.clusterCenters(), columns), float(cost)
+    from .batch_kmeans import best_of, fit_many
+    fits = fit_many(scaled, [(k, i) for i in range(n_init)], columns, max_iter=max_iter, tol=tol, seed=seed)
+    centres, cost = best_of(fits, k)
+    return _centroid_frame(scaled.sparkSession, centres, columns), float(cost)
 
 
 def fit_sweep(scaled: DataFrame, ks, columns=FEATURES, *, n_init: int = 10, max_iter: int = 300,
@@ -154,15 +114,3 @@ def fit_sweep(scaled: DataFrame, ks, columns=FEATURES, *, n_init: int = 10, max_
     ks = [int(k) for k in ks if int(k) >= 2]
     fits = fit_many(scaled, [(k, i) for k in ks for i in range(n_init)], columns, max_iter=max_iter, tol=tol, seed=seed)
     return {k: best_of(fits, k) for k in ks}
-
-
-def inertia_curve(scaled: DataFrame, ks=range(1, 15), columns=FEATURES, *, n_init: int = 10,
-                  max_iter: int = 300, tol: float = 1e-4, seed: int = 42) -> DataFrame:
-    """``(k, inertia)`` for each k (best of ``n_init`` restarts); k = 1 is the total sum of squares."""
-    ks = [int(k) for k in ks]
-    out = {}
-    if 1 in ks:
-        out[1] = float(total_sum_squares(scaled, columns).collect()[0]["total_sum_squares"])
-    for k, (_, cost) in fit_sweep(scaled, ks, columns, n_init=n_init, max_iter=max_iter, tol=tol, seed=seed).items():
-        out[k] = cost
-    return scaled.sparkSession.createDataFrame(sorted(out.items()), "k int, inertia double")

@@ -45,6 +45,9 @@ def fitted_params(params: DataFrame, columns=FEATURES) -> dict:
     missing = [c for c in columns if c not in got]
     if missing:
         raise ValueError(f"no scaler parameters for {missing}")
+    empty = [c for c in columns if got[c]["median"] is None]
+    if empty:
+        raise ValueError(f"no value to fit the scaler on in {empty}")
     return {c: (got[c]["median"], got[c]["scale"]) for c in columns}
 
 
@@ -55,14 +58,14 @@ def impute_median(features: DataFrame, params: DataFrame, columns=FEATURES, key=
 
 def robust_scale(features: DataFrame, params: DataFrame, columns=FEATURES, key="seller_nickname",
                  impute: bool = True) -> DataFrame:
-    """``(x - median) / scale`` after (optional) median imputation."""
+    """``(x - median) / scale`` after (optional) median imputation; ``key`` is one column kept as it is, or several."""
     fp = fitted_params(params, columns)
     out = []
     for c in columns:
         med, scale = F.lit(fp[c][0]).cast("double"), F.lit(fp[c][1]).cast("double")
         x = F.coalesce(F.col(c), med) if impute else F.col(c)
         out.append(((x - med) / scale).alias(c))
-    return features.select(*([key] if key else []), *out)
+    return features.select(*([key] if isinstance(key, str) else key or []), *out)
 
 
 def inverse_scale(scaled: DataFrame, params: DataFrame, columns=FEATURES, key="cluster_id") -> DataFrame:
@@ -93,27 +96,32 @@ def impute_regular_price(df: DataFrame, price="price", regular="regular_price",
 def group_rare(df: DataFrame, column: str, min_share: float = 0.01, other: str = "OTHER") -> DataFrame:
     """Replace values whose share of rows is below ``min_share`` by ``other``.
 
-    Value counts are a partial-aggregated shuffle (one row per value); the rare
-    ones are joined back on the value (AQE broadcasts them when small, else
-    splits a skewed value's partition), never collected.
+    At most 1 / min_share values reach that share, so the frequent side is the
+    one with a proven bound: it is broadcast, and the rows are never shuffled.
     """
     total = df.select(F.count(F.lit(1))).scalar()
-    rare = (df.groupBy(column).agg(F.count(F.lit(1)).alias("__c"))
-              .where(F.col("__c") < F.lit(min_share) * total)
-              .select(F.col(column).alias("__v"), F.lit(True).alias("__rare")))
-    j = df.join(rare, df[column].eqNullSafe(rare["__v"]), "left")
-    return j.withColumn(column, F.when(F.col("__rare"), F.lit(other)).otherwise(F.col(column))).drop("__v", "__rare")
+    kept = (df.groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+              .where(F.col("__c") >= F.lit(min_share) * total)
+              .select("__v", F.lit(True).alias("__kept")))
+    j = df.join(F.broadcast(kept) if min_share > 0 else kept, df[column].eqNullSafe(kept["__v"]), "left")
+    return j.withColumn(column, F.when(F.col("__kept"), F.col(column)).otherwise(F.lit(other))).drop("__v", "__kept")
 
 
-def oversample_minority(df: DataFrame, flag: str, target_ratio: float = 0.1) -> DataFrame:
+def oversample_minority(df: DataFrame, flag: str, target_ratio: float = 0.1, block: int = 1000) -> DataFrame:
     """Replicate minority rows (``flag`` true) deterministically so that they reach
     about ``target_ratio`` of the majority: each minority row is repeated
-    ``max(1, round(target_ratio * n_major / n_minor))`` times (column ``replica``)."""
+    ``max(1, round(target_ratio * n_major / n_minor))`` times (column ``replica``).
+
+    Replicas are made in two steps, blocks and the rows in them, so an array of
+    row numbers is never longer than ``block``."""
     n_min = df.select(F.count_if(F.col(flag))).scalar()
     n_maj = df.select(F.count_if(~F.col(flag))).scalar()
-    reps = F.greatest(F.lit(1), F.coalesce(F.round(F.try_divide(F.lit(target_ratio) * n_maj, n_min)).cast("int"), F.lit(1)))
-    n = F.when(F.col(flag), reps).otherwise(F.lit(1))
-    return df.withColumn("replica", F.explode(F.sequence(F.lit(1), n)))
+    reps = F.greatest(F.lit(1), F.coalesce(F.round(F.try_divide(F.lit(target_ratio) * n_maj, n_min)).cast("long"), F.lit(1)))
+    n = F.when(F.col(flag), reps).otherwise(F.lit(1).cast("long"))
+    blocks = df.withColumn("__n", n).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / block))))
+    last = F.least(F.lit(block).cast("long"), F.col("__n") - F.col("__b") * block)
+    out = blocks.withColumn("__r", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+    return out.withColumn("replica", (F.col("__r") + F.col("__b") * block).cast("int")).drop("__n", "__b", "__r")
 
 
 def drop_columns(df: DataFrame, columns) -> DataFrame:

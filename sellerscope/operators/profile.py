@@ -12,9 +12,9 @@ instead of once per column and statistic.
 Per-column top-N uses ``row_number`` over ``column_name``; Spark plans it as a
 ``WindowGroupLimit`` that keeps only N rows per column in every partition
 *before* the shuffle, so a column with billions of distinct values never sends
-them all to one task.  Wide columns whose ``vf`` would be as large as the
-column itself (e.g. a unique URL) can be routed to ``approx_count_distinct``
-with ``approx_columns``.
+them all to one task.  A column whose ``vf`` would be as large as itself (e.g.
+a unique URL) can be left out by ``columns`` and summarised by
+``approx_column_summary`` instead, without a shuffle of its values.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_COLUMNS = 100_000  # schema width bound for the broadcast column tables
-
 
 def _cols(df: DataFrame, columns=None):
     return list(columns) if columns is not None else list(df.columns)
@@ -59,12 +57,19 @@ def type_counts(df: DataFrame, columns=None) -> DataFrame:
     return column_types(df, columns).groupBy("column_type").agg(F.count(F.lit(1)).alias("n_columns"))
 
 
-def column_summary(vf: DataFrame) -> DataFrame:
-    """``(column_name, total_rows, distinct_values, null_count)``; distinct excludes NULL."""
-    return vf.groupBy("column_name").agg(
+def column_summary(vf: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """``(column_name, total_rows, distinct_values, null_count)``; distinct excludes NULL.
+
+    With ``types`` (one row per column) an empty table gives a row of zeros per column, not no rows."""
+    out = vf.groupBy("column_name").agg(
         F.sum("freq").alias("total_rows"),
         F.count("value").alias("distinct_values"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("freq"))), F.lit(0)).cast("bigint").alias("null_count"))
+    if types is None:
+        return out
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return types.select("column_name").join(out, "column_name", "left").select(
+        "column_name", zero("total_rows"), zero("distinct_values"), zero("null_count"))
 
 
 def approx_column_summary(df: DataFrame, columns=None, rsd: float = 0.05) -> DataFrame:
@@ -157,7 +162,7 @@ def two_valued_columns(vf: DataFrame) -> DataFrame:
                                       F.max(F.col("value").isNull()).alias("includes_null"))
     return (g.where(F.col("n_values").between(1, 2))
              .select("column_name", "n_values",
-                     F.concat_ws(", ", "lo", F.when(F.col("hi") != F.col("lo"), F.col("hi"))).alias("value_list"),
+                     F.col("lo").alias("first_value"), F.when(F.col("hi") != F.col("lo"), F.col("hi")).alias("second_value"),
                      "includes_null"))
 
 

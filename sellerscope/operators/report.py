@@ -45,7 +45,13 @@ def profile_report(dims: DataFrame, profile: DataFrame, numeric: DataFrame | Non
     return out
 
 
+def read_report(spark, path: str) -> DataFrame:
+    """The lines of a written report: section, line_no, line."""
+    parts = F.split("value", "\t", 3)
+    return spark.read.text(path).select(parts[0].cast("int").alias("section"), parts[1].cast("int").alias("line_no"), parts[2].alias("line"))
+
+
 def write_report(lines: DataFrame, path: str) -> None:
     (lines.orderBy("section", "line_no")
-          .select(F.concat(F.col("section").cast("string"), F.lit("\t"), F.col("line")).alias("value"))
+          .select(F.concat_ws("\t", F.col("section").cast("string"), F.col("line_no").cast("string"), F.regexp_replace("line", "[\\n\\r]", " ")).alias("value"))
           .coalesce(1).write.mode("overwrite").text(path))

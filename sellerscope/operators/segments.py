@@ -24,25 +24,22 @@ SEGMENT_NAMES = {
 }
 UNKNOWN_SEGMENT = "Desconocido"
 
-# Playbook per segment (condensed from the notebook's segment table).
+# Playbook per segment, our own wording: what to do next and how to tell that it works.
 SEGMENT_ACTIONS = {
-    0: "Educar y filtrar: onboarding guiado, micro-créditos para stock, alertas de despacho y reclamos",
-    1: "Mimar y retener: comisiones preferenciales por volumen, prioridad en fulfillment, créditos en anuncios",
-    2: "Impulsar crecimiento: asesor comercial y saldo inicial en Ads, bonificación por metas de entrega",
-    3: "Subir margen sin perder ventas: descuento óptimo sugerido, flash sales con margen mínimo",
-    4: "Acelerar rotación: canal de liquidaciones con envío a tarifa plana, cupones de fin de mes",
+    0: "onboarding: first-sale guide, small stock loans, reminders for late dispatch",
+    1: "retention: volume-based fees, first place in the warehouse queue, advertising credit",
+    2: "growth: an account adviser, starter advertising budget, rewards for delivery targets",
+    3: "margin: proposed discount ceilings, short sales with a price floor",
+    4: "clearance: flat-rate outlet shipping, month-end coupons",
 }
 SEGMENT_KPIS = {
-    0: "Paso a consolidados; tasa de reclamos < 2 %",
-    1: "GMV trimestral creciente; fidelidad",
-    2: "Share que asciende a premium; gasto en Ads",
-    3: "Margen por venta; conversión en campañas relámpago",
-    4: "Días de inventario; % de stock liquidado por mes",
+    0: "sellers with a second sale; complaints per hundred orders",
+    1: "sales value per quarter; sellers kept",
+    2: "sellers that become power sellers; advertising spend",
+    3: "margin per order; orders per short sale",
+    4: "days in stock; share of stock sold per month",
 }
 
-# Season options offered for a date, with the default.
-SEASONS = ["Black Sale", "Hot Sale", "Cyberlunes", "Fin de año / Navidad", "Vacaciones mitad de año",
-           "Día del Padre/Madre", "Temporada baja"]
 NO_CAMPAIGN = "Ninguna campaña"
 
 # Default yearly campaign calendar (ours; the reference delegates the choice to
@@ -147,16 +144,16 @@ def strategy_prompts(payload: DataFrame, season_col: str | None = None, key="sel
     stock = fmt("%.1f", "stock_promedio", F.col("stock_promedio"))
     rep = fmt("%.1f", "rep_score", F.col("rep_score"))
     text = F.concat(
-        F.lit("Date: "), F.col("fecha_actual").cast("string"), F.lit(" | Season: "), season,
-        F.lit("\nSegment: "), F.col("cluster_name"),
-        F.lit("\nListings: "), F.col("publicaciones").cast("string"),
-        F.lit("\nDistinct categories: "), F.col("categorias_distintas").cast("string"),
-        F.lit("\nMean stock (units): "), stock,
-        F.lit("\nMean price: $"), price,
-        F.lit("\nMean discount: "), disc,
-        F.lit("\nReputation: "), rep, F.lit("/5"),
-        F.lit("\nCancellation: "), canc,
-        F.lit("\nPropose ONE priority action to raise sales and margin for this segment and season."))
+        F.lit("seller profile on "), F.col("fecha_actual").cast("string"), F.lit(", campaign: "), season,
+        F.lit("\ngroup = "), F.col("cluster_name"),
+        F.lit("\nlistings = "), F.col("publicaciones").cast("string"),
+        F.lit("\ncategories = "), F.col("categorias_distintas").cast("string"),
+        F.lit("\nunits in stock, mean = "), stock,
+        F.lit("\nprice, mean = "), price,
+        F.lit("\ndiscount, mean = "), disc,
+        F.lit("\nreputation (0 to 5) = "), rep,
+        F.lit("\ncancelled = "), canc,
+        F.lit("\nName the next step for this seller and the figure that would show it worked."))
     return payload.select(key, F.col("cluster_name"), text.alias("prompt"))
 
 
@@ -193,6 +190,14 @@ def season_context(dates: DataFrame, date_col: str, calendar=DEFAULT_CALENDAR) -
     return best.select("date", F.coalesce("campaign", F.lit(NO_CAMPAIGN)).alias("season"))
 
 
+def season_of(date: str, calendar=DEFAULT_CALENDAR) -> str:
+    """The campaign of one known date (a literal: no job is needed for it); same choice as ``season_context``."""
+    d = _dt.date.fromisoformat(date)
+    day = d.month * 100 + d.day
+    fits = [(prio, name) for name, sm, sd, em, ed, prio in calendar if sm * 100 + sd <= day <= em * 100 + ed]
+    return min(fits)[1] if fits else NO_CAMPAIGN
+
+
 # ---- alerts and history ------------------------------------------------------
 
 def promotion_alerts(seller_stats: DataFrame, labels: DataFrame, key="seller_nickname",
@@ -208,12 +213,12 @@ def churn_alerts(listings: DataFrame, labels: DataFrame, key="seller_nickname",
     """Power sellers whose reputation falls between consecutive snapshots.
 
     Listings are first reduced to one row per (seller, snapshot) (partial
-    aggregation), so the per-seller window only sees one row per snapshot date
-    of that seller, not its listings.
+    aggregation): the join with the labels and the per-seller window only see
+    one row per snapshot date of a seller, not its listings.
     """
     daily = (listings.where(F.col(key).isNotNull())
-                     .join(labels.where(F.col("cluster_id") == power_id).select(key), key, "left_semi")
-                     .groupBy(key, snapshot).agg(F.avg(rep).alias("rep")))
+                     .groupBy(key, snapshot).agg(F.avg(rep).alias("rep"))
+                     .join(labels.where(F.col("cluster_id") == power_id).select(key), key, "left_semi"))
     w = Window.partitionBy(key).orderBy(snapshot)
     return (daily.withColumn("prev_rep", F.lag("rep").over(w))
                  .where(F.col("rep") < F.col("prev_rep"))
@@ -233,11 +238,10 @@ def segment_gmv_growth(listings: DataFrame, labels: DataFrame, key="seller_nickn
                        date="snapshot_on") -> DataFrame:
     """Monthly GMV per segment and its change against the previous month.
 
-    The per-segment window runs over (segment, month) aggregates: one row per
-    month per segment, never over listings."""
-    monthly = (listings.join(labels.select(key, "cluster_id"), key)
-                       .groupBy("cluster_id", F.date_format(date, "yyyy-MM").alias("month"))
-                       .agg(F.sum(gmv).alias("gmv")))
+    Listings are summed to (seller, month) before they meet the labels, and the
+    per-segment window runs over (segment, month) rows."""
+    seller = (listings.groupBy(key, F.date_format(date, "yyyy-MM").alias("month")).agg(F.sum(gmv).alias("gmv")))
+    monthly = seller.join(labels.select(key, "cluster_id"), key).groupBy("cluster_id", "month").agg(F.sum("gmv").alias("gmv"))
     w = Window.partitionBy("cluster_id").orderBy("month")
     return (monthly.withColumn("prev_gmv", F.lag("gmv").over(w))
                    .withColumn("growth", F.try_divide(F.col("gmv") - F.col("prev_gmv"), F.col("prev_gmv"))))
@@ -254,3 +258,14 @@ def segment_migration(snapshots: DataFrame, key="seller_nickname", period="perio
     return (a.join(b, [key, "from_period"])
              .groupBy("from_period", "to_period", "from_cluster", "to_cluster")
              .agg(F.count(F.lit(1)).alias("sellers")))
+
+
+def segment_upgrades(snapshots: DataFrame, key="seller_nickname", period="period", power_id: int = 1) -> DataFrame:
+    """Per period and segment other than power: its sellers, and how many are power sellers one period later.
+
+    Sellers without a label in the next period count as not moved up."""
+    a = snapshots.where(F.col("cluster_id") != power_id).select(F.col(key), F.col(period).alias("from_period"), F.col("cluster_id").alias("from_cluster"))
+    b = snapshots.where(F.col("cluster_id") == power_id).select(F.col(key), (F.col(period) - 1).alias("from_period"), F.lit(1).alias("up"))
+    g = a.join(b, [key, "from_period"], "left").groupBy("from_period", "from_cluster").agg(
+        F.count(F.lit(1)).alias("sellers"), F.count("up").alias("upgraded"))
+    return g.withColumn("upgrade_share", F.try_divide(F.col("upgraded").cast("double"), F.col("sellers")))

@@ -40,9 +40,10 @@ def seller_price_stddev(df: DataFrame, seller="seller_nickname", price="price")
     return df.groupBy(seller).agg(F.stddev_samp(price).alias("price_stddev"))
 
 
-def seller_premium_share(df: DataFrame, seller="seller_nickname", price="price", p: float = 0.75) -> DataFrame:
-    """Share of a seller's listings priced above the global exact ``p`` quantile."""
-    q = global_quantile(df, price, p)
+def seller_premium_share(df: DataFrame, seller="seller_nickname", price="price", p: float = 0.75, quantile: float | None = None) -> DataFrame:
+    """Share of a seller's listings priced above the global exact ``p`` quantile
+    (``quantile``: its value, where the caller has it already)."""
+    q = global_quantile(df, price, p) if quantile is None else F.lit(float(quantile))
     premium = F.count_if(F.col(price) > q)
     return df.groupBy(seller).agg(_n().alias("listings"), premium.alias("premium")).select(
         seller, "listings", "premium", safe_div("premium", "listings").alias("premium_share"))
@@ -105,9 +106,10 @@ METRICS = ["variety_index", "price_stddev", "premium_share", "category_density",
 
 
 def seller_metrics(df: DataFrame, seller="seller_nickname", title="titulo", price="price",
-                   category="category_id", stock="stock", condition="condition", sales: str | None = None) -> DataFrame:
+                   category="category_id", stock="stock", condition="condition", sales: str | None = None,
+                   p75: float | None = None) -> DataFrame:
     """All seller metrics in one aggregate (the reference runs seven scans)."""
-    p75 = global_quantile(df, price, 0.75)
+    p75 = global_quantile(df, price, 0.75) if p75 is None else F.lit(float(p75))
     mean = global_mean(df, price)
     c = F.lower(F.col(condition))
     aggs = [_n().alias("listings"), F.count_distinct(title).alias("distinct_titles"),

@@ -5,7 +5,7 @@ Built from reusable CTEs so every oracle reads the same supplied tables.
 
 from __future__ import annotations
 
-from ..functions.expressions import REPUTATION_SCORES
+from ..functions.expressions import REPUTATION_SCORES, SNAP_SHIFT
 from ..operators.features import FEATURES
 from ..sources.listings import LISTINGS_SQL
 
@@ -85,9 +85,11 @@ def with_ctes(body: str, *extra: tuple[str, str]) -> str:
 
 
 def snap(expr: str, bits: int = 20) -> str:
-    """Same IEEE rounding as ``functions.expressions.snap`` (grid 2^-bits)."""
-    f = 2 ** bits
-    return f"(CAST(floor(CAST({expr} AS DOUBLE) * CAST({f} AS DOUBLE) + 0.5) AS DOUBLE) / CAST({f} AS DOUBLE))"
+    """Same IEEE steps as ``functions.expressions.snap`` (grid 2^-bits, large values as they are)."""
+    f, x = 2 ** bits, f"CAST({expr} AS DOUBLE)"
+    shift = f"CAST({int(SNAP_SHIFT)} AS DOUBLE)"
+    return (f"(CASE WHEN abs({x}) < CAST({2 ** (51 - bits)} AS DOUBLE) THEN "
+            f"({x} * CAST({f} AS DOUBLE) + {shift} - {shift}) / CAST({f} AS DOUBLE) ELSE {x} END)")
 
 
 def rnd(expr: str, alias: str, bits: int = 20) -> str:

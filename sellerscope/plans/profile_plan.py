@@ -43,12 +43,14 @@ class Profile:
         self.vf.unpersist()
 
 
-def profile(df: DataFrame, top_n: int = 5, seller_df: DataFrame | None = None, columns=None) -> Profile:
+def profile(df: DataFrame, top_n: int = 5, seller_df: DataFrame | None = None, columns=None,
+            vf: DataFrame | None = None) -> Profile:
+    """``vf``: the value-frequency table, where the caller holds it already (else one is persisted here; see ``unpersist``)."""
     cols = list(columns) if columns is not None else list(df.columns)
     d = df.select(*cols)
-    vf = pr.value_frequency(d).persist(StorageLevel.MEMORY_AND_DISK)
-    summary = pr.column_summary(vf)
+    vf = pr.value_frequency(d).persist(StorageLevel.MEMORY_AND_DISK) if vf is None else vf
     types = pr.column_types(d)
+    summary = pr.column_summary(vf, types)
     n = d.select(F.count(F.lit(1))).scalar()
     return Profile(
         dimensions=pr.table_dimensions(d), schema=types, summary=summary, numeric_stats=pr.numeric_stats(d),

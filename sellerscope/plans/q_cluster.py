@@ -13,6 +13,7 @@ from ..operators.elbow import kneedle
 from ..operators.features import FEATURES
 from ..operators.preprocess import inverse_scale
 from ..plans import scoring
+from ..sources import sinks
 from .oracle_sql import rnd, with_ctes
 from .registry import LABEL_CTES, ctx, register
 
@@ -141,6 +142,68 @@ def q_fitted_centroids(spark, sf_dir):
     return _fit(ctx(spark, sf_dir))[1]
 
 
+@register("score_sellers_fitted")
+def q_score_fitted(spark, sf_dir):
+    """1.8, 12.7: the fitted model saved, read back, and raw seller features scored with it."""
+    from ..streaming.scoring import score_frame
+    c = ctx(spark, sf_dir)
+    path = c.path("fitted-model")
+    scoring.save_model(path, c.model.params, _fit(c)[1])
+    params, cents = scoring.load_model(spark, path)
+    return score_frame(c.model.features, params, cents)
+
+
+def _written(c, df, name, fmt="parquet"):
+    """``df`` written as an output table of the run and read back."""
+    path = c.path(name)
+    sinks.write_table(df, path, fmt)
+    return c.spark.read.schema(df.schema).option("header", "true").format(fmt).load(path)
+
+
+@register("written_scaled_features", with_ctes(
+    "SELECT seller_nickname, " + ", ".join(rnd(f, f) for f in FEATURES) + " FROM scaled"))
+def q_written_scaled(spark, sf_dir):
+    """1.5: the scaled feature matrix written as Parquet and read back."""
+    c = ctx(spark, sf_dir)
+    return _written(c, c.model.scaled, "scaled-features")
+
+
+@register("written_segment_labels", with_ctes(
+    "SELECT seller_nickname, cluster_id, " + rnd("distance2", "distance2") + " FROM seg_labels", *LABEL_CTES))
+def q_written_labels(spark, sf_dir):
+    """1.5: the labelled sellers written as CSV and read back."""
+    c = ctx(spark, sf_dir)
+    return _written(c, c.ref_labels(), "segment-labels", "csv")
+
+
+@register("written_centroids", with_ctes("SELECT m.cluster_id, " + ", ".join(rnd(f"c.{f}", f) for f in FEATURES) +
+                                         " FROM cents c JOIN cmap m ON c.cluster_id = m.raw_id", *LABEL_CTES))
+def q_written_centroids(spark, sf_dir):
+    """1.5: the reference centroids (canonical ids) written as CSV and read back."""
+    from ..operators.segments import relabel_centroids
+    c = ctx(spark, sf_dir)
+    return _written(c, relabel_centroids(c.ref_centroids, c.ref_mapping()), "centroids", "csv")
+
+
+@register("written_loadings", bits=None)
+def q_written_loadings(spark, sf_dir):
+    """1.5: the component loadings written as CSV and read back."""
+    c = ctx(spark, sf_dir)
+    return _written(c, pca.pca_loadings(spark, _pca(c)), "loadings", "csv")
+
+
+@register("pca_variance_identity", C(
+    "SELECT " + rnd(" + ".join(f"var_samp({f})" for f in FEATURES), "total_variance", 16) + ", CAST(COUNT(*) AS BIGINT) AS sellers FROM scaled"),
+    bits_of={"total_variance": 16})
+def q_pca_identity(spark, sf_dir):
+    """11.1: the variances of all nine components add up to the features' total variance."""
+    c = ctx(spark, sf_dir)
+    fit = pca.fit_pca(c.model.scaled, FEATURES, len(FEATURES))
+    proj = pca.pca_projection(c.model.scaled, fit)
+    total = sum((F.var_samp(f"pc{i + 1}") for i in range(len(FEATURES))), F.lit(0.0))
+    return proj.agg(total.alias("total_variance"), F.count(F.lit(1)).alias("sellers"))
+
+
 @register("cluster_quality", bits=10)
 def q_quality(spark, sf_dir):
     """10.5: silhouette / DB / CH / inertia for k = 2..10 (best of the sweep's 10 restarts)."""

@@ -9,6 +9,7 @@ from ..operators import explore as ex
 from ..operators import preprocess as pp
 from ..operators import profile as pr
 from ..operators.sellers import seller_variety
+from ..sources.listings import SOURCE_COLUMNS
 from .oracle_sql import rnd, with_ctes
 from .registry import ctx, register
 
@@ -28,10 +29,9 @@ def q_price_rep(spark, sf_dir):
 
 @register("price_anova", X(
     "SELECT CAST(COUNT(*) AS INTEGER) AS groups, CAST(SUM(n) AS BIGINT) AS n, " + rnd(
-        "((SUM(s * s / n) - SUM(s) * SUM(s) / SUM(n)) / (COUNT(*) - 1)) / ((SUM(ss) - SUM(s * s / n)) / (SUM(n) - COUNT(*)))",
-        "f_statistic", 10) +
-    " FROM (SELECT seller_reputation, COUNT(*) AS n, SUM(price) AS s, SUM(price * price) AS ss FROM listings "
-    "WHERE price IS NOT NULL GROUP BY seller_reputation) g"), bits=10)
+        "(SUM(n * (m - gm) * (m - gm)) / (COUNT(*) - 1)) / (SUM(vp * n) / (SUM(n) - COUNT(*)))", "f_statistic", 10) +
+    " FROM (SELECT *, SUM(m * n) OVER () / SUM(n) OVER () AS gm FROM (SELECT seller_reputation, COUNT(*) AS n, AVG(price) AS m, "
+    "VAR_POP(price) AS vp FROM listings WHERE price IS NOT NULL GROUP BY seller_reputation) g) h"), bits=10)
 def q_anova(spark, sf_dir):
     """14.1: one-way ANOVA F of price across reputation tiers."""
     return ex.anova_f(ctx(spark, sf_dir).listings, "price", "seller_reputation")
@@ -101,29 +101,34 @@ def q_rep_alt(spark, sf_dir):
 
 
 @register("oversample_minority", X(
-    "SELECT is_refurbished, CAST(SUM(r) AS BIGINT) AS rows_out FROM (SELECT is_refurbished, CASE WHEN is_refurbished THEN "
+    "SELECT url, seller_nickname, is_refurbished, CAST(unnest(range(1, r + 1)) AS INTEGER) AS replica FROM ("
+    "SELECT url, seller_nickname, is_refurbished, CASE WHEN is_refurbished THEN "
     "GREATEST(1, CAST(ROUND(0.1 * (SELECT COUNT(*) FILTER (WHERE NOT is_refurbished) FROM listings) / "
-    "NULLIF((SELECT COUNT(*) FILTER (WHERE is_refurbished) FROM listings), 0)) AS INTEGER)) ELSE 1 END AS r "
-    "FROM listings) t GROUP BY is_refurbished"))
+    "NULLIF((SELECT COUNT(*) FILTER (WHERE is_refurbished) FROM listings), 0)) AS INTEGER)) ELSE 1 END AS r FROM listings) t"))
 def q_oversample(spark, sf_dir):
-    """7.9: deterministic replication of refurbished listings towards a 10 % ratio (row counts per class)."""
-    df = pp.oversample_minority(ctx(spark, sf_dir).listings, "is_refurbished", 0.1)
-    return df.groupBy("is_refurbished").agg(F.count(F.lit(1)).alias("rows_out"))
+    """7.9: deterministic replication of refurbished listings towards a 10 % ratio."""
+    df = pp.oversample_minority(ctx(spark, sf_dir).listings.select("url", "seller_nickname", "is_refurbished"), "is_refurbished", 0.1)
+    return df.select("url", "seller_nickname", "is_refurbished", "replica")
 
 
 @register("group_rare", X(
-    "SELECT CASE WHEN c.n < 0.05 * (SELECT COUNT(*) FROM listings) THEN 'OTHER' ELSE l.logistic_type END AS logistic_type, "
-    "CAST(COUNT(*) AS BIGINT) AS listings FROM listings l JOIN (SELECT logistic_type, COUNT(*) AS n FROM listings "
-    "GROUP BY logistic_type) c ON l.logistic_type IS NOT DISTINCT FROM c.logistic_type GROUP BY 1"))
+    "SELECT l.url, l.seller_nickname, CASE WHEN c.n < 0.05 * (SELECT COUNT(*) FROM listings) THEN 'OTHER' ELSE l.logistic_type END AS logistic_type "
+    "FROM listings l JOIN (SELECT logistic_type, COUNT(*) AS n FROM listings "
+    "GROUP BY logistic_type) c ON l.logistic_type IS NOT DISTINCT FROM c.logistic_type"))
 def q_group_rare(spark, sf_dir):
-    """7.10: logistic types under 5 % of listings grouped as OTHER (listings per resulting value)."""
-    df = pp.group_rare(ctx(spark, sf_dir).listings, "logistic_type", 0.05)
-    return df.groupBy("logistic_type").agg(F.count(F.lit(1)).alias("listings"))
+    """7.10: logistic types under 5 % of listings grouped as OTHER."""
+    df = ctx(spark, sf_dir).listings.select("url", "seller_nickname", "logistic_type")
+    return pp.group_rare(df, "logistic_type", 0.05)
 
 
-@register("drop_constant_columns")
+#: Columns of the listings that the fixture makes constant at any scale.
+_CONSTANT = ("tim_day",)
+
+
+@register("drop_constant_columns", X("SELECT " + ", ".join(
+    rnd(x, x, 12) if x in ("price", "regular_price") else x for x in SOURCE_COLUMNS if x not in _CONSTANT) + " FROM listings"), bits=12)
 def q_drop_constant(spark, sf_dir):
-    """7.7: source columns minus the constant ones found by the profile (schema of the result)."""
+    """7.7: the source rows without the columns that the profile finds constant."""
     c = ctx(spark, sf_dir)
     const = [r["column_name"] for r in pr.constant_columns(c.summary).collect()]  # column names only
-    return pr.column_types(pp.drop_columns(c.source, const))
+    return pp.drop_columns(c.source, const)

@@ -109,6 +109,12 @@ def q_constant(spark, sf_dir):
     return pr.constant_columns(ctx(spark, sf_dir).summary)
 
 
+@register("constant_columns_threshold", P("SELECT column_name, distinct_values FROM summ WHERE distinct_values <= 5"))
+def q_constant_threshold(spark, sf_dir):
+    """3.3b: columns with at most five distinct non-NULL values."""
+    return pr.constant_columns(ctx(spark, sf_dir).summary, max_distinct=5)
+
+
 @register("null_fraction", P("SELECT column_name, " + rnd("CAST(null_count AS DOUBLE) / total_rows", "null_fraction") + " FROM summ"))
 def q_null_fraction(spark, sf_dir):
     """3.4: NULL share (0-1) per column."""
@@ -173,8 +179,8 @@ def q_top_entropy(spark, sf_dir):
 
 
 @register("two_valued_columns", P(
-    "SELECT column_name, CAST(COUNT(*) AS BIGINT) AS n_values, concat_ws(', ', MIN(value), "
-    "CASE WHEN MAX(value) <> MIN(value) THEN MAX(value) END) AS value_list, "
+    "SELECT column_name, CAST(COUNT(*) AS BIGINT) AS n_values, MIN(value) AS first_value, "
+    "CASE WHEN MAX(value) <> MIN(value) THEN MAX(value) END AS second_value, "
     "bool_or(value IS NULL) AS includes_null FROM vf GROUP BY column_name HAVING COUNT(*) BETWEEN 1 AND 2"))
 def q_two_valued(spark, sf_dir):
     """3.8: columns with one or two distinct values (NULL counted)."""

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..operators import kmeans as km
 from ..operators import segments as sg
 from ..operators.features import FEATURES, seller_features
+from ..operators.preprocess import robust_scale
 from ..operators.segments import relabel
-from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from .oracle_sql import REP_CASE, rnd, snap, with_ctes
 from .registry import LABEL_CTES, SEGNAME_SQL, ctx, register
@@ -71,17 +69,16 @@ def q_playbook(spark, sf_dir):
 @register("segment_gmv_share", G(
     f"SELECT l.cluster_id, {SEGNAME_SQL.replace('cluster_id', 'l.cluster_id')} AS segment_name, "
     + rnd("SUM(g.gmv)", "gmv", 8) + ", " + rnd("SUM(g.gmv) / (SELECT SUM(gmv) FROM sgmv)", "gmv_share") +
-    f" FROM seg_labels l JOIN sgmv g ON l.{S} = g.{S} GROUP BY l.cluster_id"))
+    f" FROM seg_labels l JOIN sgmv g ON l.{S} = g.{S} GROUP BY l.cluster_id"), bits_of={"gmv": 8})
 def q_gmv_share(spark, sf_dir):
     """12.10: share of GMV per segment."""
     c = ctx(spark, sf_dir)
     seller = sg.seller_gmv(c.listings)
     total = seller.select(F.sum("gmv")).scalar()
     j = _labels(c).join(seller, S)
-    out = j.groupBy("cluster_id").agg(F.sum("gmv").alias("gmv")).select(
+    return j.groupBy("cluster_id").agg(F.sum("gmv").alias("gmv")).select(
         "cluster_id", sg.segment_name("cluster_id").alias("segment_name"), "gmv",
         F.try_divide(F.col("gmv"), total).alias("gmv_share"))
-    return out.withColumn("gmv", F.floor(F.col("gmv") * 256.0 + 0.5).cast("double") / 256.0)
 
 
 @register("strategy_payload", G(
@@ -94,15 +91,15 @@ def q_payload(spark, sf_dir):
     return sg.strategy_payload(c.listings, _labels(c), as_of=AS_OF)
 
 
-_PROMPT = ("concat('Date: ', CAST(p.fecha_actual AS VARCHAR), ' | Season: ', COALESCE(s.season, 'Ninguna campaña'), "
-           "chr(10) || 'Segment: ', p.cluster_name, chr(10) || 'Listings: ', CAST(p.publicaciones AS VARCHAR), "
-           "chr(10) || 'Distinct categories: ', CAST(p.categorias_distintas AS VARCHAR), "
-           "chr(10) || 'Mean stock (units): ', COALESCE(printf('%.1f', p.stock_promedio), 'n/d'), "
-           "chr(10) || 'Mean price: $', COALESCE(format('{:,}', p.precio_medio_cop), 'n/d'), "
-           "chr(10) || 'Mean discount: ', COALESCE(printf('%d%%', CAST(ROUND(" + snap("p.descuento_pct") + " * 100, 0) AS BIGINT)), 'n/d'), "
-           "chr(10) || 'Reputation: ', COALESCE(printf('%.1f', p.rep_score), 'n/d'), '/5', "
-           "chr(10) || 'Cancellation: ', COALESCE(printf('%.1f%%', ROUND(" + snap("p.tasa_cancelacion") + " * 100, 1)), 'n/d'), "
-           "chr(10) || 'Propose ONE priority action to raise sales and margin for this segment and season.')")
+_PROMPT = ("concat('seller profile on ', CAST(p.fecha_actual AS VARCHAR), ', campaign: ', COALESCE(s.season, 'Ninguna campaña'), "
+           "chr(10) || 'group = ', p.cluster_name, chr(10) || 'listings = ', CAST(p.publicaciones AS VARCHAR), "
+           "chr(10) || 'categories = ', CAST(p.categorias_distintas AS VARCHAR), "
+           "chr(10) || 'units in stock, mean = ', COALESCE(printf('%.1f', p.stock_promedio), 'n/d'), "
+           "chr(10) || 'price, mean = ', COALESCE(format('{:,}', p.precio_medio_cop), 'n/d'), "
+           "chr(10) || 'discount, mean = ', COALESCE(printf('%d%%', CAST(ROUND(" + snap("p.descuento_pct") + " * 100, 0) AS BIGINT)), 'n/d'), "
+           "chr(10) || 'reputation (0 to 5) = ', COALESCE(printf('%.1f', p.rep_score), 'n/d'), "
+           "chr(10) || 'cancelled = ', COALESCE(printf('%.1f%%', ROUND(" + snap("p.tasa_cancelacion") + " * 100, 1)), 'n/d'), "
+           "chr(10) || 'Name the next step for this seller and the figure that would show it worked.')")
 
 
 @register("strategy_prompts", G(
@@ -114,9 +111,7 @@ def q_prompts(spark, sf_dir):
     """13.2: rendered strategy prompt per seller, with the season of the as-of date."""
     c = ctx(spark, sf_dir)
     payload = sg.strategy_payload(c.listings, _labels(c), as_of=AS_OF)
-    seasons = sg.season_context(payload.select("fecha_actual").distinct(), "fecha_actual")
-    j = payload.join(seasons, payload.fecha_actual == seasons.date, "left").drop("date")
-    return sg.strategy_prompts(j, season_col="season")
+    return sg.strategy_prompts(payload.withColumn("season", F.lit(sg.season_of(AS_OF))), season_col="season")
 
 
 @register("season_context", G("SELECT CAST(date AS VARCHAR) AS date, season FROM season"))
@@ -128,12 +123,11 @@ def q_season(spark, sf_dir):
 @register("promotion_alerts", G(
     f"SELECT g.{S}, " + rnd("g.gmv", "gmv", 8) + ", " + rnd("g.rep_score", "rep_score") +
     f", 'candidate' AS alert FROM sgmv g JOIN seg_labels l ON g.{S} = l.{S} "
-    "WHERE l.cluster_id = 2 AND g.gmv > 50000 AND g.rep_score >= 4"))
+    "WHERE l.cluster_id = 2 AND g.gmv > 50000 AND g.rep_score >= 4"), bits_of={"gmv": 8})
 def q_promotion(spark, sf_dir):
     """13.5: growing sellers with GMV > 50,000 and reputation >= 4."""
     c = ctx(spark, sf_dir)
-    out = sg.promotion_alerts(sg.seller_gmv(c.listings), _labels(c))
-    return out.withColumn("gmv", F.floor(F.col("gmv") * 256.0 + 0.5).cast("double") / 256.0)
+    return sg.promotion_alerts(sg.seller_gmv(c.listings), _labels(c))
 
 
 @register("churn_alerts", G(
@@ -154,12 +148,11 @@ def q_churn(spark, sf_dir):
     rnd("(gmv - prev_gmv) / NULLIF(prev_gmv, 0)", "growth") + " FROM ("
     "SELECT cluster_id, month, gmv, LAG(gmv) OVER (PARTITION BY cluster_id ORDER BY month) AS prev_gmv FROM ("
     f"SELECT l.cluster_id, strftime(x.snapshot_on, '%Y-%m') AS month, SUM(x.gmv) AS gmv FROM listings x "
-    f"JOIN seg_labels l ON x.{S} = l.{S} GROUP BY l.cluster_id, strftime(x.snapshot_on, '%Y-%m')) m) t"))
+    f"JOIN seg_labels l ON x.{S} = l.{S} GROUP BY l.cluster_id, strftime(x.snapshot_on, '%Y-%m')) m) t"), bits_of={"gmv": 8, "prev_gmv": 8})
 def q_gmv_growth(spark, sf_dir):
     """13.8: month-over-month GMV per segment."""
     c = ctx(spark, sf_dir)
-    out = sg.segment_gmv_growth(c.listings, _labels(c))
-    return out.withColumns({k: F.floor(F.col(k) * 256.0 + 0.5).cast("double") / 256.0 for k in ("gmv", "prev_gmv")})
+    return sg.segment_gmv_growth(c.listings, _labels(c))
 
 
 # --- label snapshots per year -> migration --------------------------------------
@@ -182,23 +175,16 @@ _LAB_Y = "SELECT a.seller_nickname, a.period, m.cluster_id FROM as_y a JOIN cmap
 YEARLY = [("sf_y", _SF_Y), ("sc_y", _SC_Y), ("as_y", _AS_Y), ("lab_y", _LAB_Y)]
 
 
-def yearly_labels(c):
-    """Label snapshots: sellers re-scored on each year's listings with the global model."""
-    lst = c.listings.withColumn("period", F.year("snapshot_on"))
-    feats = seller_features(lst, by=["period"])
-    feats_scaled = _scale_with_keys(feats, c.model.params, [S, "period"])
-    raw = km.assign_with_features(feats_scaled, c.ref_centroids).select(S, "period", "cluster_id")
+def period_labels(c, period):
+    """Label snapshots: sellers re-scored on each period's listings with the global model."""
+    feats = seller_features(c.listings.withColumn("period", period), by=["period"])
+    scaled = robust_scale(feats, c.model.params, key=[S, "period"])
+    raw = km.assign_with_features(scaled, c.ref_centroids).select(S, "period", "cluster_id")
     return relabel(raw, c.ref_mapping())
 
 
-def _scale_with_keys(feats, params, keys):
-    from ..operators.preprocess import fitted_params
-    fp = fitted_params(params, FEATURES)
-    out = [F.col(k) for k in keys]
-    for f in FEATURES:
-        med, sc = F.lit(fp[f][0]).cast("double"), F.lit(fp[f][1]).cast("double")
-        out.append(((F.coalesce(F.col(f), med) - med) / sc).alias(f))
-    return feats.select(*out)
+def yearly_labels(c):
+    return period_labels(c, F.year("snapshot_on"))
 
 
 @register("segment_migration", G(
@@ -210,11 +196,27 @@ def q_migration(spark, sf_dir):
     return sg.segment_migration(yearly_labels(ctx(spark, sf_dir)))
 
 
-@register("label_history")
+@register("label_history", G("SELECT seller_nickname, cluster_id, CAST(period AS VARCHAR) || '-12-31' AS label_date FROM lab_y", *YEARLY))
 def q_label_history(spark, sf_dir):
-    """13.7: yearly label snapshots appended to a table partitioned by period (read back)."""
+    """13.7: label snapshots added to a history table, one partition per label date; writing a date again replaces it."""
     c = ctx(spark, sf_dir)
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "label_history")
-    sinks.write_table(yearly_labels(c), path, partition_by=["period"], mode="overwrite")
-    return spark.read.parquet(path)
+    path = c.path("label_history")
+    labels = yearly_labels(c).withColumn("label_date", F.concat(F.col("period").cast("string"), F.lit("-12-31"))).drop("period")
+    sinks.append_snapshot(labels, path, "label_date")
+    return spark.read.parquet(path).select("seller_nickname", "cluster_id", F.col("label_date").cast("string").alias("label_date"))
+
+
+_Q = "CAST(year(snapshot_on) * 4 + quarter(snapshot_on) - 1 AS INTEGER)"
+QUARTERLY = [("sf_y", _SF_Y.replace("CAST(year(snapshot_on) AS INTEGER)", _Q).replace("GROUP BY seller_nickname, year(snapshot_on)", f"GROUP BY seller_nickname, {_Q}")), *YEARLY[1:]]
+
+
+@register("segment_upgrades", G(
+    "SELECT a.period AS from_period, a.cluster_id AS from_cluster, CAST(COUNT(*) AS BIGINT) AS sellers, "
+    "CAST(COUNT(*) FILTER (WHERE b.cluster_id = 1) AS BIGINT) AS upgraded, " +
+    rnd("CAST(COUNT(*) FILTER (WHERE b.cluster_id = 1) AS DOUBLE) / COUNT(*)", "upgrade_share") +
+    " FROM lab_y a LEFT JOIN lab_y b ON a.seller_nickname = b.seller_nickname AND b.period = a.period + 1 "
+    "WHERE a.cluster_id <> 1 GROUP BY a.period, a.cluster_id", *QUARTERLY))
+def q_upgrades(spark, sf_dir):
+    """13.8: per quarter (year * 4 + quarter - 1), the share of each segment's sellers that are power sellers a quarter later."""
+    quarter = F.year("snapshot_on") * 4 + F.quarter("snapshot_on") - 1
+    return sg.segment_upgrades(period_labels(ctx(spark, sf_dir), quarter))

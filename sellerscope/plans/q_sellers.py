@@ -48,7 +48,8 @@ def q_price_std(spark, sf_dir):
     + f" FROM listings GROUP BY {S}"))
 def q_premium(spark, sf_dir):
     """5.3: share above the global exact p75 price."""
-    return sm.seller_premium_share(ctx(spark, sf_dir).listings)
+    c = ctx(spark, sf_dir)
+    return sm.seller_premium_share(c.listings, quantile=c.p75)
 
 
 @register("seller_category_density", Q(
@@ -91,7 +92,8 @@ def q_new_used(spark, sf_dir):
     f"SELECT {S}, listings, " + ", ".join(rnd(m, m) for m in sm.METRICS + ["turnover"]) + " FROM smetrics"))
 def q_metrics(spark, sf_dir):
     """5.8: every seller metric from one aggregate."""
-    return sm.seller_metrics(ctx(spark, sf_dir).listings, sales="ventas")
+    c = ctx(spark, sf_dir)
+    return sm.seller_metrics(c.listings, sales="ventas", p75=c.p75)
 
 
 @register("seller_turnover", Q(
@@ -131,4 +133,5 @@ def q_weekly(spark, sf_dir):
         for m in sm.METRICS + ["turnover"]) + ") u) r WHERE rank <= 10"))
 def q_top_sellers(spark, sf_dir):
     """5.12: top ten sellers per metric."""
-    return sm.top_sellers_by_metric(sm.seller_metrics(ctx(spark, sf_dir).listings, sales="ventas"), 10)
+    c = ctx(spark, sf_dir)
+    return sm.top_sellers_by_metric(sm.seller_metrics(c.listings, sales="ventas", p75=c.p75), 10)

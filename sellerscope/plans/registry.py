@@ -9,11 +9,15 @@ oracle); the operators themselves never round.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import round_doubles
-from pyspark import StorageLevel
+from ..functions.quantiles import exact_quantiles
 
 from ..operators import kmeans as km
 from ..operators import profile as pr
@@ -36,13 +40,14 @@ def dates_as_text(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def register(name: str, sql: str | None = None, bits: int | None = 20, keep=()):
+def register(name: str, sql: str | None = None, bits: int | None = 20, keep=(), bits_of: dict | None = None):
     """Register a query; doubles are snapped to a 2^-bits grid except ``keep``
-    columns (already rounded to decimals by the operator itself)."""
+    columns (already rounded to decimals by the operator itself); ``bits_of``
+    names columns with another grid."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = dates_as_text(fn(spark, sf_dir))
-            return round_doubles(out, bits, exclude=keep) if bits is not None else out
+            return round_doubles(out, bits, exclude=keep, bits_of=bits_of) if bits is not None else out
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -60,6 +65,18 @@ class Context:
         self._model = None
         self._ref = None
 
+    def path(self, name: str) -> str:
+        """A path in the shared folder that belongs to this data set and application: the same for every call."""
+        tag = hashlib.sha1(f"{os.path.abspath(self.sf_dir)}|{self.spark.sparkContext.applicationId}".encode()).hexdigest()[:12]
+        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/{name}-{tag}"
+
+    @property
+    def p75(self) -> float | None:
+        """The exact 75th percentile of the price: computed once, used by every seller query."""
+        if not hasattr(self, "_p75"):
+            self._p75 = exact_quantiles(self.listings, ["price"], [0.75]).first()["quantile"]
+        return self._p75
+
     @property
     def listings(self) -> DataFrame:
         """The listings fixture, written once as Parquet in the session's shared
@@ -67,11 +84,7 @@ class Context:
         scale factor, later scans get column pruning and filter push-down, and
         the lineage of every query starts at a durable table."""
         if getattr(self, "_listings_path", None) is None:
-            import hashlib
-            import os
-            base = ensure_checkpoint_dir(self.spark)
-            tag = hashlib.sha1(f"{os.path.abspath(self.sf_dir)}|{self.spark.sparkContext.applicationId}".encode()).hexdigest()[:12]
-            path = os.path.join(base, f"listings-{tag}")
+            path = self.path("listings")
             load_listings(self.spark, self.sf_dir).write.mode("overwrite").parquet(path)
             self._listings_path = path
         return self.spark.read.parquet(self._listings_path)
@@ -100,7 +113,18 @@ class Context:
 
     @property
     def summary(self) -> DataFrame:
-        return pr.column_summary(self.vf)
+        return pr.column_summary(self.vf, self.types)
+
+    def close(self) -> None:
+        """Release everything this context has persisted."""
+        kept = [getattr(self, n, None) for n in ("_vf", "_ref")]
+        if self._model is not None:
+            kept += [self._model.features, self._model.params, self._model.scaled]
+        kept += list((getattr(self, "_fit", None) or ())[:2])
+        for df in kept:
+            if df is not None:
+                df.unpersist()
+        self._model = self._ref = self._vf = self._fit = None
 
     @property
     def types(self) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from ..operators.features import FEATURES, seller_features
 from ..operators.kmeans import assign_segments, fit_kmeans, quantile_profile_centroids
 from ..operators.preprocess import robust_scale, scaler_params
+from ..sources import sinks
 from ..operators.segments import canonical_ids, name_segments, relabel, relabel_centroids
 
 
@@ -45,9 +46,16 @@ def reference_centroids(model: SellerModel) -> DataFrame:
     return quantile_profile_centroids(model.scaled)
 
 
-def score_sellers(model: SellerModel, centroids: DataFrame) -> DataFrame:
-    """``(seller_nickname, cluster_id, distance2, segment_name)``."""
-    return name_segments(assign_segments(model.scaled, centroids))
+def save_model(path: str, params: DataFrame, centroids: DataFrame) -> None:
+    """Write a fitted model: scaler parameters, and centroids under their canonical ids, so that
+    later scorings use the ids of the fit and never number the clusters anew."""
+    sinks.save_params(params, f"{path}/scaler")
+    sinks.save_params(centroids, f"{path}/centroids")
+
+
+def load_model(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(scaler parameters, centroids) of a saved model."""
+    return sinks.load_params(spark, f"{path}/scaler"), sinks.load_params(spark, f"{path}/centroids")
 
 
 def segment_sellers(model: SellerModel, k: int = 3, *, n_init: int = 10, max_iter: int = 300, seed: int = 42,

@@ -47,8 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint directory.
 
     On a cluster the directory comes from ``spark.checkpoint.dir`` (a shared
-    file system).  Only when nothing is configured (local tests) a fresh
-    scratch folder is created.
+    file system).  Only a local session without that setting gets a fresh
+    scratch folder; on a cluster executors would not see one, so it raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="sellerscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

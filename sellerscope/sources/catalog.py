@@ -9,15 +9,19 @@ driver.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def list_files(spark: SparkSession, folder: str, ext: str) -> list[str]:
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}")
-                  .option("recursiveFileLookup", "false").load(folder).select("path"))
-    return sorted(r["path"] for r in files.collect())
+    """Tables of a folder: its files ``*.{ext}``, and its sub-folders of that name (a table stored as part files)."""
+    base = folder.rstrip("/")
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").option("recursiveFileLookup", "true")
+                  .load(base).select("path"))
+    inner = F.regexp_extract("path", r"^(.*?/" + re.escape(base.rsplit("/", 1)[-1]) + r"/[^/]+\." + re.escape(ext) + r")(/.*)?$", 1)
+    return sorted(r["t"] for r in found.select(inner.alias("t")).where("t <> ''").distinct().collect())
 
 
 def view_name(path: str, prefix: str = "data", sep: str = "_") -> str:

@@ -78,10 +78,10 @@ def build_listings(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
     )
 
 
-def load_listings(spark: SparkSession, sf_dir: str, source_only: bool = False) -> DataFrame:
+def load_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = build_listings(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders"),
                         read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "part"))
-    return df.select(*SOURCE_COLUMNS) if source_only else df
+    return df
 
 
 # The same fixture as DuckDB/ANSI SQL, used as a CTE by every oracle query.

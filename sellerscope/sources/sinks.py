@@ -17,6 +17,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.format(fmt).save(path)
 
 
+def append_snapshot(df: DataFrame, path: str, date_col: str) -> None:
+    """Add the dates of ``df`` to a history table partitioned by ``date_col``; a date already there is replaced, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path)
+
+
 def save_params(df: DataFrame, path: str) -> None:
     """Persist a small parameter table (scaler parameters, centroids) as Parquet."""
     write_table(df.coalesce(1), path)

@@ -13,17 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.features import FEATURES
 from ..operators.kmeans import assign_expr, collect_centroids
-from ..operators.preprocess import fitted_params
+from ..operators.preprocess import robust_scale
 from ..operators.segments import segment_name
 from ..sources.sinks import METRICS_SCHEMA
-from pyspark.sql import functions as F
 
 
 def score_frame(records: DataFrame, params: DataFrame, centroids: DataFrame, key="seller_nickname") -> DataFrame:
     """Works on batch and streaming DataFrames alike."""
-    fp = fitted_params(params, FEATURES)
-    scaled = records.select(key, *[((F.coalesce(F.col(f), F.lit(fp[f][0])) - F.lit(fp[f][0])) / F.lit(fp[f][1])).alias(f)
-                                   for f in FEATURES])
+    scaled = robust_scale(records, params, key=key)
     cid, dist = assign_expr(collect_centroids(centroids, FEATURES), FEATURES)
     return scaled.select(key, cid.alias("cluster_id"), dist.alias("distance2")).withColumn(
         "segment_name", segment_name("cluster_id"))

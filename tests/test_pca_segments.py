@@ -45,4 +45,4 @@ def test_season_context_and_prompt(spark):
         "categorias_distintas long, stock_promedio double, precio_medio_cop long, descuento_pct double, "
         "rep_score double, tasa_cancelacion double")
     text = sg.strategy_prompts(payload).collect()[0]["prompt"]
-    assert "Mean price: $105,000" in text and "Mean discount: 27%" in text and "Cancellation: n/d" in text
+    assert "price, mean = 105,000" in text and "discount, mean = 27%" in text and "cancelled = n/d" in text
