@@ -52,32 +52,40 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(own)]
         self.sign = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    def piece(self, p: str) -> bytes:
+        """Ids of one piece of the pattern, by the BPE model."""
+        spelt = p if p.isascii() else "".join([self.sign[b] for b in p.encode()])
+        t = self.model.tokenize(spelt)
+        return struct.pack(f"<{len(t)}I", *[x.id for x in t])
+
     def word(self, w: bytes) -> bytes:
         if not self.SIMPLE.fullmatch(w):
             return np.array(self.full.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for p in self.PIECE.findall(w.decode().lower()):
-            ids = self.pieces.get(p)
-            if ids is None:
-                spelt = p if p.isascii() else "".join(self.sign[b] for b in p.encode())
-                ids = struct.pack(f"<{len(t := self.model.tokenize(spelt))}I", *[x.id for x in t])
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        parts = self.PIECE.findall(w.decode().lower())
+        if len(parts) == 1:  # the word is its own piece, and remembered as such
+            return self.pieces.get(parts[0]) or self.piece(parts[0])
+        return b"".join([self.pieces.get(p) or self.pieces.setdefault(p, self.piece(p)) for p in parts])
+
+    def miss(self, w: bytes) -> bytes:
+        ids = self.words.get(w)
+        if ids is None:
+            ids = self.old.pop(w, None)
+            self.words[w] = ids = self.word(w) if ids is None else ids
+        return ids
 
     def text(self, t: bytes) -> bytes:
         if b"<|" in t:
             return np.array(self.full.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         words = t.lower().split()
-        for w in set(words).difference(self.words):
-            ids = self.old.pop(w, None)
-            self.words[w] = self.word(w) if ids is None else ids
-        out = b"".join(map(self.words.__getitem__, words))
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            miss = self.miss
+            ids = [x if x is not None else miss(w) for x, w in zip(ids, words)]
         if len(self.words) > CACHE:
             self.words, self.old = {}, self.words
-        return out
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        return b"".join(ids)
 
 
 class Writer:
