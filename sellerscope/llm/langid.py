@@ -81,18 +81,18 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def labelled_sample(rows: DataFrame) -> list:
-    """Up to SAMPLE_ROWS (lang, buckets, counts) of ``rows`` (doc_id, text, lang), those of smallest id hash per language."""
-    from pyspark.sql import Window as W
+    """Up to SAMPLE_ROWS (lang, buckets, counts) of ``rows`` (doc_id, text, lang).
+
+    A row is taken where the hash of its id lies below its language's share, set so that about SAMPLE_PER_LANG
+    rows of each are (all of a rare one): counts are all that is gathered per language.
+    """
     h = F.xxhash64("doc_id")
-    known = rows.select("lang", h.alias("h"))
-    langs = known.select("lang").distinct().count()
-    per = max(20, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, langs)))
-    kept = known.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per)
-    limits = kept.groupBy("lang").agg(F.max("h").alias("h")).collect()
-    cut = F.lit(None).cast("long")
-    for r in limits:
-        cut = F.when(F.col("lang") == r.lang, F.lit(r.h)).otherwise(cut)
-    some = rows.select("lang", h.alias("h"), "text").filter(F.col("h") <= cut)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    per = max(20, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, len(counts))))
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, per / r.n))).otherwise(share)
+    some = rows.select("lang", h.alias("h"), "text").filter(F.col("h").cast("double") / 2.0 ** 64 + 0.5 <= share)
 
     def features(batches):
         import pyarrow as pa
@@ -138,14 +138,20 @@ def ftrl(examples, classes: int, epochs: int = EPOCHS):
 
 
 def temperature(scores, y) -> float:
-    """The divisor of the scores that gives the held examples the least log loss."""
+    """The divisor of the scores that gives the held examples the least log loss.
+
+    One more example, spread over all classes, is counted in: without an error among few examples scores aren't
+    taken for certain.
+    """
     if not len(y):
         return 1.0
+    spread = 1.0 / (len(y) + 1)
 
     def loss(t):
         s = scores / t
         s = s - s.max(axis=1, keepdims=True)
-        return float(-(s[np.arange(len(y)), y] - np.log(np.exp(s).sum(axis=1))).mean())
+        logp = s - np.log(np.exp(s).sum(axis=1))[:, None]
+        return float(-((1 - spread) * logp[np.arange(len(y)), y].mean() + spread * logp.mean()))
     grid = np.exp(np.linspace(math.log(0.02), math.log(20), 120))
     return float(grid[int(np.argmin([loss(t) for t in grid]))])
 
@@ -169,7 +175,7 @@ def fit_languages(rows: DataFrame) -> Model:
         examples.append((*unit_features(counts, idf), no[r.lang]))
     held, learn = examples[::5], [x for i, x in enumerate(examples) if i % 5]
     w, b = ftrl(learn or examples, max(1, len(langs)))
-    scores = np.array([x @ w[at] + b for at, x, _ in held]).reshape(len(held), -1)
+    scores = np.array([x @ w[at] + b for at, x, _ in held]).reshape(len(held), max(1, len(langs)))
     return Model(langs=langs, idf=idf, weights=w, bias=b, temp=temperature(scores, np.array([y for _, _, y in held], int)))
 
 

@@ -85,7 +85,7 @@ def class_key(s) -> bytes:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, node (class; null without a word), bands: map-only, written once."""
+    """doc_id, text_hash, n_shingles, node (class; null without a word), bands: map-only, written once."""
     def run(batches):
         import pyarrow as pa
         ask = densification()
@@ -93,11 +93,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             sets = shingle_sets(b.column(1))
             bands = [band_keys(signature(s, ask)) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()),
+                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "node", "bands"])
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return written(rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, bands array<long>"), "signatures")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return written(rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node binary, bands array<long>"), "signatures")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -168,13 +168,9 @@ def components(links: DataFrame) -> DataFrame:
             return names
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    Null, empty or wordless text: no shingles, linked with nothing.  Repeated rows and exact copies: one class,
-    linked.  Rows of one id: each by its own text; a null id is larger than all others, and a component of null
-    ids only has a null id and keeps its rows.  Empty table: no rows.  Other columns are not read.
-    """
+def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash, n_shingles, label (of its component; null without a word),
+    component_id (smallest id)."""
     sig = signatures(docs, doc_id, text)
     classes = sig.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
@@ -202,25 +198,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         more = verified(pairs, sets, percent)
         links = more if links is None else links.unionByName(more)
         labels = components(links)
-    named = sig.select("doc_id", "n_shingles", "node")
+    named = sig.select("doc_id", "text_hash", "n_shingles", "node")
     if labels is not None:
         named = named.join(labels, "node", "left")
     else:
         named = named.withColumn("label", F.lit(None).cast("binary"))
-    named = written(named.select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")), "named")
+    named = written(named.select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "node").alias("label")), "named")
     least = named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "label", "left")
-    out = out.withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Null, empty or wordless text: no shingles, linked with nothing.  Repeated rows and exact copies: one class,
+    linked.  Rows of one id: each by its own text; a null id is larger than all others, and a component of null
+    ids only has a null id and keeps its rows.  Empty table: no rows.  Other columns are not read.
+    """
+    out = linked_rows(docs, doc_id, text, percent)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, **kw) -> DataFrame:
-    """One row of each component of ``docs``, the one of smallest id; of rows that repeat an id, one. Columns unchanged."""
-    found = near_duplicates(docs, **kw).filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of ``docs`` (doc_id, text, ...): that of smallest id, of equal ids that of the least
+    text hash, of equal rows one.  Rows without a word all stay.  Columns unchanged."""
+    rows = linked_rows(docs, percent=percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    per = rows.filter(F.col("label").isNotNull()).groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    one = per.groupBy("label").agg(F.min(F.struct("text_hash", "n", "doc_id")).alias("c"))
+    bare = rows.filter(F.col("label").isNull()).select("doc_id", "text_hash").distinct()
+    chosen = one.select(F.col("c.doc_id").alias("_id"), F.col("c.text_hash").alias("_hash"), F.col("c.n").alias("_n")).unionByName(
+        bare.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(1).cast("long").alias("_n")))
     whole = docs.select(F.struct("*").alias("_row"))  # so that no column of the table can clash with those of the join
-    j = whole.join(written(found, "kept"), F.col("_row.doc_id").eqNullSafe(F.col("_id")))
-    again = j.filter("_rows > 1").groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row"))
-    return j.filter("_rows = 1").select("_row.*").unionByName(again.select("_row.*"))
+    j = whole.join(written(chosen, "kept"), F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_hash")))
+    again = j.filter("_n > 1").groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))  # rows equal in id and text
+    return j.filter("_n = 1").select("_row.*").unionByName(again.select("_row.*"))
 
 
 ORACLE = rf"""
