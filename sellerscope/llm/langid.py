@@ -220,12 +220,16 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """The rows whose language is identified with at least ``min_score``; columns unchanged.
+def keep_identified(docs: DataFrame, min_score: float | None = None) -> DataFrame:
+    """The rows whose language is identified; columns unchanged.
 
-    Scores travel with the text, so nothing is joined or shuffled.
+    Rejected are rows without a letter, and those with a score below ``min_score``: unless given, a tenth above
+    that of a guess among the learnt languages (0.4 at most), so that short clean texts stay.  Scores travel with
+    the text: nothing is joined or shuffled.
     """
     model = fit_languages(training_rows(docs))
+    if min_score is None:
+        min_score = min(0.4, 1.1 / max(1, len(model.langs)))
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     at = docs.columns.index("text")
 
