@@ -2,10 +2,13 @@ import os
 import tempfile
 
 import duckdb
+import pytest
 
 import __spark_entry__ as E
+from sellerscope.plans.registry import ORACLES, QUERIES
 from sellerscope.sources import catalog
 from sellerscope.streaming.scoring import score_frame, start_scoring_stream
+from tools.check_oracle import rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,21 +23,13 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-def test_oracles_match_at_smoke_scale(spark):
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracles_match_at_smoke_scale(spark, name):
     con = duckdb.connect()
     for t in ["customer", "part", "orders", "lineitem"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    qs, ors = E.queries(), E.oracle_sql()
-    for name in ["seller_features", "scaled_features", "score_sellers", "column_profile", "top_values",
-                 "seller_metrics", "silhouette", "segment_profile", "strategy_prompts", "price_by_reputation"]:
-        s = qs[name](spark, SF).toPandas()
-        d = con.execute(ors[name]).fetchdf()
-        cols = sorted(s.columns)
-        assert cols == sorted(d.columns), name
-        key = lambda r: tuple((v is None, str(v)) for v in r)
-        srows = sorted((tuple(None if v != v else v for v in r) for r in s[cols].itertuples(index=False)), key=key)
-        drows = sorted((tuple(None if v != v else v for v in r) for r in d[cols].itertuples(index=False)), key=key)
-        assert [tuple(map(str, r)) for r in srows] == [tuple(map(str, r)) for r in drows], name
+    s, d = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).fetchdf()
+    assert rows_of(s) == rows_of(d)
 
 
 def test_register_csv_folder(spark):
@@ -47,6 +42,21 @@ def test_register_csv_folder(spark):
     assert "data_test" in [r["view_name"] for r in catalog.list_views(spark).collect()]
 
 
+def test_register_folder_of_part_files(spark):
+    folder = tempfile.mkdtemp(prefix="partfold-", dir="/tmp")
+    spark.range(10).repartition(3).write.parquet(os.path.join(folder, "big-table.parquet"))
+    spark.range(4).coalesce(1).write.parquet(os.path.join(folder, "other.parquet"))
+    views = catalog.register_folder(spark, folder, fmt="parquet").collect()
+    assert sorted(v["view_name"] for v in views) == ["data_big_table", "data_other"]
+    assert spark.table("data_big_table").count() == 10
+
+
+def test_report_is_written_and_read(spark):
+    lines = QUERIES["profile_report"](spark, SF).collect()
+    assert {r["section"] for r in lines} == {1, 2, 3, 4, 5, 6} and all(r["line"] for r in lines)
+    assert len({(r["section"], r["line_no"]) for r in lines}) == len(lines)
+
+
 def test_stream_scoring_matches_batch(spark):
     from sellerscope.plans.registry import ctx
     c = ctx(spark, SF)
