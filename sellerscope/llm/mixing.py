@@ -78,7 +78,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
     counts = mix_counts(docs, doc_id=doc_id, **kw)
     per = written(counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies")), "copies")
     whole = docs.select(F.struct("*").alias("_row"))  # so that no column of the table can clash with those of the join
-    j = whole.join(per.withColumnRenamed("doc_id", "_id"), F.col(f"_row.{doc_id}").eqNullSafe(F.col("_id")))
+    # both sides grow with the corpus: joined by merge at any size, never by broadcast
+    j = whole.join(per.withColumnRenamed("doc_id", "_id").hint("merge"), F.col(f"_row.{doc_id}").eqNullSafe(F.col("_id")))
     plain = j.filter(F.col("_rows") == 1).select("_row", "_copies")
     repeats = j.filter(F.col("_rows") > 1)
     if not repeats.isEmpty():
