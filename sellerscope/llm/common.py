@@ -173,6 +173,17 @@ def word_hashes(data, offsets, rule):
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 
+def pieces(batches, column: int, limit: int = 4 << 20):
+    """The batches in slices of about ``limit`` bytes of a text column, so that arrays over words stay small."""
+    import pyarrow.compute as pc
+    for b in batches:
+        n = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        cut = [0, *(np.flatnonzero(n[1:] // limit != n[:-1] // limit) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
 # --- files in the shared folder ---------------------------------------------------------------------------
 
 def open_fs(uri: str):

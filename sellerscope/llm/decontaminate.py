@@ -8,13 +8,12 @@ and word-by-word extension the longest verbatim matches.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, plain_rule, ship, text_buffers, word_hashes
+from .common import LOWER, UPPER, pieces, plain_rule, ship, text_buffers, word_hashes
 
 ship(__name__)
 
@@ -160,7 +159,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     def run(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in pieces(batches, 1):
             data, offsets = text_buffers(b.column(1))
             words, at = word_hashes(data, offsets, plain_rule())
             n = len(at) - 1
@@ -196,7 +195,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
     def run(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in pieces(batches, 1):
             data, offsets = text_buffers(b.column(1))
             words, at = word_hashes(data, offsets, plain_rule())
             for block in blocks:
@@ -222,7 +221,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def keep(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in pieces(batches, at_text):
             data, offsets = text_buffers(b.column(at_text))
             words, at = word_hashes(data, offsets, plain_rule())
             bad = np.zeros(len(at) - 1, bool)

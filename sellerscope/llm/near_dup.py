@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, ship, space_rule, text_buffers, word_hashes, written
+from .common import mix, pieces, ship, space_rule, text_buffers, word_hashes, written
 
 ship(__name__)
 
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         ask = densification()
-        for b in batches:
+        for b in pieces(batches, 1):
             sets = shingle_sets(b.column(1))
             bands = [band_keys(signature(s, ask)) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -108,7 +108,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataF
     def run(batches):
         import pyarrow as pa
         last = None
-        for b in batches:
+        for b in pieces(batches, 1):
             sets, ok = shingle_sets(b.column(1)), []
             for s, n in zip(sets, b.column(0).to_pylist()):
                 ok.append(n != last and class_key(s) == n)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, ship, space_rule, text_buffers, word_hashes, written
+from .common import pieces, remainder, ship, space_rule, text_buffers, word_hashes, written
 
 ship(__name__)
 
@@ -67,7 +67,7 @@ def feature_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """doc_id and one double per feature, written once: map-only."""
     def run(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in pieces(batches, 1):
             x = text_features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, j]) for j in range(x.shape[1])]], ["doc_id", *FEATURES])
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -28,7 +28,7 @@ IDS_MAGIC, SEEK_MAGIC, FOOT_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB
 FILE_BYTES = 128 << 20
 LEVEL = 1
 #: Words and pieces whose ids a Python worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 MANIFEST = "part int, seq int, path string, bytes long, n_docs long, n_tokens long"
 
 
