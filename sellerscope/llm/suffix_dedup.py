@@ -34,23 +34,28 @@ WIDE = SPAN - K + 1
 #: Bytes that one pass of the transforms reads; SPAN is a multiple of it.
 STEP = 4
 #: Text of a shard file, and of a shard whose suffixes are sorted at once.
-FILE_BYTES, SHARD_BYTES = 16 << 20, 256 << 10
-CHUNK = 1 << 20
+FILE_BYTES, SHARD_BYTES = 8 << 20, 256 << 10
+CHUNK = 1 << 16
 #: Anchors of more occurrences have their strings dealt out one by one, by their own hash.
 HOT = 4096
 #: Buckets per shuffle partition.
 SPREAD = 4
 _LOW = np.uint64((1 << 24) - 1)
+_SIGN = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def gram_hashes(b):
     """64-bit hashes of all K-grams of a byte array, by doubling."""
-    h = mix(b.astype(np.uint64) + np.uint64(0x51ED270B))
+    h = _SIGN[b]
     p, s = 0x9E3779B97F4A7C15, 1
     while s < K:
-        h = h[:-s] * np.uint64(p) + h[s:]
-        p, s = p * p % (1 << 64), s * 2
-    return mix(h)
+        nxt = h[:-s] * np.uint64(p)
+        nxt += h[s:]
+        h, p, s = nxt, p * p % (1 << 64), s * 2
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def anchors(data, offsets):
@@ -62,7 +67,8 @@ def anchors(data, offsets):
     for lo in range(0, max(0, len(data) - SPAN + 1), CHUNK):
         hi = min(lo + CHUNK, len(data) - SPAN + 1)
         h = gram_hashes(data[lo:hi + SPAN - 1])
-        m = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+        m = h & ~_LOW
+        m |= np.arange(len(h), dtype=np.uint64)
         s = 1
         while 2 * s <= WIDE:
             m = np.minimum(m[:-s], m[s:])
@@ -95,7 +101,7 @@ def save_shard(path: str, ids, data, offsets):
     fs, where = open_fs(path)
     with fs.open_output_stream(where, compression=None) as f:
         raw = np.asarray(offsets, np.int64).tobytes() + np.asarray(ids, np.int64).tobytes() + data.tobytes()
-        f.write(struct.pack("<q", len(ids)) + zstandard.ZstdCompressor(level=3).compress(raw))
+        f.write(struct.pack("<q", len(ids)) + zstandard.ZstdCompressor(level=1).compress(raw))
 
 
 def load_shard(path: str):
@@ -226,11 +232,7 @@ def segment_rows(repeated: DataFrame, buckets: int) -> DataFrame:
 
 class Rows:
     """All suffixes of a bucket's segments, the empty one of each too: ``code`` of the STEP bytes at each place (0
-    where fewer are left), ``before`` the code of the STEP bytes before it (0 where there are fewer).
-
-    So a segment has STEP places of either kind without a code, and the places without a code can stand for each
-    other when a pass deals out the rows.
-    """
+    where fewer are left), ``before`` the code of the STEP bytes before it (0 where there are fewer)."""
 
     def __init__(self, segments: list):
         self.lengths = np.array([len(s) + 1 for s in segments], np.int64)
@@ -259,42 +261,47 @@ def shard_order(code) -> np.ndarray:
     ends = np.flatnonzero(code == 0)
     rank[code > 0] += len(ends)
     rank[ends] = np.arange(len(ends))
-    reach, order = STEP, None
+    reach = STEP
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         if reach >= SPAN:
             return order
         r = rank[order]
         dense = np.empty(n, np.int64)
         dense[order] = np.concatenate([[0], np.cumsum(r[1:] != r[:-1])])
-        nxt = np.zeros(n, np.int64)
-        nxt[:n - reach] = dense[reach:] if reach < n else 0
-        rank = dense * (n + 1) + nxt
+        rank = dense * (n + 1)
+        rank[:max(0, n - reach)] += dense[reach:]
         reach *= 2
 
 
-def merge_transforms(transforms: list, ends: list):
-    """Interleaves the rows of several shards' transforms by their suffixes' first SPAN bytes.
+def merge_transforms(orders: list, before, inner, counts):
+    """Interleaves the wanted rows of several shards' transforms by their suffixes' first SPAN bytes.
 
-    ``transforms[s]`` holds the symbol before each of shard s's rows, in the shard's order; ``ends[s]`` is the
-    number of its rows without a whole step, which come first.  Returns (interleave, border): which shard each
-    merged row is of, and whether its first SPAN bytes differ from those of the row above.
+    ``orders[s]`` has shard s's rows (places in the text) in its own order, ``before`` the symbol before each place,
+    ``inner`` the place in its segment and ``counts`` the wanted strings of that segment.  Only rows that the
+    remaining passes lead to a wanted string take part: before pass i those whose place is SPAN - i * STEP to
+    SPAN - i * STEP + counts - 1.  A pass reads the symbols of the rows in their interleave (the k-th row of a
+    shard there is the k-th in the shard's order), and deals the rows out by symbol, stably: they then stand for
+    the places STEP earlier, in order of one more step.  Returns (interleave, border): the shard of each row, and
+    whether its first SPAN bytes differ from those of the row above.
     """
-    symbols = np.concatenate(transforms)
-    sizes = [len(t) for t in transforms]
-    kind = np.uint8 if len(sizes) < 256 else np.uint16
-    z = np.repeat(np.arange(len(sizes)), sizes).astype(kind)
-    low = np.repeat(np.arange(len(sizes)), ends).astype(kind)
-    n, block = len(z), np.zeros(len(z), np.int32)
-    border = np.zeros(n, bool)
-    for _ in range(SPAN // STEP):
-        merged = np.empty(n, symbols.dtype)
-        merged[np.argsort(z, kind="stable")] = symbols  # the k-th row of a shard in the interleave is its k-th row
-        to = np.argsort(merged, kind="stable")[len(low):]
-        z = np.concatenate([low, z[to]])
-        s, above = merged[to], block[to]
-        border[:len(low) + 1] = True
-        border[len(low) + 1:] = (s[1:] != s[:-1]) | (above[1:] != above[:-1])
+    passes = SPAN // STEP
+    kind = np.uint8 if len(orders) < 256 else np.uint16
+    ahead = [inner[o] - SPAN for o in orders]
+    room = [counts[o] for o in orders]
+    z = border = block = None
+    for i in range(passes):
+        rows = [o[(a >= -i * STEP) & (a < c - i * STEP)] for o, a, c in zip(orders, ahead, room)]
+        if z is None:  # nothing read yet: all suffixes are alike
+            z = np.repeat(np.arange(len(rows)), [len(r) for r in rows]).astype(kind)
+            block = np.zeros(len(z), np.int32)
+        merged = np.empty(len(z), before.dtype)
+        merged[np.argsort(z, kind="stable")] = before[np.concatenate(rows)]
+        to = np.argsort(merged, kind="stable")
+        z, s, above = z[to], merged[to], block[to]
+        border = np.ones(len(z), bool)
+        np.not_equal(s[1:], s[:-1], out=border[1:])
+        border[1:] |= above[1:] != above[:-1]
         block = np.cumsum(border, dtype=np.int32)
     return z, border
 
@@ -311,23 +318,18 @@ def repeated_strings(segments: list, counts, place) -> np.ndarray:
             size = 0
     if cuts[-1] != len(segments):
         cuts.append(len(segments))
-    orders, transforms, ends = [], [], []
+    orders = []
     for a, b in zip(cuts[:-1], cuts[1:]):
         lo, hi = int(rows.starts[a]), int(rows.starts[b])
-        order = shard_order(rows.code[lo:hi]) + lo
-        orders.append(order)
-        transforms.append(rows.before[order])
-        ends.append(int((rows.code[lo:hi] == 0).sum()))
-    z, border = merge_transforms(transforms, ends)
+        orders.append(shard_order(rows.code[lo:hi]) + lo)
+    inner = (np.arange(len(rows.code)) - np.repeat(rows.starts[:-1], rows.lengths)).astype(np.int32)
+    wanted = np.repeat(np.asarray(counts, np.int32), rows.lengths)
+    z, border = merge_transforms(orders, rows.before, inner, wanted)
     where = np.empty(len(z), np.int64)
-    where[np.argsort(z, kind="stable")] = np.concatenate(orders)  # the place in the text of each merged row
-    seg = np.searchsorted(rows.starts, where, "right") - 1
-    inner = where - rows.starts[seg]
-    wanted = inner < np.asarray(counts)[seg]
-    interval = np.cumsum(border)[wanted]
-    seg, inner = seg[wanted], inner[wanted]
+    where[np.argsort(z, kind="stable")] = np.concatenate([o[inner[o] < wanted[o]] for o in orders])  # the place in the text of each merged row
+    seg, inner = np.searchsorted(rows.starts, where, "right") - 1, inner[where]
     at = np.asarray(place)[seg] + inner
-    first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+    first = np.flatnonzero(border)
     least = np.minimum.reduceat(at, first) if len(at) else at
     again = at > np.repeat(least, np.diff(np.append(first, len(at))))
     out = np.zeros(int(np.sum(counts)), bool)
@@ -389,19 +391,21 @@ def cleaned_rows(ranges: DataFrame, with_text: bool = False) -> DataFrame:
             for shard, blobs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids, data, offsets = load_shard(shard)
                 gone = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in blobs] or [np.zeros((0, 3), np.int64)])
-                edge = np.zeros(len(data) + 1, np.int32)
-                np.add.at(edge, offsets[gone[:, 0]] + gone[:, 1], 1)
-                np.add.at(edge, offsets[gone[:, 0]] + gone[:, 2], -1)
-                cut = np.cumsum(edge[:-1]) > 0
-                total = np.concatenate([[0], np.cumsum(cut)])
-                first = cut & ~np.concatenate([[False], cut[:-1]]) if len(cut) else cut
-                inner = offsets[:-1][offsets[:-1] < len(data)]
-                first[inner] = cut[inner]
-                spans = np.concatenate([[0], np.cumsum(first)])
-                left = data[~cut].tobytes()
-                at = (offsets - total[offsets]).tolist()
-                texts = [left[at[i]:at[i + 1]] for i in range(len(ids))]
-                cols = [pa.array(ids, mask=ids == NULL_ID), pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.diff(spans[offsets])),
+                gone = gone[np.lexsort((gone[:, 1], gone[:, 0]))]
+                doc, first, last = gone[:, 0], offsets[gone[:, 0]] + gone[:, 1], offsets[gone[:, 0]] + gone[:, 2]
+                reach = np.maximum.accumulate(last) if len(last) else last  # texts follow each other, so this never runs into the next
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (first[1:] > reach[:-1])
+                at = np.flatnonzero(new)
+                doc, first, last = doc[at], first[at], reach[np.append(at[1:], len(new)) - 1] if len(at) else last[:0]
+                n = len(ids)
+                removed = np.zeros(n, np.int64)
+                np.add.at(removed, doc, last - first)
+                cut, raw, texts = np.searchsorted(doc, np.arange(n + 1)), memoryview(data), []
+                for i in range(n):
+                    edges = [offsets[i], *np.stack([first[cut[i]:cut[i + 1]], last[cut[i]:cut[i + 1]]], 1).ravel().tolist(), offsets[i + 1]]
+                    texts.append(b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2])]))
+                cols = [pa.array(ids, mask=ids == NULL_ID), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(cut)),
                         pa.array([hashlib.sha256(t).hexdigest() for t in texts])] + [pa.array(texts, pa.binary())] * with_text
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
     return ranges.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
@@ -418,9 +422,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = shard_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shared_path(spark, "shards"), buckets)
     names = rows.filter("bucket = -1").select("shard")
     again = rows.filter("bucket >= 0").groupBy("bucket").applyInArrow(repeated_anchors, "shard string, repeated binary")
-    again = again.groupBy("shard").agg(F.collect_list("repeated").alias("repeated"))
+    n = buckets // SPREAD
+    again = again.repartition(n, "shard").groupBy("shard").agg(F.collect_list("repeated").alias("repeated"))
     gone = segment_rows(again, buckets).withColumn("_own", F.when(F.col("bucket") < 0, F.col("shard"))).groupBy("bucket", "_own")
-    gone = gone.applyInArrow(lambda t: bucket_ranges(t), "shard string, ranges binary")
+    gone = gone.applyInArrow(bucket_ranges, "shard string, ranges binary")
     gone = written(gone, "ranges")
     every = gone.unionByName(names.withColumn("ranges", F.lit(b"")))
-    return cleaned_rows(every.groupBy("shard").agg(F.collect_list("ranges").alias("ranges")), with_text)
+    return cleaned_rows(every.repartition(n, "shard").groupBy("shard").agg(F.collect_list("ranges").alias("ranges")), with_text)
