@@ -1,8 +1,10 @@
 """MinHash near-duplicates: one-permutation hashing with optimal densification, bands, and star-shaped edges.
 
 Documents of equal shingle sets are one class.  Classes that share a band are compared with the band's centre
-only, on full sets; a band whose members then still lie in different components gets another centre in the next
-round.  So a band of m classes costs at most m comparisons a round, and copies none.
+first, on full sets; a band whose members then still lie in different components gets another centre in the next
+round.  So a band of m classes costs at most m comparisons a round, and copies none.  What bands still hold in
+different components after these rounds is compared in full, block by block: every two classes that share a band
+and may be alike are compared or already linked.
 """
 
 from __future__ import annotations
@@ -22,9 +24,14 @@ PERCENT = 85
 #: 18 bands of 4 bins: two sets of similarity 0.85 share no band with a chance of 2 in a million.
 BANDS, ROWS = 18, 4
 BINS = BANDS * ROWS
+#: Rounds of centres, for cheap links; the rest is compared in full.
 ROUNDS = 3
 #: Members that one task compares with a centre; centres of more are sent to several tasks.
 STAR = 500
+#: A band of up to so many classes is finished pair by pair, a larger one by blocks.
+FEW = 8
+#: Most classes and about most shingles of a block; a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 
 
 def shingle_sets(column, shingle: int = SHINGLE) -> list:
@@ -148,6 +155,125 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return written(rows.select("centre", "part", "role", "node", "hashes").mapInArrow(run, "a binary, b binary"), "links")
 
 
+def remaining(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows (node, n, band) of bands that hold several components, with label and k (rows of the band)."""
+    if labels is None:
+        member = rows.withColumn("label", F.col("node"))
+    else:
+        member = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    member = written(member, "members")
+    several = member.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("_a"), F.max("label").alias("_b"))
+    return written(member.join(several.filter("_a != _b").select("band", "k"), "band"), "remaining")
+
+
+def few_pairs(rest: DataFrame, tried: DataFrame | None, percent: int = PERCENT) -> DataFrame:
+    """(centre, member): all pairs of different components in bands of up to FEW classes that may be alike and are not in ``tried``."""
+    x, y = (rest.filter(F.col("k") <= FEW).select("band", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "label")]) for s in "xy")
+    j = x.join(y, "band").filter((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label"))
+                                 & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent))
+    pairs = j.select(F.col("x_node").alias("centre"), F.col("y_node").alias("member")).distinct()
+    if tried is not None:
+        back = tried.select(F.col("member").alias("centre"), F.col("centre").alias("member"))
+        pairs = pairs.join(tried.unionByName(back), ["centre", "member"], "left_anti")
+    return written(pairs, "pairs")
+
+
+def alike(a: list, b: list, percent: int) -> np.ndarray:
+    """Of each set in ``a`` with each in ``b``: 100 * common >= percent * union, counted exactly."""
+    sizes = [np.array([len(s) for s in side]) for side in (a, b)]
+    found, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    cut = int(sizes[0].sum())
+    met = np.zeros(len(found), bool)
+    met[at[:cut]] = True
+    both = np.zeros(len(found), bool)
+    both[at[cut:]] = True
+    both &= met
+    place = np.cumsum(both) - 1
+    cells = []
+    for n, part in zip(sizes, (at[:cut], at[cut:])):
+        row, ok = np.repeat(np.arange(len(n)), n), both[part]
+        row, col = row[ok], place[part[ok]]
+        order = np.argsort(col, kind="stable")
+        cells.append((row[order], col[order]))
+    common, step = np.zeros((len(a), len(b)), np.int64), 4096
+    for lo in range(0, int(both.sum()), step):
+        dense = []
+        for (row, col), n in zip(cells, sizes):
+            i, j = np.searchsorted(col, (lo, lo + step))
+            m = np.zeros((len(n), step), np.float32)
+            m[row[i:j], col[i:j] - lo] = 1
+            dense.append(m)
+        common += (dense[0] @ dense[1].T).astype(np.int64)  # at most 4096 in a cell: exact
+    return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+
+
+def joining(ok: np.ndarray, a: list, b: list):
+    """Of the pairs (i, j) that ``ok`` marks, those that join different labels ``a[i]`` and ``b[j]`` not yet joined by earlier ones."""
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+    for i, j in zip(*np.nonzero(ok)):
+        x, y = root(a[i]), root(b[j])
+        if x != y:
+            up[x] = y
+            yield int(i), int(j)
+
+
+def block_links(rest: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between the components of each band of more than FEW classes: all its pairs of different components
+    that may be alike are compared on full sets, two blocks in a task.
+
+    Blocks hold classes of like size, of the band's largest component or of the others; the largest is not compared with
+    itself.  Sizes of a similar pair lie in the same or in neighbouring steps.
+    """
+    many = rest.filter(F.col("k") > FEW)
+    per = many.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = per.groupBy("band").agg(F.max(F.struct("c", "label")).alias("_l")).select("band", F.col("_l.label").alias("_main"))
+    step = float(np.log(100 / percent)) * 1.0001 if percent < 100 else 1e-9
+    many = many.join(largest, "band").withColumn("main", F.col("label") == F.col("_main")).withColumn("step", F.floor(F.log("n") / F.lit(step)))
+    units = many.groupBy("band", "step", "main").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"))
+    units = units.withColumn("parts", F.ceil(F.col("c") / F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))).cast("int"))
+    units = written(units.select("band", "step", "main", "parts"), "units")
+    named = F.struct("step", "main", "part")
+    blocks = units.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", named.alias("block"))
+    tasks = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "band")
+    tasks = tasks.filter((F.col("x") <= F.col("y")) & (F.abs(F.col("x.step") - F.col("y.step")) <= 1) & ~(F.col("x.main") & F.col("y.main")))
+    tasks = tasks.withColumn("task", F.xxhash64("band", "x", "y"))
+    first = tasks.select("band", "task", F.col("x").alias("block"), F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side"))
+    second = tasks.filter(F.col("x") != F.col("y")).select("band", "task", F.col("y").alias("block"), F.lit(1).alias("side"))
+    members = many.join(units, ["band", "step", "main"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = members.select("band", named.alias("block"), "node", "label")
+    rows = members.join(first.unionByName(second), ["band", "block"]).select("task", "side", "node", "label").join(sets, "node")
+    rows = rows.repartition("task").sortWithinPartitions("task")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def links(held):
+            a, b = ([x for x in held if x[0] in (side, 2)] for side in (0, 1))
+            if not a or not b or len({x[2] for x in held}) < 2:
+                return [], []
+            got = [(a[i][1], b[j][1]) for i, j in joining(alike([x[3] for x in a], [x[3] for x in b], percent), [x[2] for x in a], [x[2] for x in b])]
+            return [x for x, _ in got], [x for _, x in got]
+
+        def batch(held):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in links(held)], ["a", "b"])
+        now, held = None, []
+        for rows in batches:
+            for task, side, node, label, blob in zip(*[rows.column(n) for n in ("task", "side", "node", "label", "hashes")]):
+                if task.as_py() != now:
+                    if held:
+                        yield batch(held)
+                    now, held = task.as_py(), []
+                held.append((side.as_py(), node.as_py(), label.as_py(), np.frombuffer(blob.as_buffer(), np.uint64).copy()))
+        if held:
+            yield batch(held)
+    return written(rows.select("task", "side", "node", "label", "hashes").mapInArrow(run, "a binary, b binary"), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for all nodes of ``links`` (a, b): each link's ends are drawn to the least neighbour and the
     graph shrinks, until no link is left. Each round is a written table."""
@@ -198,6 +324,10 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
         more = verified(pairs, sets, percent)
         links = more if links is None else links.unionByName(more)
         labels = components(links)
+    rest = remaining(rows, labels)
+    more = verified(few_pairs(rest, tried, percent), sets, percent).unionByName(block_links(rest, sets, percent))
+    if not more.isEmpty():
+        labels = components(more if links is None else links.unionByName(more))
     named = sig.select("doc_id", "text_hash", "n_shingles", "node")
     if labels is not None:
         named = named.join(labels, "node", "left")

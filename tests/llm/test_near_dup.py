@@ -104,6 +104,42 @@ def test_a_large_star_is_split_over_tasks(spark, monkeypatch):
     assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
 
 
+def test_an_original_and_many_unlike_copies(spark):
+    base, r = [f"w{i}" for i in range(402)], random.Random(11)
+    texts = [" ".join(base)]
+    for i in range(1000):
+        w = list(base)
+        for at in r.sample(range(2, 400), 8):
+            w[at] = f"new{i}x{at}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert min(share(sets[0], s) for s in sets[1:]) >= 0.85
+    assert max(share(*r.sample(sets[1:], 2)) for _ in range(3000)) < 0.85
+    got = run(spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6))
+    assert len(got) == 1001 and {x[2] for x in got} == {1}
+
+
+@pytest.mark.parametrize("rounds, few, block, room", [(0, 0, 512, 1 << 18), (0, 0, 3, 1 << 18), (0, 2, 512, 900), (0, 10 ** 6, 512, 1 << 18), (1, 3, 4, 1 << 18)])
+def test_what_the_rounds_leave_is_compared_in_full(spark, monkeypatch, rounds, few, block, room):
+    for name, value in (("ROUNDS", rounds), ("FEW", few), ("BLOCK", block), ("BLOCK_SHINGLES", room)):
+        monkeypatch.setattr(nd, name, value)
+    texts = [t for s, (n, size, edits) in enumerate([(12, 200, 14), (30, 300, 16), (6, 400, 30), (10, 25, 2)]) for t in family(40 + s, n, size, edits)]
+    base = words(300, 8).split()
+    texts += [" ".join(base[:100 + 9 * i]) for i in range(12)]  # sizes of several steps
+    rows = list(enumerate(texts))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_alike_by_sets():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 2 ** 64, 12_000, dtype=np.uint64)
+    a, b = ([np.unique(r.choice(pool, n)) for n in sizes] for sizes in ((9000, 40, 1, 500), (9000, 41, 12_000)))
+    b += [a[3][:425], a[3][:424], a[0][9:]]
+    want = [[100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)) for y in b] for x in a]
+    assert nd.alike(a, b, 85).tolist() == want and np.array(want).sum() >= 2
+
+
 def test_signature_agreement_estimates_similarity():
     ask, r = nd.densification(), np.random.default_rng(2)
     for size in (9, 40, 2000):
