@@ -21,9 +21,8 @@ ship(__name__)
 
 SHINGLE = 3
 PERCENT = 85
-#: 18 bands of 4 bins: two sets of similarity 0.85 share no band with a chance of 2 in a million.
-BANDS, ROWS = 18, 4
-BINS = BANDS * ROWS
+#: Bins of a band, and the chance at most that two sets of the least similarity share no band.
+ROWS, MISS = 4, 2e-6
 #: Rounds of centres, for cheap links; the rest is compared in full.
 ROUNDS = 3
 #: Members that one task compares with a centre; centres of more are sent to several tasks.
@@ -56,16 +55,22 @@ def shingle_sets(column, shingle: int = SHINGLE) -> list:
     return out
 
 
-def densification():
+def bands_for(percent: int = PERCENT) -> int:
+    """Bands of ROWS bins that leave a pair of similarity ``percent`` without a common band with a chance of MISS at most: 18 for 85, 25 for 80."""
+    share = (percent / 100) ** ROWS
+    return int(np.ceil(np.log(MISS) / np.log1p(-share))) if share < 1 else 1
+
+
+def densification(percent: int = PERCENT):
     """For each bin the order in which it asks the others when it is empty: a fixed random order of its own."""
-    rng = np.random.default_rng(5)
-    return np.stack([rng.permutation(BINS) for _ in range(BINS)])
+    rng, bins = np.random.default_rng(5), bands_for(percent) * ROWS
+    return np.stack([rng.permutation(bins) for _ in range(bins)])
 
 
 def signature(s, ask) -> np.ndarray:
-    """The least hash of each of BINS equal ranges; an empty bin takes that of the first filled bin it asks."""
-    width = np.uint64((1 << 64) // BINS)
-    edges = np.arange(BINS, dtype=np.uint64) * width
+    """The least hash of each of len(ask) equal ranges; an empty bin takes that of the first filled bin it asks."""
+    width = np.uint64((1 << 64) // len(ask))
+    edges = np.arange(len(ask), dtype=np.uint64) * width
     at = np.searchsorted(s, edges)
     until = np.append(at[1:], len(s))
     filled = at < until
@@ -79,8 +84,8 @@ def signature(s, ask) -> np.ndarray:
 
 def band_keys(low) -> np.ndarray:
     """One 64-bit key per band, of the band's number and its bins."""
-    rows = low.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    rows = low.reshape(-1, ROWS)
+    key = np.arange(1, len(rows) + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = mix(key + rows[:, k])
     return key.view(np.int64)
@@ -91,13 +96,13 @@ def class_key(s) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (class; null without a word), bands: map-only, written once."""
     def run(batches):
         import pyarrow as pa
-        ask = densification()
+        ask = densification(percent)
         for b in pieces(batches, 1):
-            sets = shingle_sets(b.column(1))
+            sets = shingle_sets(b.column(1), shingle)
             bands = [band_keys(signature(s, ask)) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()),
@@ -107,7 +112,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return written(rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node binary, bands array<long>"), "signatures")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """node, hashes (its full set) for the classes in ``wanted`` (node, rep): from one document of each, written once.
 
     Another row of the same id may hold another text, or the same one again; neither is taken.
@@ -116,7 +121,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataF
         import pyarrow as pa
         last = None
         for b in pieces(batches, 1):
-            sets, ok = shingle_sets(b.column(1)), []
+            sets, ok = shingle_sets(b.column(1), shingle), []
             for s, n in zip(sets, b.column(0).to_pylist()):
                 ok.append(n != last and class_key(s) == n)
                 last = n if ok[-1] else last
@@ -294,17 +299,17 @@ def components(links: DataFrame) -> DataFrame:
             return names
 
 
-def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_shingles, label (of its component; null without a word),
     component_id (smallest id)."""
-    sig = signatures(docs, doc_id, text)
+    sig = signatures(docs, doc_id, text, percent, shingle)
     classes = sig.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     rows = classes.select("node", F.col("n"), F.explode("bands").alias("band"))
     many = rows.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band")
     rows = written(rows.join(many, "band"), "bands")
     wanted = rows.select("node").distinct().join(classes.select("node", "rep"), "node")
-    sets = sets_of(docs, wanted, doc_id, text)
+    sets = sets_of(docs, wanted, doc_id, text, shingle)
     labels, links, tried = None, None, None
     for r in range(ROUNDS):
         member = rows if labels is None else rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -339,21 +344,21 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     return out.withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Null, empty or wordless text: no shingles, linked with nothing.  Repeated rows and exact copies: one class,
     linked.  Rows of one id: each by its own text; a null id is larger than all others, and a component of null
     ids only has a null id and keeps its rows.  Empty table: no rows.  Other columns are not read.
     """
-    out = linked_rows(docs, doc_id, text, percent)
+    out = linked_rows(docs, doc_id, text, percent, shingle)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component of ``docs`` (doc_id, text, ...): that of smallest id, of equal ids that of the least
     text hash, of equal rows one.  Rows without a word all stay.  Columns unchanged."""
-    rows = linked_rows(docs, percent=percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = linked_rows(docs, percent=percent, shingle=shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     per = rows.filter(F.col("label").isNotNull()).groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     one = per.groupBy("label").agg(F.min(F.struct("text_hash", "n", "doc_id")).alias("c"))
     bare = rows.filter(F.col("label").isNull()).select("doc_id", "text_hash").distinct()

@@ -104,6 +104,30 @@ def test_a_large_star_is_split_over_tasks(spark, monkeypatch):
     assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
 
 
+def test_keep_first_by_five_words_and_80_percent(spark):
+    base = [f"w{i}" for i in range(204)]  # 200 shingles of five words
+    texts = [" ".join(base)] + [" ".join(base + [f"tail{i}x{j}" for j in range(n)]) for i, n in enumerate((20, 30, 40, 49, 50, 51, 60))]
+    texts += [" ".join(base[:60] + [f"new{k}x{j}" for j in range(k)] + base[60 + k:]) for k in range(12, 24)]  # one passage replaced
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    up = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    up[i] = up[j] = min(up[i], up[j])
+    want = sorted(set(up))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in nd.keep_first(df, 80, 5).collect())
+    assert got == want and 1 < len(want) < len(texts)
+    assert got != sorted(r[0] for r in brute(list(enumerate(texts))) if r[3])
+
+
+def test_bands_for_the_least_similarity():
+    assert nd.bands_for(85) == 18 and nd.bands_for(80) == 25 and nd.bands_for(100) == 1
+    for percent in range(50, 100):
+        assert (1 - (percent / 100) ** nd.ROWS) ** nd.bands_for(percent) <= nd.MISS
+
+
 def test_an_original_and_many_unlike_copies(spark):
     base, r = [f"w{i}" for i in range(402)], random.Random(11)
     texts = [" ".join(base)]
