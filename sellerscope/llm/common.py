@@ -63,6 +63,27 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> Dat
             .drop("_rn", "_before", "_p", "_pid", *[f"_by_{c}" for c in by]))
 
 
+#: A key is hot if it has more than one in HOT of all rows: fewer than HOT keys are.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row per ``key``; its ``n``: how many of ``rows`` have that key, dropped here).
+
+    Both are written tables.  The hot keys, fewer than HOT, are broadcast and their rows stay where they are; only rows of
+    other keys are dealt out by key, so no key brings more than one in HOT of them to a task.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > F.lit(total)
+    own = [c for c in table.columns if c not in (key, "n")]
+    named = table.select(F.col(key).alias("_key"), "n", F.struct(*own).alias("_hot"))
+    marked = rows.join(F.broadcast(named.filter(hot).drop("n")), F.col(key) == F.col("_key"), "left").drop("_key")
+    rest = named.filter(~hot).select("_key", F.col("_hot").alias("_rest"))
+    plain = marked.filter(F.col("_hot").isNull()).drop("_hot").join(rest, F.col(key) == F.col("_key"), how)
+    return (marked.filter(F.col("_hot").isNotNull()).select(*rows.columns, "_hot.*")
+            .unionByName(plain.select(*rows.columns, "_rest.*")))
+
+
 def size_of(text="text"):
     """Number of [^\\x20\\x09-\\x0D]+ words of a text column (null: 0), native."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

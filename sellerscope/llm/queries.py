@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, near_dup, pairwise, quality_rules, suffix_dedup, token_files, urls, warc
+from . import decontaminate, divergence, langid, mixing, near_dup, pairwise, quality_rules, simhash, suffix_dedup, token_files, urls, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,23 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_dedup(spark, sf_dir):
+    """Components of documents whose fingerprints differ in few bits."""
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    """Words with their near words, forms and roots."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    """Distances between sources and the terms that set a source apart."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_decontaminate, op3_warc, op4_mix_sources, op5_quality_rules, op6_token_files, op7_url_filter, op8_quality_classifier, op9_minhash_near_dedup, op10_language_id)}
-ORACLES = {"op3_warc": warc.ORACLE, "op9_minhash_near_dedup": near_dup.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_mix_sources": mixing.ORACLE}
+    op1_suffix_dedup, op2_decontaminate, op3_warc, op4_mix_sources, op5_quality_rules, op6_token_files, op7_url_filter, op8_quality_classifier, op9_minhash_near_dedup, op10_language_id,
+    op11_simhash_near_dedup, op12_spelling_variants, op13_source_divergence)}
+ORACLES = {"op3_warc": warc.ORACLE, "op9_minhash_near_dedup": near_dup.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_mix_sources": mixing.ORACLE,
+           "op12_spelling_variants": variants.ORACLE, "op13_source_divergence": divergence.ORACLE}
