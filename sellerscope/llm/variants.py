@@ -77,8 +77,14 @@ def word_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def letters(word: str = "word"):
+    """64 bits, one for each remainder of the code points that the word holds: one edit changes two of them at most."""
+    bits = F.transform(F.split(F.col(word), ""), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64))
+    return F.coalesce(F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)), F.lit(0))
+
+
 def sides(words: DataFrame):
-    """(chunks, grams): length of the chunked word, half, string, and the word itself with its count."""
+    """(chunks, grams): length of the chunked word, half, string, and the word itself with its count and letters."""
     size = F.length("word")
     half = lambda n: F.floor(n / F.lit(2)).cast("int")
     entry = lambda n, h, start, length: F.struct(n.alias("length"), F.lit(h).alias("half"), F.substring(F.col("word"), start, length).alias("key"))
@@ -89,7 +95,7 @@ def sides(words: DataFrame):
         grams += [entry(n, 0, F.lit(1), half(n)), entry(n, 1, half(n) + 1 + shorter, n - half(n))]
     out = []
     for side in (chunks, F.array(*grams)):
-        out.append(words.select("word", "n", F.explode(side).alias("_e")).select(F.col("_e.length").alias("length"), F.col("_e.half").alias("half"), F.col("_e.key").alias("key"), "word", "n"))
+        out.append(words.select("word", "n", "letters", F.explode(side).alias("_e")).select(F.col("_e.length").alias("length"), F.col("_e.half").alias("half"), F.col("_e.key").alias("key"), "word", "n", "letters"))
     return out
 
 
@@ -99,13 +105,14 @@ def near_words(words: DataFrame) -> DataFrame:
     A chunk of more than SPLIT words is dealt out by hash, its grams are sent to each part.
     """
     on = ["length", "half", "key"]
-    chunks, grams = sides(words)
+    chunks, grams = sides(words.withColumn("letters", letters()))
     large = chunks.groupBy(*on).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SPLIT)
     large = written(large.select(*on, F.ceil(F.col("k") / SPLIT).cast("int").alias("parts")), "large")
     parts = F.coalesce(F.col("parts"), F.lit(1))
-    chunks = chunks.join(large, on, "left").select(*on, F.pmod(F.xxhash64("word"), parts).cast("int").alias("part"), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    grams = grams.join(large, on, "left").select(*on, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("word").alias("b"), F.col("n").alias("b_n"))
+    chunks = chunks.join(large, on, "left").select(*on, F.pmod(F.xxhash64("word"), parts).cast("int").alias("part"), F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("letters").alias("a_letters"))
+    grams = grams.join(large, on, "left").select(*on, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("letters").alias("b_letters"))
     met = chunks.join(grams, [*on, "part"])
+    met = met.filter(F.bit_count(F.col("a_letters").bitwiseXOR(F.col("b_letters"))) <= 2)  # before the costly distance: necessary for one edit
     met = met.filter((F.length("b") > F.col("length")) | (F.col("a") < F.col("b")))
     # a pair that shares both halves has met at the first one
     first = F.substring(F.col("a"), F.lit(1), F.floor(F.col("length") / 2).cast("int")) == F.substring(F.col("b"), F.lit(1), F.floor(F.col("length") / 2).cast("int"))
