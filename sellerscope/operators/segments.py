@@ -24,26 +24,13 @@ SEGMENT_NAMES = {
 }
 UNKNOWN_SEGMENT = "Desconocido"
 
-# Playbook per segment, our own wording: what to do next and how to tell that it works.
-SEGMENT_ACTIONS = {
-    0: "onboarding: first-sale guide, small stock loans, reminders for late dispatch",
-    1: "retention: volume-based fees, first place in the warehouse queue, advertising credit",
-    2: "growth: an account adviser, starter advertising budget, rewards for delivery targets",
-    3: "margin: proposed discount ceilings, short sales with a price floor",
-    4: "clearance: flat-rate outlet shipping, month-end coupons",
-}
-SEGMENT_KPIS = {
-    0: "sellers with a second sale; complaints per hundred orders",
-    1: "sales value per quarter; sellers kept",
-    2: "sellers that become power sellers; advertising spend",
-    3: "margin per order; orders per short sale",
-    4: "days in stock; share of stock sold per month",
-}
+# Playbook: cluster id -> (action code, KPI code).  The texts belong to the caller; the default has neutral codes.
+DEFAULT_PLAYBOOK = {i: (f"A{i}", f"K{i}") for i in SEGMENT_NAMES}
 
 NO_CAMPAIGN = "Ninguna campaña"
 
-# Default yearly campaign calendar (ours; the reference delegates the choice to
-# an external model): (campaign, start month, start day, end month, end day, priority).
+# The campaign labels.  Dates and priorities are defaults of ours, a parameter of every function:
+# (campaign, start month, start day, end month, end day, priority); an end before its start lies in the next year.
 DEFAULT_CALENDAR = [
     ("Cyberlunes", 11, 24, 11, 26, 1),
     ("Black Sale", 11, 20, 11, 30, 2),
@@ -65,12 +52,12 @@ def name_segments(labels: DataFrame, cluster_id="cluster_id") -> DataFrame:
     return labels.withColumn("segment_name", segment_name(cluster_id))
 
 
-def segment_playbook(labels: DataFrame, cluster_id="cluster_id") -> DataFrame:
-    """Sellers per segment with the segment's action and KPI."""
+def segment_playbook(labels: DataFrame, playbook: dict = DEFAULT_PLAYBOOK, cluster_id="cluster_id") -> DataFrame:
+    """Sellers per segment with the segment's action and KPI from the caller's ``playbook`` (NULL for ids outside it)."""
     return (labels.groupBy(cluster_id).agg(F.count(F.lit(1)).alias("sellers"))
                   .select(F.col(cluster_id).alias("cluster_id"), segment_name(cluster_id).alias("segment_name"),
-                          lookup(cluster_id, SEGMENT_ACTIONS, value_type="string").alias("action"),
-                          lookup(cluster_id, SEGMENT_KPIS, value_type="string").alias("kpi"), "sellers"))
+                          lookup(cluster_id, {i: a for i, (a, _) in playbook.items()}, value_type="string").alias("action"),
+                          lookup(cluster_id, {i: k for i, (_, k) in playbook.items()}, value_type="string").alias("kpi"), "sellers"))
 
 
 def canonical_ids(labels: DataFrame, scaled: DataFrame, key="seller_nickname", cluster_id="cluster_id",
@@ -166,7 +153,7 @@ def calendar_days(spark, calendar=DEFAULT_CALENDAR) -> DataFrame:
     base = 2000  # leap year: covers Feb 29
     for name, sm, sd, em, ed, prio in calendar:
         d = _dt.date(base, sm, sd)
-        end = _dt.date(base, em, ed)
+        end = _dt.date(base + ((em, ed) < (sm, sd)), em, ed)
         while d <= end:
             rows.append((d.month * 100 + d.day, name, prio))
             d += _dt.timedelta(days=1)
@@ -194,10 +181,38 @@ def season_of(date: str, calendar=DEFAULT_CALENDAR) -> str:
     """The campaign of one known date (a literal: no job is needed for it); same choice as ``season_context``."""
     d = _dt.date.fromisoformat(date)
     day = d.month * 100 + d.day
-    fits = [(prio, name) for name, sm, sd, em, ed, prio in calendar if sm * 100 + sd <= day <= em * 100 + ed]
+    fits = []
+    for name, sm, sd, em, ed, prio in calendar:
+        start, end = sm * 100 + sd, em * 100 + ed
+        if (start <= day <= end) if start <= end else (day >= start or day <= end):
+            fits.append((prio, name))
     return min(fits)[1] if fits else NO_CAMPAIGN
 
 
+def dated_calendar(spark, years, calendar=DEFAULT_CALENDAR) -> DataFrame:
+    """The yearly calendar as dated campaigns (campaign, start_on, end_on, priority), one per entry and year in ``years``."""
+    rows = [(name, _dt.date(y, sm, sd), _dt.date(y + ((em, ed) < (sm, sd)), em, ed), prio)
+            for y in years for name, sm, sd, em, ed, prio in calendar]
+    return spark.createDataFrame(rows, "campaign string, start_on date, end_on date, priority int")
+
+
+def season_by_interval(dates: DataFrame, date_col: str, intervals: DataFrame, bucket_days: int = 32) -> DataFrame:
+    """Campaign of each distinct date from dated ``intervals`` (campaign, start_on, end_on, priority): of those that hold
+    it the least priority number, then name; else ``NO_CAMPAIGN``.
+
+    An interval join without a nested loop: days are numbered and cut into buckets, an interval is sent to each bucket
+    that it touches, and both meet on the bucket before the exact comparison.  Intervals with a NULL or with an end
+    before the start hold no date.
+    """
+    bucket = lambda c: F.floor(F.unix_date(c) / F.lit(bucket_days))
+    spans = (intervals.where(F.col("end_on") >= F.col("start_on"))
+             .select("campaign", "start_on", "end_on", "priority", F.explode(F.sequence(bucket("start_on"), bucket("end_on"))).alias("bucket")))
+    d = dates.select(F.col(date_col).alias("date")).where(F.col("date").isNotNull()).distinct()
+    met = d.withColumn("bucket", bucket("date")).join(spans, "bucket").where(F.col("date").between(F.col("start_on"), F.col("end_on")))
+    best = met.groupBy("date").agg(F.min(F.struct("priority", "campaign")).alias("c"))
+    return d.join(best, "date", "left").select("date", F.coalesce("c.campaign", F.lit(NO_CAMPAIGN)).alias("season"))
+
+
 # ---- alerts and history ------------------------------------------------------
 
 def promotion_alerts(seller_stats: DataFrame, labels: DataFrame, key="seller_nickname",
@@ -269,3 +284,80 @@ def segment_upgrades(snapshots: DataFrame, key="seller_nickname", period="period
     g = a.join(b, [key, "from_period"], "left").groupBy("from_period", "from_cluster").agg(
         F.count(F.lit(1)).alias("sellers"), F.count("up").alias("upgraded"))
     return g.withColumn("upgrade_share", F.try_divide(F.col("upgraded").cast("double"), F.col("sellers")))
+
+
+def label_intervals(history: DataFrame, key="seller_nickname", date="label_date") -> DataFrame:
+    """Label snapshots as validity intervals: (seller, cluster_id, valid_from, valid_to, snapshots).
+
+    Only changes of a seller's label are kept, with the date of the first snapshot of each run of equal labels;
+    ``valid_to`` is the date of the next change (exclusive), NULL for the current label.  One window over a seller's
+    snapshots (few rows each), one shuffle.
+    """
+    w = Window.partitionBy(key).orderBy(date)
+    runs = (history.withColumn("_was", F.lag("cluster_id").over(w)).withColumn("_first", F.row_number().over(w) == 1)
+            .withColumn("_new", F.col("_first") | ~F.col("cluster_id").eqNullSafe(F.col("_was")))
+            .withColumn("_run", F.sum(F.col("_new").cast("int")).over(w)))
+    spans = runs.groupBy(key, "_run").agg(F.first("cluster_id").alias("cluster_id"), F.min(date).alias("valid_from"), F.count(F.lit(1)).alias("snapshots"))
+    return spans.select(key, "cluster_id", "valid_from", F.lead("valid_from").over(Window.partitionBy(key).orderBy("valid_from")).alias("valid_to"), "snapshots")
+
+
+def as_of_labels(events: DataFrame, history: DataFrame, key="seller_nickname", date="snapshot_on", since="valid_from",
+                 label="cluster_id") -> DataFrame:
+    """``events`` with the label that its seller had on the event's date (the last one whose ``since`` is not later; NULL
+    before the first): an as-of join.
+
+    Events and label changes go into one list per seller and time, changes first, and the last change is filled
+    forward: a union and one window, never a comparison of every event with every change.
+    """
+    cols = events.columns
+    left = events.select(F.col(key).alias("_k"), F.col(date).alias("_t"), F.lit(1).alias("_event"), F.lit(None).cast(history.schema[label].dataType).alias("_label"),
+                         F.lit(False).alias("_change"), F.struct(*cols).alias("_row"))
+    right = history.select(F.col(key).alias("_k"), F.col(since).alias("_t"), F.lit(0).alias("_event"), F.col(label).alias("_label"),
+                           F.lit(True).alias("_change"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
+    w = Window.partitionBy("_k").orderBy("_t", "_event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a struct, so that a change to a NULL label is a change too
+    last = F.last(F.when(F.col("_change"), F.struct(F.col("_label").alias("v"))), ignorenulls=True).over(w)
+    return left.unionByName(right).withColumn("_last", last).where("_event = 1").select("_row.*", F.col("_last.v").alias(label))
+
+
+def churn_alerts_as_of(listings: DataFrame, intervals: DataFrame, key="seller_nickname", power_id: int = 1,
+                       snapshot="snapshot_on", rep="snapshot_rep") -> DataFrame:
+    """Reputation falls between consecutive snapshots of sellers that were power sellers on the day of the fall: the label
+    is the one valid then, not today's.  Listings are reduced to (seller, snapshot) rows before they meet the labels."""
+    daily = listings.where(F.col(key).isNotNull()).groupBy(key, snapshot).agg(F.avg(rep).alias("rep"))
+    falls = (daily.withColumn("prev_rep", F.lag("rep").over(Window.partitionBy(key).orderBy(snapshot)))
+             .where(F.col("rep") < F.col("prev_rep")).select(key, F.col(snapshot).alias("snapshot_on"), "prev_rep", "rep"))
+    then = as_of_labels(falls, intervals, key=key, date="snapshot_on")
+    return then.where(F.col("cluster_id") == power_id).select(key, "snapshot_on", "prev_rep", "rep", F.lit("churn_risk").alias("alert"))
+
+
+def migration_funnel(snapshots: DataFrame, steps, key="seller_nickname", period="period") -> DataFrame:
+    """Strict multi-step funnel over the sellers' paths of segments: (step, cluster_id, sellers, share).
+
+    ``steps`` is a list of cluster ids.  A seller's path is its labels by period, with repeats taken together; it has
+    reached step i if the labels of steps 1..i occur in its path one right after the other.  ``share`` is that of the
+    sellers of the step before (of step 1: of all sellers).  A path has one entry per change of a seller, so the
+    collected list is bounded by the periods; the count of steps is a higher-order function over it.
+    """
+    path = snapshots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), F.col("cluster_id").alias("c")))).alias("_all"))
+    labels = F.transform("_all", lambda x: x["c"])
+    path = path.select(F.filter(F.transform(labels, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.try_element_at(labels, i)), x)),
+                                lambda x: x.isNotNull()).alias("path"))
+    wanted = [int(s) for s in steps]
+    # the longest prefix of the steps that starts at any place of the path
+    fits = lambda i: sum((F.when(_prefix(i, wanted[:n]), 1).otherwise(0) for n in range(1, len(wanted) + 1)), F.lit(0))
+    places = F.when(F.size("path") > 0, F.sequence(F.lit(1), F.size("path"))).otherwise(F.array().cast("array<int>"))
+    reached = F.coalesce(F.array_max(F.transform(places, fits)), F.lit(0))
+    counts = path.select(reached.alias("reached")).agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("reached") >= n).alias(f"n{n}") for n in range(1, len(wanted) + 1)])
+    rows = [F.struct(F.lit(n).alias("step"), F.lit(c).alias("cluster_id"), F.col(f"n{n}").alias("sellers"),
+                     F.try_divide(F.col(f"n{n}").cast("double"), F.col("all") if n == 1 else F.col(f"n{n - 1}")).alias("share"))
+            for n, c in enumerate(wanted, 1)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def _prefix(place, labels):
+    """Whether the path has ``labels`` one after the other from ``place`` (1-based) on."""
+    out = F.lit(True)
+    for k, c in enumerate(labels):
+        out = out & F.coalesce(F.try_element_at(F.col("path"), place + k) == c, F.lit(False))
+    return out

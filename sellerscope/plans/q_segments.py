@@ -59,8 +59,8 @@ def _labels(c):
 
 
 @register("segment_playbook", G(
-    f"SELECT cluster_id, {SEGNAME_SQL} AS segment_name, {_case(sg.SEGMENT_ACTIONS)} AS action, "
-    f"{_case(sg.SEGMENT_KPIS)} AS kpi, CAST(COUNT(*) AS BIGINT) AS sellers FROM seg_labels GROUP BY cluster_id"))
+    f"SELECT cluster_id, {SEGNAME_SQL} AS segment_name, {_case({i: a for i, (a, _) in sg.DEFAULT_PLAYBOOK.items()})} AS action, "
+    f"{_case({i: k for i, (_, k) in sg.DEFAULT_PLAYBOOK.items()})} AS kpi, CAST(COUNT(*) AS BIGINT) AS sellers FROM seg_labels GROUP BY cluster_id"))
 def q_playbook(spark, sf_dir):
     """13.4: sellers per segment with its action and KPI."""
     return sg.segment_playbook(_labels(ctx(spark, sf_dir)))
@@ -220,3 +220,75 @@ def q_upgrades(spark, sf_dir):
     """13.8: per quarter (year * 4 + quarter - 1), the share of each segment's sellers that are power sellers a quarter later."""
     quarter = F.year("snapshot_on") * 4 + F.quarter("snapshot_on") - 1
     return sg.segment_upgrades(period_labels(ctx(spark, sf_dir), quarter))
+
+
+# --- label validity, as-of churn, funnel, dated campaigns ----------------------
+
+_HIST = "SELECT seller_nickname, cluster_id, make_date(CAST(period AS BIGINT), 12, 31) AS label_date FROM lab_y"
+_SPANS = ("SELECT seller_nickname, cluster_id, valid_from, lead(valid_from) OVER (PARTITION BY seller_nickname ORDER BY valid_from) AS valid_to FROM ("
+          "SELECT seller_nickname, cluster_id, label_date AS valid_from, lag(cluster_id) OVER (PARTITION BY seller_nickname ORDER BY label_date) AS was FROM hist) c "
+          "WHERE was IS DISTINCT FROM cluster_id")
+HISTORY = [*YEARLY, ("hist", _HIST), ("spans", _SPANS)]
+
+
+def _history(c):
+    return yearly_labels(c).select(S, "cluster_id", F.make_date("period", F.lit(12), F.lit(31)).alias("label_date"))
+
+
+@register("label_intervals", G(
+    f"SELECT s.{S}, s.cluster_id, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to, "
+    f"CAST(COUNT(*) AS BIGINT) AS snapshots FROM spans s JOIN hist h ON h.{S} = s.{S} AND h.label_date >= s.valid_from "
+    f"AND (s.valid_to IS NULL OR h.label_date < s.valid_to) GROUP BY s.{S}, s.cluster_id, valid_from, valid_to", *HISTORY))
+def q_label_intervals(spark, sf_dir):
+    """13.7: the label history as validity intervals, one row per change of a seller's segment."""
+    return sg.label_intervals(_history(ctx(spark, sf_dir)))
+
+
+@register("churn_alerts_as_of", G(
+    f"SELECT f.{S}, CAST(f.snapshot_on AS VARCHAR) AS snapshot_on, " + rnd("f.prev_rep", "prev_rep") + ", " + rnd("f.rep", "rep") +
+    f", 'churn_risk' AS alert FROM (SELECT *, lag(rep) OVER (PARTITION BY {S} ORDER BY snapshot_on) AS prev_rep FROM ("
+    f"SELECT {S}, snapshot_on, AVG(snapshot_rep) AS rep FROM listings WHERE {S} IS NOT NULL GROUP BY {S}, snapshot_on) d) f "
+    f"ASOF JOIN spans s ON f.{S} = s.{S} AND f.snapshot_on >= s.valid_from WHERE f.rep < f.prev_rep AND s.cluster_id = 1", *HISTORY))
+def q_churn_as_of(spark, sf_dir):
+    """13.6: reputation falls of sellers that were power sellers on that day, by an as-of join with the label intervals."""
+    c = ctx(spark, sf_dir)
+    return sg.churn_alerts_as_of(c.listings, sg.label_intervals(_history(c)))
+
+
+FUNNEL = (0, 2, 1)  # occasional, growing, power
+
+
+@register("migration_funnel", G(
+    "SELECT t.step, t.cluster_id, CAST(COUNT(r.m) FILTER (WHERE r.m >= t.step) AS BIGINT) AS sellers, " +
+    rnd("CAST(COUNT(r.m) FILTER (WHERE r.m >= t.step) AS DOUBLE) / NULLIF(COUNT(r.m) FILTER (WHERE r.m >= t.step - 1), 0)", "share") +
+    " FROM (VALUES " + ", ".join(f"({i}, {c})" for i, c in enumerate(FUNNEL, 1)) + ") t(step, cluster_id) CROSS JOIN ("
+    "WITH RECURSIVE chg AS (SELECT seller_nickname, cluster_id, row_number() OVER (PARTITION BY seller_nickname ORDER BY period) AS i FROM ("
+    "SELECT *, lag(cluster_id) OVER (PARTITION BY seller_nickname ORDER BY period) AS was FROM lab_y) x WHERE was IS DISTINCT FROM cluster_id), "
+    "walk AS (SELECT seller_nickname, i, 1 AS k FROM chg WHERE cluster_id = " + str(FUNNEL[0]) + " UNION ALL SELECT c.seller_nickname, c.i, w.k + 1 "
+    "FROM walk w JOIN chg c ON c.seller_nickname = w.seller_nickname AND c.i = w.i + 1 AND c.cluster_id = "
+    "CASE w.k " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(FUNNEL[1:], 1)) + " END) "
+    "SELECT s.seller_nickname, COALESCE(MAX(w.k), 0) AS m FROM (SELECT DISTINCT seller_nickname FROM lab_y) s LEFT JOIN walk w "
+    "ON w.seller_nickname = s.seller_nickname GROUP BY s.seller_nickname) r GROUP BY t.step, t.cluster_id", *YEARLY))
+def q_funnel(spark, sf_dir):
+    """13.8: strict funnel occasional, growing, power over the sellers' yearly segments."""
+    return sg.migration_funnel(yearly_labels(ctx(spark, sf_dir)), FUNNEL)
+
+
+_YEARS = range(1992, 1999)
+_DATED = [*sg.DEFAULT_CALENDAR, ("Vacaciones fin de año", 12, 27, 1, 10, 3)]
+
+
+def _dated_values() -> str:
+    rows = ", ".join(f"('{n}', DATE '{y}-{sm:02}-{sd:02}', DATE '{y + ((em, ed) < (sm, sd))}-{em:02}-{ed:02}', {p})"
+                     for y in _YEARS for n, sm, sd, em, ed, p in _DATED)
+    return f"SELECT * FROM (VALUES {rows}) AS t(campaign, start_on, end_on, priority)"
+
+
+@register("season_by_interval", G(
+    "SELECT CAST(date AS VARCHAR) AS date, COALESCE(campaign, 'Ninguna campaña') AS season FROM ("
+    "SELECT d.date, c.campaign, ROW_NUMBER() OVER (PARTITION BY d.date ORDER BY c.priority NULLS LAST, c.campaign) AS rn "
+    "FROM (SELECT DISTINCT snapshot_on AS date FROM listings WHERE snapshot_on IS NOT NULL) d "
+    "LEFT JOIN dated c ON d.date BETWEEN c.start_on AND c.end_on) t WHERE rn = 1", ("dated", _dated_values())))
+def q_season_by_interval(spark, sf_dir):
+    """13.3: campaign of each listing date from dated campaigns, with one over the turn of the year."""
+    return sg.season_by_interval(ctx(spark, sf_dir).listings, "snapshot_on", sg.dated_calendar(spark, _YEARS, _DATED))

@@ -23,7 +23,7 @@ from ..operators import kmeans as km
 from ..operators import profile as pr
 from ..operators.features import FEATURES, listing_features
 from ..operators.preprocess import impute_median
-from ..operators.segments import canonical_ids, name_segments, relabel
+from ..operators.segments import SEGMENT_NAMES, UNKNOWN_SEGMENT, canonical_ids, name_segments, relabel
 from ..session import ensure_checkpoint_dir
 from ..sources.listings import SOURCE_COLUMNS, load_listings
 from . import scoring
@@ -245,9 +245,7 @@ LABEL_CTES = [
              "AS INTEGER) AS cluster_id FROM cranked"),
     ("seg_labels", "SELECT a.seller_nickname, m.cluster_id, a.distance2 FROM assigned a JOIN cmap m ON a.cluster_id = m.raw_id"),
 ]
-SEGNAME_SQL = ("CASE cluster_id WHEN 0 THEN 'Sellers Ocasionales' WHEN 1 THEN 'Power Sellers' "
-               "WHEN 2 THEN 'Sellers en Crecimiento' WHEN 3 THEN 'Cazadores de Oferta' "
-               "WHEN 4 THEN 'Liquidadores / Outlet' ELSE 'Desconocido' END")
+SEGNAME_SQL = ("CASE cluster_id " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in SEGMENT_NAMES.items()) + f" ELSE '{UNKNOWN_SEGMENT}' END")
 
 
 def with_labels(body: str, *extra) -> str:
