@@ -21,8 +21,13 @@ does a distributed selection instead:
    one value is one such row.
 
 Every pass is a partial-aggregated shuffle; the only per-group work in one task
-is the final bracket, bounded by ``max_bracket`` rows.  Only a single boolean
-("any bracket still too large?") reaches the driver per round.
+is the final bracket, bounded by ``max_bracket`` rows.  Only one row of sizes
+reaches the driver per round.
+
+Fact rows never move to meet the brackets of their group: up to ``SMALL`` brackets
+are broadcast (their number is checked first); of more, those of groups with more
+than one in ``HOT`` of all values are (fewer than ``HOT`` groups a column can be),
+and only the rows of the other, small groups are dealt out by group.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from ..session import ensure_checkpoint_dir
 GRID = 200             # grid intervals per refinement round
 ACCURACY = 20000       # percentile_approx accuracy (>> GRID so the grid is well resolved)
 MAX_BRACKET = 200_000  # rows of different values a final bracket may hold
+SMALL = 10_000         # brackets that are broadcast without looking at their groups' sizes
+HOT = 1000             # a group with more than one in HOT of all values is hot
 
 
 def _long(df: DataFrame, columns, by) -> DataFrame:
@@ -44,7 +51,7 @@ def _long(df: DataFrame, columns, by) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
-                    accuracy: int = ACCURACY, max_bracket: int = MAX_BRACKET) -> DataFrame:
+                    accuracy: int = ACCURACY, max_bracket: int = MAX_BRACKET, small: int = SMALL) -> DataFrame:
     """Long table ``(*by, column, p, quantile)`` of exact linear-interpolated quantiles.
 
     NULL and NaN inputs are ignored (pandas / SQL semantics); a group with no
@@ -77,13 +84,15 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
                            F.lit(True).alias("open"))
     # the state table has one row per (group, column, p)
     state = state.cache()
+    size = state.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("values")).first()
+    hot = None if size["rows"] <= small else max(1, int(size["values"]) // (len(probs) * HOT))
 
     grid_probs = [i / grid for i in range(grid + 1)]
     while True:
         todo = state.where(F.col("open") & (F.col("inside") > max_bracket))
         if todo.isEmpty():
             break
-        rows = _in_bracket(long, todo, keys, tkeys, small=not by)
+        rows = _in_bracket(long, todo, keys, tkeys, hot=hot)
         g = (rows.groupBy(*tkeys)
                  .agg(F.percentile_approx("v", grid_probs, accuracy).alias("grid")))
         # relative ranks of the two targets inside the bracket, mapped to grid cells
@@ -97,7 +106,7 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
                                 .otherwise(F.coalesce(F.col("lo") + (F.col("hi") - F.col("lo")) / 2, "v_lo"))))
         # one count inside the old bracket: of the grid's bracket, and of the halves below and above the middle
         extra, v = ["g_lo", "g_hi", "mid"], F.col("v")
-        chk = (_in_bracket(long, cand.select(*tkeys, "lo", "hi", *extra), keys, tkeys, extra=extra, small=not by)
+        chk = (_in_bracket(long, cand.select(*tkeys, "n", "lo", "hi", *extra), keys, tkeys, extra=extra, hot=hot)
                .groupBy(*tkeys)
                .agg(F.count_if(v < F.col("g_lo")).alias("g_below"), F.count_if((v >= F.col("g_lo")) & (v <= F.col("g_hi"))).alias("g_inside"),
                     F.count_if(v <= F.col("mid")).alias("m_low"), F.min("v").alias("least"), F.max("v").alias("most"),
@@ -128,7 +137,7 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), *, grid: int = GRID,
         state = new_state.checkpoint()  # so that plans don't grow from round to round
 
     # final: order statistics inside each bracket
-    rows = _in_bracket(long, state.where(F.col("a1").isNull()), keys, tkeys, extra=["below", "r1", "r2", "h"], small=not by)
+    rows = _in_bracket(long, state.where(F.col("a1").isNull()), keys, tkeys, extra=["below", "r1", "r2", "h"], hot=hot)
     vc = rows.groupBy(*tkeys, "below", "r1", "r2", "h", "v").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*tkeys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vc = vc.withColumn("cum", F.col("below") + F.sum("c").over(w))
@@ -154,18 +163,25 @@ def _join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFr
 
     Spark plans ``<=>`` keys as ordinary hash/sort join keys."""
     keys = list(keys)
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[F.col(c) for c in right.columns if c not in keys])
     cond = None
     for k in keys:
         e = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         cond = e if cond is None else cond & e
-    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+    j = left.join(r, cond, how)
+    return j if how == "left_anti" else j.drop(*[f"__r_{k}" for k in keys])
 
 
-def _in_bracket(long: DataFrame, bounds: DataFrame, keys, tkeys, extra=(), small: bool = False) -> DataFrame:
-    """The values within the bounds of their key; ``small``: bounds has at most columns x probabilities rows, so it is broadcast."""
-    b = bounds.select(*tkeys, "lo", "hi", *extra)
-    j = _join(long, F.broadcast(b) if small else b, keys)
+def _in_bracket(long: DataFrame, bounds: DataFrame, keys, tkeys, extra=(), hot: int | None = None) -> DataFrame:
+    """The values within the bounds of their key.  ``hot`` None: the bounds are few, checked, and all broadcast; else those of
+    keys with more than ``hot`` values are, and the rows of the other keys meet theirs by key."""
+    b = bounds.select(*tkeys, "n", "lo", "hi", *extra)
+    if hot is None:
+        j = _join(long, F.broadcast(b.drop("n")), keys)
+    else:
+        large, rest = b.where(F.col("n") > hot).drop("n"), b.where(F.col("n") <= hot).drop("n")
+        others = _join(long, F.broadcast(large.select(*keys).distinct()), keys, "left_anti")
+        j = _join(long, F.broadcast(large), keys).unionByName(_join(others, rest, keys))
     return j.where((F.col("lo").isNull() | (F.col("v") >= F.col("lo"))) &
                    (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
 

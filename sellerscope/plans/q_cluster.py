@@ -10,7 +10,9 @@ from ..operators import kmeans as km
 from ..operators import pca
 from ..operators.correlation import covariance_matrix
 from ..operators.elbow import kneedle
+from ..operators.euclidean import euclidean_silhouette
 from ..operators.features import FEATURES
+from ..operators.minibatch import fit_minibatch
 from ..operators.preprocess import inverse_scale
 from ..plans import scoring
 from ..sources import sinks
@@ -34,8 +36,8 @@ EXTRA = [
 ]
 
 
-def C(body: str) -> str:
-    return with_ctes(body, *LABEL_CTES, *EXTRA)
+def C(body: str, *more) -> str:
+    return with_ctes(body, *LABEL_CTES, *EXTRA, *more)
 
 
 def _points(c):
@@ -51,6 +53,31 @@ def q_silhouette(spark, sf_dir):
     return ev.silhouette(_points(ctx(spark, sf_dir)))
 
 
+_EUCLID = [
+    ("anch", f"SELECT seller_nickname, cluster_id, {', '.join(FEATURES)}, (rk - 1) % 8 AS g FROM (SELECT *, ROW_NUMBER() OVER "
+             "(PARTITION BY cluster_id ORDER BY md5(seller_nickname), seller_nickname) AS rk FROM assigned) t WHERE rk <= 1024"),
+    ("pairs", "SELECT a.seller_nickname, a.cluster_id AS own, x.cluster_id AS other, x.g, COUNT(*) FILTER (WHERE x.seller_nickname <> a.seller_nickname) AS n, SUM(sqrt(" +
+              " + ".join(f"(a.{f} - x.{f}) * (a.{f} - x.{f})" for f in FEATURES) + ")) AS d FROM assigned a CROSS JOIN anch x GROUP BY a.seller_nickname, a.cluster_id, x.cluster_id, x.g"),
+    ("less", "SELECT seller_nickname, own, other, r, SUM(n) AS n, SUM(d) AS d FROM pairs CROSS JOIN range(9) q(r) WHERE g <> r GROUP BY seller_nickname, own, other, r"),
+    ("sil", "SELECT seller_nickname, r, CASE WHEN a IS NULL THEN 0.0 ELSE COALESCE((b - a) / NULLIF(GREATEST(a, b), 0), 0.0) END AS s FROM ("
+            "SELECT seller_nickname, r, MAX(CASE WHEN own = other AND n > 0 THEN d / n END) AS a, MIN(CASE WHEN own <> other AND n > 0 THEN d / n END) AS b "
+            "FROM less GROUP BY seller_nickname, r) t"),
+    ("runs", "SELECT r, AVG(s) AS v FROM sil GROUP BY r"),
+]
+
+
+@register("silhouette_euclidean", C(
+    "SELECT CAST((SELECT COUNT(DISTINCT cluster_id) FROM assigned) AS INTEGER) AS n_clusters, (SELECT COUNT(*) FROM assigned) AS points, "
+    "(SELECT COUNT(*) FROM anch) AS anchors, " +
+    rnd("(SELECT AVG(CASE WHEN n_own <= 1 THEN 0.0 ELSE COALESCE((b - a) / NULLIF(GREATEST(a, b), 0), 0.0) END) FROM ab)", "silhouette") + ", " +
+    rnd("(SELECT v FROM runs WHERE r = 8)", "silhouette_euclidean") + ", " +
+    rnd("(SELECT sqrt(VAR_POP(v) * 7 * (1.0::DOUBLE - (SELECT COUNT(*) FROM anch)::DOUBLE / (SELECT COUNT(*) FROM assigned))) FROM runs WHERE r < 8)", "standard_error"),
+    *_EUCLID))
+def q_silhouette_euclidean(spark, sf_dir):
+    """10.2: mean Euclidean silhouette against at most 1,024 anchors a cluster, with its standard error."""
+    return euclidean_silhouette(_points(ctx(spark, sf_dir)))
+
+
 @register("davies_bouldin", C(
     "SELECT CAST(COUNT(*) AS INTEGER) AS n_clusters, " + rnd("AVG(r)", "davies_bouldin") + " FROM ("
     "SELECT i.cluster_id, MAX((si.s + sj.s) / sqrt(" +
@@ -211,6 +238,13 @@ def q_quality(spark, sf_dir):
     return ev.cluster_quality(c.model.scaled, range(2, 11), fits=_sweep(c))
 
 
+@register("cluster_quality_minibatch", bits=10)
+def q_quality_minibatch(spark, sf_dir):
+    """10.5: the same table for k = 2..10 from mini-batch k-means (best of 3 restarts, 3 passes of 8 batches)."""
+    scaled = ctx(spark, sf_dir).model.scaled
+    return ev.cluster_quality(scaled, range(2, 11), fits=fit_minibatch(scaled, range(2, 11)))
+
+
 def _pca(c):
     if getattr(c, "_pca", None) is None:
         c._pca = pca.fit_pca(c.model.scaled, FEATURES, 2)
