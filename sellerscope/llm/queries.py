@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, divergence, langid, mixing, near_dup, pairwise, quality_rules, simhash, suffix_dedup, token_files, urls, variants, warc
@@ -40,6 +39,7 @@ def op5_quality_rules(spark, sf_dir):
 
 def op6_token_files(spark, sf_dir):
     """Token ids written in id order and read back."""
+    import public_tokenizers  # needed here alone: the other queries work without it
     return token_files.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
