@@ -3,25 +3,32 @@
 Each batch of documents is a shard.  Its words become numbers of the benchmark's vocabulary, and the suffixes
 that a benchmark window can start (so many words of the vocabulary in a row) are sorted into the shard's suffix
 array.  Every benchmark suffix is binary-searched in every shard; its interval gives the places of its window,
-and word-by-word extension the longest verbatim matches.
+and word-by-word extension the longest verbatim matches.  Hit words are those that the longest matches cover.
+
+The benchmark is cut into blocks by the tasks that read it; a block is a file in the shared folder.  Tasks over
+documents load the blocks one after the other and keep up to CACHE_BYTES of them, so neither the driver nor a
+worker ever holds the whole benchmark.
 """
 
 from __future__ import annotations
 
+import io
+import json
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, pieces, plain_rule, ship, text_buffers, word_hashes
+from .common import LOWER, UPPER, open_fs, pieces, plain_rule, shared_path, ship, text_buffers, word_hashes, worker_state, written
 
 ship(__name__)
 
 WINDOW = 10
-#: Benchmark text is searched in blocks of at most so many bytes (one item may exceed it), each broadcast.
-BLOCK_BYTES = 8 << 20
-
-
+#: Benchmark text is searched in blocks of at most so many bytes (one item may exceed it).
+BLOCK_BYTES = 4 << 20
+#: Bytes of loaded blocks that a worker keeps, and pairs of places that are extended at a time.
+CACHE_BYTES, PAIRS = 192 << 20, 1 << 20
 
 def item_block(ids: list, texts: list) -> dict:
     """Vocabulary (sorted word hashes), the items' words as numbers from 1, and the distinct windows with their places.
@@ -93,20 +100,16 @@ def intervals(keys, block):
 
 
 def search_block(words, at, block):
-    """(covered words, window's place, window) of one shard and one block; every place of every window."""
+    """(window's place, window, word numbers) of one shard and one block; every place of every window."""
     least = int(block["lengths"].min()) if len(block["lengths"]) else 0
     no = numbers(words, block["vocab"])
     if not least or not no.any():
-        return np.zeros(len(words), bool), np.zeros(0, np.int64), np.zeros(0, np.int64), no
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), no
     places, keys = suffix_array(no, at, least)
     low, high = intervals(keys, block)
     n = high - low
     which = np.repeat(np.arange(len(n)), n)
-    found = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, found, 1)
-    np.add.at(edge, found + block["lengths"][which], -1)
-    return np.cumsum(edge[:-1]) > 0, found, which, no
+    return places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)], which, no
 
 
 def longest_matches(no, at, found, which, block):
@@ -132,30 +135,80 @@ def longest_matches(no, at, found, which, block):
     return doc, item, p - at[doc], q, size
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = BLOCK_BYTES) -> list:
-    """The benchmark as broadcast blocks of bounded size; items without a word are no windows."""
-    sc = benchmark.sparkSession.sparkContext
-    out, ids, texts, size = [], [], [], 0
-    for r in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter(F.col(text).isNotNull()).toLocalIterator():
-        if size and size + len(r.t) > limit:
-            out.append(sc.broadcast(item_block(ids, texts)))
-            ids, texts, size = [], [], 0
-        ids.append(r.i or "")
-        texts.append(r.t)
-        size += len(r.t)
-    if ids:
-        out.append(sc.broadcast(item_block(ids, texts)))
-    return out
+def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = BLOCK_BYTES) -> list[str]:
+    """The paths of the benchmark's blocks, written by the tasks that read it; items without a word are no windows.
+
+    The driver gets one path per block.  A repeated task writes new files; those in the written list count."""
+    folder = shared_path(benchmark.sparkSession, "benchmark")
+
+    def run(batches):
+        import pyarrow as pa
+        ids, texts, size, paths = [], [], 0, []
+
+        def write():
+            block = item_block(ids, texts)
+            block["ids"] = np.frombuffer(json.dumps(block["ids"]).encode(), np.uint8)
+            fs, at = open_fs(f"{folder}/{uuid.uuid4().hex}.npz")
+            buffer = io.BytesIO()
+            np.savez(buffer, **block)
+            fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(at) as f:
+                f.write(buffer.getvalue())
+            paths.append(f"{folder}/{at.rsplit('/', 1)[1]}")
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if size and size + len(t) > limit:
+                    write()
+                    ids, texts, size = [], [], 0
+                ids.append(i or "")
+                texts.append(t)
+                size += len(t)
+        if ids:
+            write()
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter(F.col(text).isNotNull())
+    return sorted(r.path for r in written(items.mapInArrow(run, "path string"), "benchmark-list").collect())
+
+
+def load_block(path: str) -> dict:
+    """A block from its file; a worker keeps the last ones, up to CACHE_BYTES."""
+    kept = worker_state("benchmark_blocks", dict)
+    if path not in kept:
+        fs, at = open_fs(path)
+        with fs.open_input_file(at) as f:
+            raw = np.load(io.BytesIO(f.read()))
+            block = {k: raw[k] for k in raw.files}
+        block["ids"] = json.loads(block["ids"].tobytes())
+        block["bytes"] = sum(v.nbytes for v in block.values() if hasattr(v, "nbytes"))
+        while kept and sum(b["bytes"] for b in kept.values()) + block["bytes"] > CACHE_BYTES:
+            kept.pop(next(iter(kept)))
+        kept[path] = block
+    return kept[path]
+
+
+def shard_matches(words, at, paths):
+    """Per block, and per PAIRS of places at most: (block, document, item, document word, item word, length) of the longest
+    matches of one shard."""
+    for path in paths:
+        block = load_block(path)
+        found, which, no = search_block(words, at, block)
+        pairs = np.cumsum(block["first"][which + 1] - block["first"][which])
+        lo = 0
+        while lo < len(found):
+            hi = max(lo + 1, int(np.searchsorted(pairs, (pairs[lo - 1] if lo else 0) + PAIRS, "right")))
+            yield (block, *longest_matches(no, at, found[lo:hi], which[lo:hi], block))
+            lo = hi
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, items (ids, sorted as strings), spans (start, length of
-    each maximal run of hit words).  Map-only: documents are not shuffled.
+    each maximal run of hit words: the union of the longest matches).  Documents are not shuffled.
 
-    Null or empty text: no words, no hits.  Null ids stay; repeated rows are separate rows.  Items without a word
-    are ignored, items of one id are one item.  Empty tables: no rows, or no hits.  Other columns are not read.
+    Null or empty text: no words, no hits.  Very long texts are searched whole.  Null ids stay; repeated rows are
+    separate rows.  Items without a word are ignored, items of one id are one item.  Empty tables: no rows, or no
+    hits.  Other columns are not read.
     """
-    blocks = benchmark_blocks(benchmark)
+    paths = benchmark_blocks(benchmark)
 
     def run(batches):
         import pyarrow as pa
@@ -163,14 +216,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             data, offsets = text_buffers(b.column(1))
             words, at = word_hashes(data, offsets, plain_rule())
             n = len(at) - 1
-            hit, items = np.zeros(len(words), bool), [set() for _ in range(n)]
-            for block in blocks:
-                block = block.value
-                covered, found, which, _ = search_block(words, at, block)
-                hit |= covered
-                pairs = np.unique(np.stack([np.searchsorted(at, found, "right") - 1, which]), axis=1) if len(found) else np.zeros((2, 0), int)
-                for d, w in zip(*pairs):
-                    items[d].update(block["ids"][i] for i in block["item"][block["first"][w]:block["first"][w + 1]])
+            edges, items = np.zeros(len(words) + 1, np.int64), [set() for _ in range(n)]
+            for block, doc, item, p, _, size in shard_matches(words, at, paths):
+                np.add.at(edges, at[doc] + p, 1)
+                np.add.at(edges, at[doc] + p + size, -1)
+                for d, i in np.unique(np.stack([doc, item], axis=1), axis=0):
+                    items[d].add(block["ids"][i])
+            hit = np.cumsum(edges[:-1]) > 0
             total = np.concatenate([[0], np.cumsum(hit)])
             edge = np.zeros(len(words) + 1, bool)
             edge[at] = True
@@ -190,18 +242,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per longest verbatim match of at least a window: doc_id, item_id, doc_word, item_word, length."""
-    blocks = benchmark_blocks(benchmark)
+    """One row per longest verbatim match of at least a window: doc_id, item_id, doc_word, item_word, length.
+
+    The cases of ``contamination`` hold; repeated rows and items of one id have their own matches."""
+    paths = benchmark_blocks(benchmark)
 
     def run(batches):
         import pyarrow as pa
         for b in pieces(batches, 1):
             data, offsets = text_buffers(b.column(1))
             words, at = word_hashes(data, offsets, plain_rule())
-            for block in blocks:
-                block = block.value
-                _, found, which, no = search_block(words, at, block)
-                doc, item, p, q, size = longest_matches(no, at, found, which, block)
+            for block, doc, item, p, q, size in shard_matches(words, at, paths):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array([block["ids"][i] for i in item], pa.string()),
                                                   pa.array(p), pa.array(q), pa.array(size, pa.int64())], ["doc_id", "item_id", "doc_word", "item_word", "length"])
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -216,8 +267,13 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a benchmark window; columns unchanged, nothing joined or shuffled."""
-    blocks, at_text = benchmark_blocks(benchmark), docs.columns.index("text")
+    """The rows of ``docs`` (with a column text) without a longest match of a benchmark window; columns unchanged, nothing
+    joined or shuffled.
+
+    Rows of null or empty text stay, very long ones are searched whole, repeated rows are judged alike.  Empty benchmark:
+    all rows stay; empty table: no rows.
+    """
+    paths, at_text = benchmark_blocks(benchmark), docs.columns.index("text")
 
     def keep(batches):
         import pyarrow as pa
@@ -225,9 +281,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             data, offsets = text_buffers(b.column(at_text))
             words, at = word_hashes(data, offsets, plain_rule())
             bad = np.zeros(len(at) - 1, bool)
-            for block in blocks:
-                _, found, _, _ = search_block(words, at, block.value)
-                bad[np.searchsorted(at, found, "right") - 1] = True
+            for _, doc, *_ in shard_matches(words, at, paths):
+                bad[doc] = True
             yield b.filter(pa.array(~bad))
     return docs.mapInArrow(keep, docs.schema)
 

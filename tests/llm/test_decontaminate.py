@@ -75,3 +75,30 @@ def test_spans_and_drop(spark, odd):
     assert spans[1] == [(0, 30)] and spans[3] == []
     kept = dc.drop_contaminated(odd, bench)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 4, 5, 6, 7, 8, 8, 9, 10, 11]
+
+
+def test_hits_are_the_union_of_the_longest_matches(spark):
+    d, b = spark.createDataFrame(corpus(), "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    covered = {}
+    for r in dc.matches(d.filter("doc_id is not null"), b).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.doc_word, r.doc_word + r.length))
+    for r in dc.contamination(d.filter("doc_id is not null"), b).collect():
+        own = {w for s in r.spans for w in range(s.start, s.start + s.length)}
+        assert own == covered.get(r.doc_id, set()) and len(own) == r.n_hit
+
+
+def test_a_worker_keeps_few_blocks(spark, monkeypatch):
+    import inspect
+    assert "toLocalIterator" not in inspect.getsource(dc)
+    monkeypatch.setattr(dc.benchmark_blocks, "__defaults__", ("item_id", "text", 60))
+    paths = dc.benchmark_blocks(spark.createDataFrame(ITEMS, "item_id long, text string").coalesce(1))
+    assert len(paths) > 3
+    monkeypatch.setattr(dc, "CACHE_BYTES", 1)
+    kept = dc.worker_state("benchmark_blocks", dict)
+    for p in paths * 2:
+        assert len(dc.load_block(p)["wins"]) >= 0 and list(kept) == [p]
+
+
+def test_many_places_are_extended_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(dc, "PAIRS", 3)
+    assert sorted((tuple(r) for r in run(spark, corpus(), ITEMS).collect()), key=str) == brute(corpus(), ITEMS)
