@@ -25,6 +25,9 @@ BUCKETS = 1 << BITS
 SAMPLE_PER_LANG, SAMPLE_ROWS = 800, 4000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.002, 0.002
 PIECE = 1 << 20
+#: Texts of so many grams (about 200 letters) and more are rejected below SLACK times the least score that any such text of
+#: the sample's held rows gets; shorter ones are never rejected for their score.
+LONG, SLACK = 600, 0.9
 UNKNOWN = "und"
 
 
@@ -34,23 +37,26 @@ def letter_table():
 
 
 def gram_counts(text: str, letters) -> np.ndarray | None:
-    """Counts per hash bucket of the 1- to 3-grams of a whole text; None where it has no letter."""
-    total = None
+    """Counts per hash bucket of the 1- to 3-grams of a whole text; None where it has no letter.
+
+    The text is worked through in pieces; the last two kept signs go over to the next one, and each gram counts in
+    the piece that it ends in."""
+    total, tail, after_letter, text = None, np.zeros(0, np.uint32), False, text.lower()
     for at in range(0, len(text), PIECE):
-        c = np.frombuffer(text[max(0, at - 2):at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.frombuffer(text[at:at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = letters[np.minimum(c, len(letters) - 1)] & (c < len(letters))
-        keep = is_letter.copy()
-        keep[1:] |= is_letter[:-1]
-        c = np.where(is_letter, c, np.uint32(32))[keep]
-        if not is_letter.any():
-            continue
+        keep = is_letter | np.concatenate(([after_letter], is_letter[:-1]))
+        after_letter = bool(is_letter[-1])
+        c = np.concatenate((tail, np.where(is_letter, c, np.uint32(32))[keep]))
+        old, tail = len(tail), c[-2:]
         one = c * np.uint32(0x9E3779B1)
         two = (one[:-1] ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B) + c[1:] * np.uint32(0xC2B2AE35)
         three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * np.uint32(0x27D4EB2F) + c[2:] * np.uint32(0x165667B1)
-        grams = [(g ^ (g >> np.uint32(13))) * np.uint32(0x85EBCA77) >> np.uint32(32 - BITS) for g in (one, two, three)]
+        ends = (one[old:], two[max(0, old - 1):], three[max(0, old - 2):])
+        grams = [(g ^ (g >> np.uint32(13))) * np.uint32(0x85EBCA77) >> np.uint32(32 - BITS) for g in ends]
         counts = np.bincount(np.concatenate(grams), minlength=BUCKETS)
         total = counts if total is None else total + counts
-    return total
+    return total if total is not None and total.any() else None
 
 
 def unit_features(counts, idf):
@@ -103,7 +109,7 @@ def labelled_sample(rows: DataFrame) -> list:
                 counts = gram_counts(t, letters) if t else None
                 if counts is not None:
                     at = np.flatnonzero(counts)
-                    out.append((lang, hh, at.astype(np.uint16).tobytes(), np.minimum(counts[at], 65535).astype(np.uint16).tobytes()))
+                    out.append((lang, hh, at.astype(np.uint16).tobytes(), counts[at].astype(np.int64).tobytes()))
             cols = list(zip(*out)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()),
                                               pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["lang", "h", "at", "n"])
@@ -157,7 +163,7 @@ def temperature(scores, y) -> float:
 
 
 class Model(SimpleNamespace):
-    """langs, idf, weights, bias, temp."""
+    """langs, idf, weights, bias, temp, floor (the least score that a long text of a learnt language can be expected to get)."""
 
 
 def fit_languages(rows: DataFrame) -> Model:
@@ -168,15 +174,24 @@ def fit_languages(rows: DataFrame) -> Model:
     sample = labelled_sample(rows)
     langs = sorted({r.lang for r in sample})
     no = {x: i for i, x in enumerate(langs)}
-    examples = []
+    examples, sizes = [], []
     for r in sample:
         counts = np.zeros(BUCKETS, np.int64)
-        counts[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint16)
+        counts[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.int64)
         examples.append((*unit_features(counts, idf), no[r.lang]))
+        sizes.append(int(counts.sum()))
     held, learn = examples[::5], [x for i, x in enumerate(examples) if i % 5]
     w, b = ftrl(learn or examples, max(1, len(langs)))
     scores = np.array([x @ w[at] + b for at, x, _ in held]).reshape(len(held), max(1, len(langs)))
-    return Model(langs=langs, idf=idf, weights=w, bias=b, temp=temperature(scores, np.array([y for _, _, y in held], int)))
+    temp = temperature(scores, np.array([y for _, _, y in held], int))
+    sure = [certainty(s, temp) for s, n in zip(scores, sizes[::5]) if n >= LONG]
+    return Model(langs=langs, idf=idf, weights=w, bias=b, temp=temp, floor=SLACK * min(sure, default=0.0))
+
+
+def certainty(scores, temp: float) -> float:
+    """The probability of the likeliest language."""
+    s = scores / temp
+    return float(1.0 / np.exp(s - s.max()).sum())
 
 
 def predict_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,7 +227,7 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 def identify(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
-    Null or empty text, or one without a letter: `und` with score 0.  Null language: not learnt from.  Null id:
+    Null or empty text, or one without a letter: `und` with score 0.  Very long texts are counted whole.  Null language: not learnt from.  Null id:
     predicted, not learnt from, held_out null.  Repeated rows: predicted alike.  No labelled row: all `und`.
     Empty table: no rows.  Other columns are not read.
     """
@@ -221,15 +236,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float | None = None) -> DataFrame:
-    """The rows whose language is identified; columns unchanged.
+    """The rows (with columns doc_id, text, lang) whose language is identified; columns unchanged.
 
-    Rejected are rows without a letter, and those with a score below ``min_score``: unless given, a tenth above
-    that of a guess among the learnt languages (0.4 at most), so that short clean texts stay.  Scores travel with
-    the text: nothing is joined or shuffled.
+    Rejected are rows without a letter (null and empty text too), and long texts with a score below ``min_score``:
+    unless given, nine tenths of the least score that a long text among the sample's held rows gets, so texts of
+    letters in no learnt language go, and clean texts and short ones stay.  Very long texts are judged whole.  Repeated
+    rows are judged alike.  No labelled row: all go.  Empty table: no rows.  Scores travel with the text: nothing is
+    joined or shuffled.
     """
     model = fit_languages(training_rows(docs))
-    if min_score is None:
-        min_score = min(0.4, 1.1 / max(1, len(model.langs)))
+    least = model.floor if min_score is None else min_score
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     at = docs.columns.index("text")
 
@@ -244,7 +260,6 @@ def keep_identified(docs: DataFrame, min_score: float | None = None) -> DataFram
                     ok.append(False)
                     continue
                 i, x = unit_features(counts, m.idf)
-                s = (x @ m.weights[i] + m.bias) / m.temp
-                ok.append(bool(1.0 / np.exp(s - s.max()).sum() >= min_score))
+                ok.append(bool(counts.sum() < LONG or certainty(x @ m.weights[i] + m.bias, m.temp) >= least))
             yield b.filter(pa.array(ok, pa.bool_()))
     return docs.mapInArrow(keep, docs.schema)

@@ -50,7 +50,50 @@ def test_long_texts_count_like_short_pieces(monkeypatch):
     whole = langid.gram_counts(t, letters)
     assert whole.sum() > 3 * len(t) * 0.9
     monkeypatch.setattr(langid, "PIECE", 1000)
-    assert np.abs(langid.gram_counts(t, letters) - whole).sum() < 0.02 * whole.sum()
+    assert (langid.gram_counts(t, letters) == whole).all()
+    odd = "a1 22 b—c  Σ.ΑΣ İx \n" * 200 + "…" * 50 + "zz"
+    for piece in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(langid, "PIECE", 1 << 20)
+        whole = langid.gram_counts(odd, letters)
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert (langid.gram_counts(odd, letters) == whole).all()
+    assert langid.gram_counts("12 … 3", letters) is None
+
+
+def test_many_repeats_of_a_gram_are_learnt_from_in_full(spark):
+    df = spark.createDataFrame([(i, ("ab" * 70_000) if i == 1 else "some text", "en") for i in range(1, 9)], "doc_id long, text string, lang string")
+    counts = [np.frombuffer(r["n"], np.int64).max() for r in langid.labelled_sample(df)]
+    assert max(counts) >= 70_000
+
+
+def test_scores_against_a_plain_scorer(spark, docs):
+    """The same weights, in plain Python over dictionaries."""
+    import math
+    model, letters = langid.fit_languages(langid.training_rows(docs)), langid.letter_table()
+    got = {r.doc_id: r for r in langid.predict_languages(docs, model).collect()}
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        counts = {i: int(c) for i, c in enumerate(langid.gram_counts(r.text, letters)) if c}
+        x = {i: math.log1p(c) * float(model.idf[i]) for i, c in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        s = [(sum(v / norm * float(model.weights[i][k]) for i, v in x.items()) + float(model.bias[k])) / model.temp for k in range(len(model.langs))]
+        p = [math.exp(v - max(s)) / sum(math.exp(u - max(s)) for u in s) for v in s]
+        assert got[r.doc_id].lang_pred == model.langs[p.index(max(p))] and abs(got[r.doc_id].score - max(p)) < 1e-3
+
+
+def strange(n, letters, seed):
+    import random
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(letters) for _ in range(r.randint(3, 9))) for _ in range(n))
+
+
+def test_long_texts_of_no_learnt_language_go_and_clean_ones_stay(spark, docs):
+    junk = [(10 ** 6 + i, strange(200, "бвгджзиклмнпрстфхцчшщ", i), None, "x", 1) for i in range(5)]
+    junk += [(2 * 10 ** 6 + i, strange(200, "ぁあいうえおかきくけこさしすせそ", i), None, "x", 1) for i in range(5)]
+    short = [(3 * 10 ** 6, "бвг джз", None, "x", 1)]
+    both = docs.unionByName(spark.createDataFrame(junk + short, docs.schema))
+    kept = {r.doc_id for r in langid.keep_identified(both).collect()}
+    assert not kept & {j[0] for j in junk} and short[0][0] in kept
+    assert {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} <= kept
 
 
 def test_ftrl_is_sparse_and_separates():
