@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, ship, space_rule, text_buffers, word_hashes, written
+from .common import lookup, mix, pieces, ship, space_rule, text_buffers, word_hashes, written
 
 ship(__name__)
 
@@ -303,7 +303,7 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     """One row per row of ``docs``: doc_id, text_hash, n_shingles, label (of its component; null without a word),
     component_id (smallest id)."""
     sig = signatures(docs, doc_id, text, percent, shingle)
-    classes = sig.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = sig.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
     classes = written(classes, "classes")
     rows = classes.select("node", F.col("n"), F.explode("bands").alias("band"))
     many = rows.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band")
@@ -333,14 +333,13 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     more = verified(few_pairs(rest, tried, percent), sets, percent).unionByName(block_links(rest, sets, percent))
     if not more.isEmpty():
         labels = components(more if links is None else links.unionByName(more))
-    named = sig.select("doc_id", "text_hash", "n_shingles", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left")
-    else:
-        named = named.withColumn("label", F.lit(None).cast("binary"))
-    named = written(named.select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "node").alias("label")), "named")
-    least = named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "label", "left")
+    # class -> component among the classes, then one look-up per document: neither large classes nor large components are dealt by key
+    own = classes.select("node", "rep", "rows")
+    own = own.join(labels, "node", "left") if labels is not None else own.withColumn("label", F.lit(None).cast("binary"))
+    own = written(own.withColumn("label", F.coalesce("label", "node")), "named")
+    per = written(own.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    table = written(lookup(own.drop("rep"), per, "label").select("node", F.col("rows").alias("n"), "label", "component_id"), "looked-up")
+    out = lookup(sig.select("doc_id", "text_hash", "n_shingles", "node"), table, "node").drop("node")
     return out.withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 
@@ -357,7 +356,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component of ``docs`` (doc_id, text, ...): that of smallest id, of equal ids that of the least
-    text hash, of equal rows one.  Rows without a word all stay.  Columns unchanged."""
+    text hash, of equal rows one.  Rows without a word (null or empty text too) all stay.  Very long texts are compared
+    whole.  Empty table: no rows.  Columns unchanged."""
     rows = linked_rows(docs, percent=percent, shingle=shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     per = rows.filter(F.col("label").isNotNull()).groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     one = per.groupBy("label").agg(F.min(F.struct("text_hash", "n", "doc_id")).alias("c"))

@@ -10,15 +10,15 @@ from sellerscope.llm import near_dup as nd
 from .conftest import odd_rows, words
 
 
-def shingles(t):
+def shingles(t, length=3):
     import re
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-    return {tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+    return {tuple(w[i:i + length]) for i in range(max(1, len(w) - length + 1))} if w else set()
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=85, length=3):
     """Components over all pairs; rows in their order, the component's smallest id (null last)."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, length) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):
@@ -193,3 +193,21 @@ def test_long_texts_are_cut_at_words_only():
     t = words(400_000, 6)
     (s,) = nd.shingle_sets(pa.array([t]))
     assert len(s) == len(shingles(t))
+
+
+def test_large_groups_of_copies_stay_where_they_are(spark):
+    """More than a thousandth of all rows in one class: found by the broadcast list of hot keys; the rest by key."""
+    from sellerscope.llm import common
+    rows = spark.range(3000).selectExpr("id AS doc_id", "IF(id < 1000, 'hot', IF(id < 1010, 'cold', concat('k', id))) AS node")
+    rows = common.written(rows.unionByName(spark.createDataFrame([(9000, None)], "doc_id long, node string")), "t")
+    table = common.written(rows.filter("node IS NOT NULL").groupBy("node").count().withColumnRenamed("count", "n").withColumn("v", F.concat(F.lit("v-"), "node")), "t")
+    got = common.lookup(rows, table, "node")
+    assert got.columns == ["doc_id", "node", "v"] and got.count() == 3001
+    assert got.filter("v <=> concat('v-', node)").count() == 3001
+    # neither a third of all rows under one key nor those of ten copies (1 in 300) take part in the join by key
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = common.lookup(rows, table, "node")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
