@@ -1,7 +1,7 @@
 """Principal components of the scaled seller matrix.
 
-The p x p sample covariance is one distributed aggregate (p^2 ``covar_samp``
-expressions); only that p x p matrix (p = 9) reaches the driver, where its
+Means and sample covariance come from one scan (``gram``: centred partials,
+merged pairwise); only that p x p matrix (p = 9) reaches the driver, where its
 eigen-decomposition is computed.  Projection is then a projection (centred
 dot products with literal loadings): no shuffle.  Spark ML's PCA does not
 centre in ``transform``; this does, like scikit-learn.  Component signs are
@@ -16,8 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .correlation import covariance_matrix
 from .features import FEATURES
+from .gram import means_and_covariance
 
 
 @dataclass
@@ -31,11 +31,7 @@ class PCAFit:
 
 def fit_pca(df: DataFrame, columns=FEATURES, n_components: int = 2) -> PCAFit:
     cols = list(columns)
-    p = len(cols)
-    means_row = df.agg(*[F.avg(c).alias(c) for c in cols]).collect()[0]
-    cov = np.zeros((p, p))
-    for r in covariance_matrix(df, cols).collect():
-        cov[r["x_position"], r["y_position"]] = r["covariance"] if r["covariance"] is not None else 0.0
+    _, means, cov = means_and_covariance(df, cols)
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1][:n_components]
     comps = vecs[:, order].T.copy()
@@ -43,7 +39,7 @@ def fit_pca(df: DataFrame, columns=FEATURES, n_components: int = 2) -> PCAFit:
         j = int(np.argmax(np.abs(comps[i])))
         if comps[i, j] < 0:
             comps[i] = -comps[i]
-    return PCAFit(cols, [float(means_row[c]) for c in cols], comps, vals[order], float(np.trace(cov)))
+    return PCAFit(cols, means.tolist(), comps, vals[order], float(np.trace(cov)))
 
 
 def pca_projection(df: DataFrame, fit: PCAFit, key="seller_nickname") -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles
 from ..operators import evaluate as ev
 from ..operators import kmeans as km
-from ..operators import pca
-from ..operators.correlation import covariance_matrix
+from ..operators import gram, pca
 from ..operators.elbow import kneedle
 from ..operators.euclidean import euclidean_silhouette
 from ..operators.features import FEATURES
@@ -117,8 +116,26 @@ def q_tss(spark, sf_dir):
     f"SELECT '{x}' AS col_x, '{y}' AS col_y, {i} AS x_position, {j} AS y_position, {rnd(f'covar_samp({x}, {y})', 'covariance')} FROM scaled"
     for i, x in enumerate(FEATURES) for j, y in enumerate(FEATURES))))
 def q_cov(spark, sf_dir):
-    """11.3: sample covariance of the scaled features (input of PCA)."""
-    return covariance_matrix(ctx(spark, sf_dir).model.scaled, FEATURES)
+    """11.3: sample covariance of the scaled features (input of PCA), one scan."""
+    merged = gram.merge_partials(gram.gram_partials(ctx(spark, sf_dir).model.scaled, FEATURES))
+    return gram.covariance_from_partials(merged, FEATURES).drop("n")
+
+
+PRICED = ["price", "stock", "regular_price", "ventas"]
+
+
+@register("covariance_by_stored_months", with_ctes("\nUNION ALL\n".join(
+    f"SELECT '{x}' AS col_x, '{y}' AS col_y, {i} AS x_position, {j} AS y_position, COUNT(*) AS n, "
+    f"{rnd(f'covar_samp(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))', 'covariance', 8)} FROM listings WHERE " +
+    " AND ".join(f"{c} IS NOT NULL" for c in PRICED)
+    for i, x in enumerate(PRICED) for j, y in enumerate(PRICED))), bits=8)
+def q_stored_covariance(spark, sf_dir):
+    """11.3: covariance of the listings merged from partials stored per month of publication, each month written once."""
+    c = ctx(spark, sf_dir)
+    months = c.listings.withColumn("month", F.date_format("published_on", "yyyy-MM"))
+    path = c.path("gram-months")
+    sinks.append_snapshot(gram.merge_partials(gram.gram_partials(months, PRICED, ["month"]), ["month"]), path, "month")
+    return gram.covariance_from_partials(gram.merge_partials(spark.read.parquet(path)), PRICED)
 
 
 def _sweep(c):
