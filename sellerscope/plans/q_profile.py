@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import correlation as corr
 from ..operators import profile as pr
+from ..operators import profile_store as ps
+from ..operators import top_values as tv
+from ..sources import sinks
 from ..sources.listings import SOURCE_COLUMNS
 from .oracle_sql import rnd, with_ctes
 from .registry import ctx, register
@@ -256,3 +259,39 @@ def q_corr(spark, sf_dir):
 def q_corr_lower(spark, sf_dir):
     """3.18: strict lower triangle of the correlation matrix."""
     return corr.correlation_lower(corr.correlation_matrix(ctx(spark, sf_dir).source))
+
+
+def _stored_profile(c):
+    """Sketches of the listings per month of publication, written once per data set; a second write replaces the months."""
+    if getattr(c, "_profile_store", None) is None:
+        path = c.path("profile-months")
+        months = c.listings.withColumn("month", F.date_format("published_on", "yyyy-MM"))
+        sinks.append_snapshot(ps.column_sketches(months, "month", SOURCE_COLUMNS), path, "period")
+        c._profile_store = path
+    return c.spark.read.parquet(c._profile_store)
+
+
+def _exact_sql(c):
+    number = c in NUMERIC
+    x = f"CAST({c} AS DOUBLE)"
+    return (f"SELECT '{c}' AS column_name, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, " +
+            (f"COUNT({c}) AS numbers, {rnd(f'AVG({x})', 'mean', 8)}, {rnd(f'STDDEV_SAMP({x})', 'stddev', 8)}" if number else
+             "0 AS numbers, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS stddev") + " FROM listings")
+
+
+@register("profile_from_stored_months", P("\nUNION ALL\n".join(map(_exact_sql, SOURCE_COLUMNS))), bits=8)
+def q_stored_profile(spark, sf_dir):
+    """3.12: the exact part of a profile merged from summaries stored per month, without reading the listings again."""
+    return ps.exact_part(ps.merge_sketches(_stored_profile(ctx(spark, sf_dir)))).drop("least", "greatest")
+
+
+@register("profile_estimates_of_stored_months", bits=8)
+def q_stored_estimates(spark, sf_dir):
+    """3.12: distinct values, quartiles and top values from the same store, within the stated errors (tests hold them to the facts)."""
+    return ps.estimates(ps.merge_sketches(_stored_profile(ctx(spark, sf_dir))))
+
+
+@register("top_values_by_digest", P("SELECT * FROM topv WHERE rank <= 10"))
+def q_top_by_digest(spark, sf_dir):
+    """3.5: the ten most frequent values of every column; only digests and listed texts are shuffled."""
+    return tv.top_values_by_digest(ctx(spark, sf_dir).source, 10)
