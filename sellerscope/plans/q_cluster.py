@@ -301,9 +301,12 @@ def q_pca_clusters(spark, sf_dir):
                                                             "seller_nickname")
 
 
-@register("segment_profile", C("\nUNION ALL\n".join(
+SEGMENT_PROFILE_SQL = C("\nUNION ALL\n".join(
     f"SELECT l.cluster_id, '{f}' AS feature, {rnd(f'AVG(s.{f})', 'mean')}, {rnd(f'quantile_cont(s.{f}, 0.5)', 'median')} "
-    f"FROM seg_labels l JOIN scaled s ON l.seller_nickname = s.seller_nickname GROUP BY l.cluster_id" for f in FEATURES)))
+    f"FROM seg_labels l JOIN scaled s ON l.seller_nickname = s.seller_nickname GROUP BY l.cluster_id" for f in FEATURES))
+
+
+@register("segment_profile", SEGMENT_PROFILE_SQL)
 def q_segment_profile(spark, sf_dir):
     """12.3: mean and exact median of every scaled feature per segment."""
     c = ctx(spark, sf_dir)
@@ -316,6 +319,12 @@ def q_segment_profile(spark, sf_dir):
     return means_long.join(med, ["cluster_id", "feature"])
 
 
+@register("written_cluster_statistics", SEGMENT_PROFILE_SQL)
+def q_written_statistics(spark, sf_dir):
+    """1.5: the statistics of the segments written as CSV and read back."""
+    return _written(ctx(spark, sf_dir), q_segment_profile(spark, sf_dir), "cluster-statistics", "csv")
+
+
 @register("centroids_original_units", C(
     "SELECT m.cluster_id, " + ", ".join(rnd(f"c.{f} * p.{f}__scale + p.{f}__median", f) for f in FEATURES) +
     " FROM cents c JOIN cmap m ON c.cluster_id = m.raw_id CROSS JOIN sp p"))
