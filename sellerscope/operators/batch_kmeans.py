@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 from .features import FEATURES
 
+#: A fit has settled when its centres move by less than this share of the mean variance (sum of squares).
+TOLERANCE = 1e-4
+
 # tasks get this module's functions by value: executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -102,7 +105,7 @@ def _pieces(it):
 
 
 def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *, max_iter: int = 300,
-             tol: float = 1e-4, seed: int = 42, key: str | None = "seller_nickname") -> dict:
+             tol: float = TOLERANCE, seed: int = 42, key: str | None = "seller_nickname") -> dict:
     """Fit every run ``(k, restart)``; returns ``{(k, restart): (centres ndarray, inertia)}``.
 
     Draws depend on the seed, the run, the step and the row's ``key`` only."""

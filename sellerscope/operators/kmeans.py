@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from .batch_kmeans import TOLERANCE
 from .features import FEATURES
 
 MAX_K = 1000
@@ -94,7 +95,7 @@ def _centroid_frame(spark, centres, columns):
 
 
 def fit_kmeans(scaled: DataFrame, k: int, columns=FEATURES, *, n_init: int = 10, max_iter: int = 300,
-               tol: float = 1e-4, seed: int = 42):
+               tol: float = TOLERANCE, seed: int = 42):
     """Fit k-means with ``n_init`` restarts, all advanced together (see
     ``batch_kmeans``), and keep the lowest inertia.  Returns ``(centroids
     DataFrame with ids 0..k-1, inertia)``."""
@@ -107,7 +108,7 @@ def fit_kmeans(scaled: DataFrame, k: int, columns=FEATURES, *, n_init: int = 10,
 
 
 def fit_sweep(scaled: DataFrame, ks, columns=FEATURES, *, n_init: int = 10, max_iter: int = 300,
-              tol: float = 1e-4, seed: int = 42) -> dict:
+              tol: float = TOLERANCE, seed: int = 42) -> dict:
     """Best centroids and inertia for every k >= 2 in ``ks`` from one batched fit:
     ``{k: (centres ndarray, inertia)}``."""
     from .batch_kmeans import best_of, fit_many

@@ -53,6 +53,17 @@ def pca_projection(df: DataFrame, fit: PCAFit, key="seller_nickname") -> DataFra
     return df.select(*([key] if key else []), *outs)
 
 
+def pca_inverse(projected: DataFrame, fit: PCAFit, key="seller_nickname") -> DataFrame:
+    """Features from component coordinates: means plus loadings times coordinates (a projection: no shuffle).
+
+    With fewer components than columns this is the nearest table of that rank; with all of them, the table itself."""
+    outs = []
+    for j, (c, m) in enumerate(zip(fit.columns, fit.means)):
+        back = sum((F.col(f"pc{i + 1}") * F.lit(float(v[j])) for i, v in enumerate(fit.components)), F.lit(float(m)))
+        outs.append(back.alias(c))
+    return projected.select(*([key] if key else []), *outs)
+
+
 def pca_loadings(spark, fit: PCAFit, decimals: int = 3) -> DataFrame:
     rows = [(c, *[round(float(fit.components[i, j]), decimals) for i in range(fit.components.shape[0])])
             for j, c in enumerate(fit.columns)]

@@ -10,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import snap
+
 
 def _lines(df: DataFrame, section: int, order_cols, text) -> DataFrame:
     w = Window.orderBy(*order_cols)  # bounded section tables
     return df.select(F.lit(section).alias("section"), F.row_number().over(w).alias("line_no"), text.alias("line"))
 
 
-def _num(c, fmt="%.6f"):
-    return F.when(F.col(c).isNull(), F.lit("NULL")).otherwise(F.format_string(fmt, F.col(c)))
+def _num(c):
+    """Six decimals, halves away from zero, of the value on the grid of ``snap``; NULL by name."""
+    return F.coalesce(snap(c).cast("decimal(30,6)").cast("string"), F.lit("NULL"))
 
 
 def profile_report(dims: DataFrame, profile: DataFrame, numeric: DataFrame | None, top: DataFrame,

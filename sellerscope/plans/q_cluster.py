@@ -13,10 +13,11 @@ from ..operators.euclidean import euclidean_silhouette
 from ..operators.features import FEATURES
 from ..operators.minibatch import fit_minibatch
 from ..operators.preprocess import inverse_scale
+from ..operators.segments import relabel_centroids
 from ..plans import scoring
 from ..sources import sinks
 from .oracle_sql import rnd, with_ctes
-from .registry import LABEL_CTES, ctx, register
+from .registry import LABEL_CTES, ORACLES, ctx, register
 
 NORM2 = " + ".join(f"a.{f} * a.{f}" for f in FEATURES)
 DOT = " + ".join(f"a.{f} * c.s_{f}" for f in FEATURES)
@@ -166,6 +167,47 @@ def q_elbow(spark, sf_dir):
     return kneedle(_curve(ctx(spark, sf_dir)))
 
 
+BANDS = 14
+_BANDS = [
+    ("span", "SELECT MIN(price) AS lo, MAX(price) AS hi FROM listings"),
+    ("band", f"SELECT k, LEAST(k - 1, COALESCE(FLOOR((price - lo) / NULLIF(hi - lo, 0) * k), 0)) AS b, price FROM listings CROSS JOIN span "
+             f"CROSS JOIN range(1, {BANDS + 1}) r(k) WHERE price IS NOT NULL"),
+    ("crv", "SELECT k, SUM(ss) / (SELECT VAR_POP(price) * COUNT(price) FROM listings) AS ss FROM (SELECT k, b, VAR_POP(price) * COUNT(*) AS ss FROM band GROUP BY k, b) t GROUP BY k"),
+    ("bent", f"SELECT k, 1.0::DOUBLE - (ss - MIN(ss) OVER ()) / NULLIF(MAX(ss) OVER () - MIN(ss) OVER (), 0) - (k - 1) / {BANDS - 1}.0::DOUBLE AS d FROM crv"),
+    ("turn", "SELECT k, d, LEAD(d) OVER (ORDER BY k) AS nd, d >= LAG(d, 1, d) OVER (ORDER BY k) AND d >= LEAD(d, 1, d) OVER (ORDER BY k) AS top, "
+             "d <= LAG(d, 1, d) OVER (ORDER BY k) AND d <= LEAD(d, 1, d) OVER (ORDER BY k) AS low FROM bent"),
+    ("cand", f"SELECT t.k AS knee, t.d - 1 / {BANDS - 1}.0::DOUBLE AS floor_, (SELECT MIN(u.k) FROM turn u WHERE u.k > t.k AND u.top) AS next_top, "
+             "(SELECT MIN(u.k) FROM turn u WHERE u.k >= t.k AND u.low) AS next_low FROM turn t WHERE t.top"),
+    ("drop_", "SELECT c.knee, MIN(u.k) AS hit FROM cand c JOIN turn u ON u.k >= c.knee AND (c.next_top IS NULL OR u.k < c.next_top) "
+              "AND u.nd < CASE WHEN u.k >= c.next_low THEN 0.0 ELSE c.floor_ END GROUP BY c.knee"),
+]
+
+
+def _price_bands(c):
+    """Sum of squares of the prices within k bands of equal width, as a share of that of all prices, for every k in one pass."""
+    span = c.listings.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    k = F.explode(F.sequence(F.lit(1), F.lit(BANDS)))
+    rows = c.listings.where(F.col("price").isNotNull()).select("price", k.alias("k"))
+    at = F.coalesce(F.floor(F.try_divide(F.col("price") - lo, hi - lo) * F.col("k")), F.lit(0))
+    per = rows.groupBy("k", F.least(F.col("k") - 1, at).alias("b")).agg((F.var_pop("price") * F.count(F.lit(1))).alias("ss"))
+    total = c.listings.agg((F.var_pop("price") * F.count("price")).alias("total")).scalar()
+    return per.groupBy("k").agg(F.try_divide(F.sum("ss"), total).alias("inertia"))
+
+
+@register("price_band_curve", with_ctes("SELECT CAST(k AS INTEGER) AS k, " + rnd("ss", "inertia") + " FROM crv", *_BANDS))
+def q_price_band_curve(spark, sf_dir):
+    """10.1: spread of the prices within k bands of equal width, k = 1..14."""
+    return _price_bands(ctx(spark, sf_dir))
+
+
+@register("price_band_elbow", with_ctes(
+    "SELECT CAST(COALESCE((SELECT knee FROM drop_ ORDER BY hit, knee DESC LIMIT 1), 3) AS INTEGER) AS elbow_k, EXISTS (SELECT 1 FROM drop_) AS found", *_BANDS))
+def q_price_band_elbow(spark, sf_dir):
+    """10.4: how many price bands to take, by the elbow of their curve (the rule of ``elbow_k`` on a curve that SQL has too)."""
+    return kneedle(_price_bands(ctx(spark, sf_dir)))
+
+
 def _fit(c):
     if getattr(c, "_fit", None) is None:
         k = kneedle(_curve(c)).collect()[0]["elbow_k"]
@@ -197,6 +239,34 @@ def q_score_fitted(spark, sf_dir):
     return score_frame(c.model.features, params, cents)
 
 
+@register("score_sellers_saved_model", ORACLES["score_sellers"])
+def q_score_saved(spark, sf_dir):
+    """1.8, 12.7: the reference model saved, read back, and raw seller features scored with it: nearest saved centroid."""
+    from ..streaming.scoring import score_frame
+    c = ctx(spark, sf_dir)
+    path = c.path("reference-model")
+    scoring.save_model(path, c.model.params, relabel_centroids(c.ref_centroids, c.ref_mapping()))
+    return score_frame(c.model.features, *scoring.load_model(spark, path)).select("seller_nickname", "cluster_id", "segment_name", "distance2")
+
+
+@register("fit_fixed_point", with_ctes("SELECT COUNT(*) AS sellers, TRUE AS settled, TRUE AS cost_confirmed, TRUE AS beats_reference FROM scaled"))
+def q_fixed_point(spark, sf_dir):
+    """12.1, 12.8: one more Lloyd step from the fitted centroids moves them within the fit's tolerance, the members' distances
+    add up to its cost, and that cost is no larger than the reference centroids'."""
+    c = ctx(spark, sf_dir)
+    _, cents, cost, _ = _fit(c)
+    members = km.assign_with_features(c.model.scaled, cents)
+    total = members.agg(F.count(F.lit(1)).alias("sellers"), F.sum("distance2").alias("cost"))
+    step = km.lloyd_step(c.model.scaled, cents).alias("s").join(cents.alias("c"), "cluster_id")  # one row per cluster
+    moved = step.agg(F.sum(sum((F.pow(F.col(f"s.{f}") - F.col(f"c.{f}"), 2) for f in FEATURES), F.lit(0.0))).alias("moved"))
+    spread = c.model.scaled.agg((sum((F.var_pop(f) for f in FEATURES), F.lit(0.0)) / len(FEATURES)).alias("spread"))
+    other = _points(c).agg(F.sum("distance2").alias("other"))
+    return total.select(
+        "sellers", (moved.scalar() <= F.lit(km.TOLERANCE) * spread.scalar()).alias("settled"),
+        (F.abs(F.col("cost") - F.lit(float(cost))) <= 1e-9 * F.lit(float(cost))).alias("cost_confirmed"),
+        (F.col("cost") <= other.scalar()).alias("beats_reference"))
+
+
 def _written(c, df, name, fmt="parquet"):
     """``df`` written as an output table of the run and read back."""
     path = c.path(name)
@@ -224,7 +294,6 @@ def q_written_labels(spark, sf_dir):
                                          " FROM cents c JOIN cmap m ON c.cluster_id = m.raw_id", *LABEL_CTES))
 def q_written_centroids(spark, sf_dir):
     """1.5: the reference centroids (canonical ids) written as CSV and read back."""
-    from ..operators.segments import relabel_centroids
     c = ctx(spark, sf_dir)
     return _written(c, relabel_centroids(c.ref_centroids, c.ref_mapping()), "centroids", "csv")
 
@@ -262,6 +331,14 @@ def q_quality_minibatch(spark, sf_dir):
     return ev.cluster_quality(scaled, range(2, 11), fits=fit_minibatch(scaled, range(2, 11)))
 
 
+@register("pca_reconstruction", ORACLES["scaled_features"])
+def q_pca_reconstruction(spark, sf_dir):
+    """11.1, 11.2: the scaled features rebuilt from all nine components, their loadings and means."""
+    c = ctx(spark, sf_dir)
+    fit = pca.fit_pca(c.model.scaled, FEATURES, len(FEATURES))
+    return pca.pca_inverse(pca.pca_projection(c.model.scaled, fit), fit)
+
+
 def _pca(c):
     if getattr(c, "_pca", None) is None:
         c._pca = pca.fit_pca(c.model.scaled, FEATURES, 2)
@@ -331,7 +408,6 @@ def q_written_statistics(spark, sf_dir):
 def q_centroids_orig(spark, sf_dir):
     """12.4: reference centroids mapped back to original units (inverse robust scaling)."""
     c = ctx(spark, sf_dir)
-    from ..operators.segments import relabel_centroids
     cents = relabel_centroids(c.ref_centroids, c.ref_mapping())
     return inverse_scale(cents, c.model.params)
 
