@@ -18,13 +18,21 @@ GRAMS = (3, 4)
 BUCKETS = 1 << 14
 THRESHOLD = 0.5
 
-#: The small labelled URL table that the query trains from, our own invention: 1 is to be blocked.
-_BLOCK_WORDS = ("spam", "adult", "bets", "casino", "poker", "pills", "xxx", "loan", "porn", "viagra", "jackpot", "escort")
-_BLOCK_TAILS = ("farm", "x", "free", "zone", "club", "online")
+#: The small labelled URL table that the query trains from: 1 is to be blocked.  The words are the usual names of the kinds of site that
+#: public block lists divide into (gambling, adult, drugs, loans, adverts, malware, piracy), against everyday subjects of all kinds;
+#: none is taken from a corpus.  Both labels share tails, prefixes, domains and paths, so that only the words tell them apart.
+_BLOCK_WORDS = ("casino", "poker", "betting", "slots", "jackpot", "roulette", "lottery", "blackjack", "bingo", "wager",
+                "porn", "xxx", "adult", "escort", "webcam", "nude", "erotic", "hookup",
+                "pills", "viagra", "cialis", "steroids", "pharmacy", "weightloss", "loans", "payday", "forex", "creditfix",
+                "spam", "adserver", "tracker", "clicks", "popup", "malware", "phishing", "ransom", "warez", "torrent", "keygen", "cracked")
 _PLAIN_WORDS = ("garden", "library", "weather", "school", "recipes", "history", "museum", "travel", "science", "news",
-                "then", "there", "action", "station", "nation", "month", "length", "thunder", "nth", "tenth", "thin",
-                "ninth", "theory", "hundredth", "anthem", "north", "ounce", "ashes")
-_PLAIN_TAILS = ("guide", "daily", "notes", "world", "page", "home")
+                "physics", "chemistry", "biology", "geography", "language", "dictionary", "poetry", "novels", "theatre", "cinema",
+                "music", "orchestra", "painting", "photography", "architecture", "engineering", "software", "hardware", "database", "network",
+                "hospital", "medicine", "nursing", "family", "children", "kitchen", "bakery", "coffee", "vegetables", "farming",
+                "forest", "mountain", "river", "ocean", "island", "animals", "birds", "horses", "football", "tennis",
+                "cycling", "swimming", "railway", "airport", "traffic", "council", "government", "parliament", "justice", "economy",
+                "industry", "insurance", "furniture", "clothing", "knitting", "woodwork", "astronomy", "climate", "energy", "transport")
+_TAILS = ("", "online", "site", "hub", "info", "place", "today", "world")
 _PREFIXES = ("", "www.", "m.", "blog.")
 _PATHS = ("/en/12", "/de/310/", "/fr/7.html", "/es/4501")
 
@@ -32,13 +40,12 @@ _PATHS = ("/en/12", "/de/310/", "/fr/7.html", "/es/4501")
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label): a table of some hundred rows made of the word lists above; a parameter of the operator."""
     rows = []
-    for label, words, tails in ((1, _BLOCK_WORDS, _BLOCK_TAILS), (0, _PLAIN_WORDS, _PLAIN_TAILS)):
+    for label, words in ((1, _BLOCK_WORDS), (0, _PLAIN_WORDS)):
         for i, w in enumerate(words):
-            for j, t in enumerate(tails):
-                name = (f"{w}-{t}", f"{t}-{w}", f"{w}{t}", w)[(i + j) % 4]
-                for k in range(4):
-                    tld = ("com", "net", "org")[(i + j + k) % 3]
-                    rows.append((f"http://{_PREFIXES[(i + k) % 4]}{name}.example.{tld}{_PATHS[(j + k) % 4]}", float(label)))
+            for j, t in enumerate(_TAILS):
+                name = w if not t else (f"{w}-{t}", f"{t}-{w}", f"{w}{t}")[(i + j) % 3]
+                tld = ("com", "net", "org")[(i + j) % 3]
+                rows.append((f"http://{_PREFIXES[(i + j) % 4]}{name}.example.{tld}{_PATHS[(i // 4 + j) % 4]}", float(label)))
     return spark.createDataFrame(rows, "url string, label double")
 
 

@@ -43,12 +43,24 @@ def test_hosts_paths_and_rules(spark):
     assert urls.filter_urls(df.limit(0), urls.labelled_urls(spark)).count() == 0
 
 
+UNSEEN = [("http://best-casinos24.example.com/en/9", 1), ("https://www.gamblers-betted.example.org/de/3", 1), ("http://m.pornstars.example.com/es/8", 1),
+          ("http://slotmachines.example.com/en/1", 1), ("http://pillbox-pharma.example.com/en/4", 1), ("http://lotteries-won.example.net/en/4", 1),
+          ("http://www.gardener-tips.example.com/en/9", 0), ("http://blog.historian.example.org/de/3", 0), ("http://scientist-desk.example.com/es/8", 0),
+          ("http://librarian.example.com/en/2", 0), ("http://photographer.example.com/fr/2", 0), ("http://mountaineer.example.com/fr/2", 0), ("http://qwv-zzjk.example.com/en/7", 0)]
+
+
 def test_model_tells_unseen_hosts_apart(spark):
-    rows = [("http://best-casino-now.example.com/en/9", 1), ("https://www.spam-farm.example.org/de/3", 1), ("http://m.adult-x.example.com/es/8", 1), ("http://free-bets.example.com/en/1", 1),
-            ("http://www.history-notes.example.com/en/9", 0), ("http://blog.weather-daily.example.org/de/3", 0), ("http://museum-guide.example.com/es/8", 0), ("http://m.thnth.example.com/en/2", 0)]
-    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in urls.filter_urls(df, urls.labelled_urls(spark)).collect()}
-    assert [got[i] == "block" for i in range(len(rows))] == [bool(y) for _, y in rows]
+    """No word of these hosts is in the labelled table; they share grams with its words, the last one none."""
+    listed = set(urls._BLOCK_WORDS + urls._PLAIN_WORDS)
+    assert not any(w in listed for u, _ in UNSEEN for w in re.split(r"[-./:]+", u))
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(UNSEEN)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(df, urls.labelled_urls(spark), rules=()).collect()}
+    assert [got[i] == "block" for i in range(len(UNSEEN))] == [bool(y) for _, y in UNSEEN]
+
+
+def test_labelled_table(spark):
+    rows = urls.labelled_urls(spark).collect()
+    assert len(rows) == len({r.url for r in rows}) == 880 and {r.label for r in rows} == {0.0, 1.0}
 
 
 def test_grams_are_all_character_ngrams(spark):
