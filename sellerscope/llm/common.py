@@ -84,6 +84,15 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> Da
             .unionByName(plain.select(*rows.columns, "_rest.*")))
 
 
+def arrow_kind(kind: str):
+    """Arrow type of an id column of Spark's simple type ``kind``: whole numbers and text."""
+    import pyarrow as pa
+    kinds = {"string": pa.string(), "tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
+    if kind not in kinds:
+        raise ValueError(f"ids of type {kind}: whole numbers or text are wanted")
+    return kinds[kind]
+
+
 def size_of(text="text"):
     """Number of [^\\x20\\x09-\\x0D]+ words of a text column (null: 0), native."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

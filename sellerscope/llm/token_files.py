@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import open_fs, shared_path, ship, worker_state, written
+from .common import arrow_kind, open_fs, shared_path, ship, worker_state, written
 
 ship(__name__)
 
@@ -35,11 +35,18 @@ MANIFEST = "part int, seq int, path string, bytes long, n_docs long, n_tokens lo
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembered by word.
 
-    The tokenizer drops white space and never joins words across it, so a text's ids are those of its words.
-    Words of ASCII and Latin-1 letters are cut into the pieces of its pattern and go to its BPE model; all others,
-    and texts that spell a special token, go through its full encoder.
+    Where the file's normalizer, pre-tokenizer and special tokens are those of CUTS, it drops white space and never joins
+    words across it, so a text's ids are those of its words.  Words of ASCII and Latin-1 letters are then cut into
+    the pieces of its pattern and go to its BPE model; all others, and texts that spell a special token, go through
+    its full encoder.  Any other tokenizer encodes whole texts by its full encoder.
     """
 
+    #: Fixed values, as the tokenizer file has them: what the cuts below rest on.
+    CUTS = {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+            "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+
     SIMPLE = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
     PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
@@ -47,6 +54,10 @@ class Encoder:
         from tokenizers import Tokenizer
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
+        spec = json.loads(self.full.to_str())
+        self.by_word = (all(spec[k] == v for k, v in self.CUTS.items()) and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+                        and spec["truncation"] is None and spec["padding"] is None
+                        and all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"]))
         self.words, self.old, self.pieces = {}, {}, {}
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # the byte-level alphabet's rule
         rest = [b for b in range(256) if b not in set(own)]
@@ -74,7 +85,7 @@ class Encoder:
         return ids
 
     def text(self, t: bytes) -> bytes:
-        if b"<|" in t:
+        if not self.by_word or b"<|" in t:
             return np.array(self.full.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         words = t.lower().split()
         ids = list(map(self.words.get, words))
@@ -189,7 +200,7 @@ def read_token_files(manifest: DataFrame, kind: str = "bigint", with_ids: bool =
 
         def batch(rows):
             cols = list(zip(*rows))
-            kinds = [pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [arrow_kind(kind), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

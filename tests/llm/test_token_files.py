@@ -82,3 +82,33 @@ def test_single_documents_are_read_and_damage_is_seen(spark, monkeypatch, full):
     import zstandard
     plain = open(common.open_fs(files[0].path)[1], "rb").read()  # an ordinary decoder reads the frames and skips the rest
     assert len(zstandard.ZstdDecompressor().stream_reader(plain, read_across_frames=True).read()) == 4 * files[0].n_tokens
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "string"])
+def test_ids_of_other_types(spark, kind):
+    df = spark.createDataFrame([(i, words(5, i)) for i in range(7)] + [(None, "x")], "doc_id long, text string")
+    got = tf.tokenize(df.withColumn("doc_id", F.col("doc_id").cast(kind)), PATH)
+    assert got.schema["doc_id"].dataType.simpleString() == kind
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted([str(i) for i in range(7)] + ["None"])
+    with pytest.raises(Exception, match="whole numbers or text"):
+        tf.tokenize(df.withColumn("doc_id", F.col("doc_id").cast("double")), PATH).collect()
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A tokenizer that joins words, one with other rules and one with another special token: ids equal the library's."""
+    import json
+    from tokenizers import Tokenizer
+    assert tf.Encoder(PATH).by_word
+    spec = json.load(open(PATH))
+    cased = spec | {"normalizer": {"type": "NFC"}}
+    joined = spec | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}
+    special = spec | {"added_tokens": spec["added_tokens"] + [{**spec["added_tokens"][0], "id": 49408, "content": "hello"}]}
+    paths = [public_tokenizers.path("byte_bpe_50k.json")]
+    for name, x in (("cased", cased), ("joined", joined), ("special", special)):
+        paths.append(str(tmp_path / f"{name}.json"))
+        json.dump(x, open(paths[-1], "w"))
+    for path in paths:
+        e, library = tf.Encoder(path), Tokenizer.from_file(path)
+        assert not e.by_word
+        for t in TEXTS + ["Say hello to HELLO and  hello!"]:
+            assert [i for (i,) in struct.iter_unpack("<I", e.text(t.encode()))] == library.encode(t, add_special_tokens=False).ids, (path, t)
