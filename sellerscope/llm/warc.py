@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import open_fs, shared_path, ship, written
+from .common import arrow_kind, lookup, open_fs, shared_path, ship, written
 
 ship(__name__)
 
@@ -72,14 +72,14 @@ def parse(raw: bytes) -> dict:
 def revisits(pages: DataFrame, page_id: str, html: str, least: int = REVISIT_BYTES) -> DataFrame:
     """(page_id, sha1, refers_to) of the pages whose payload a page of larger id has too.
 
-    Works on ids and digests only; the pages of one payload meet in a partial aggregate, and the join back is on
-    the few digests that repeat.
+    Works on ids and digests only; the pages of one payload meet in a partial aggregate, and each page looks its
+    digest up among those that repeat: rows of a hot payload stay where they are.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     small = pages.select(F.col(page_id).alias("_page"), F.sha1(body).alias("_sha1"), F.octet_length(body).alias("_bytes"))
     small = written(small.filter(F.col("_bytes") >= least).select("_page", "_sha1"), "digests")
-    heads = small.groupBy("_sha1").agg(F.max("_page").alias("refers_to"), F.count(F.lit(1)).alias("_k")).filter("_k > 1").drop("_k")
-    found = small.join(heads, "_sha1").filter(F.coalesce(F.col("_page") < F.col("refers_to"), F.col("refers_to").isNotNull()))
+    heads = small.groupBy("_sha1").agg(F.max("_page").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = lookup(small, written(heads, "heads"), "_sha1", "inner").filter(F.coalesce(F.col("_page") < F.col("refers_to"), F.col("refers_to").isNotNull()))
     return found.select("_page", "_sha1", "refers_to").distinct()
 
 
@@ -140,7 +140,7 @@ def read_records(index: DataFrame, kind: str = "bigint", with_payload: bool = Fa
 
     def run(batches):
         import pyarrow as pa
-        own = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+        own = arrow_kind(kind)
         cast = str if kind == "string" else int
         kinds = [own, pa.string(), pa.int64(), pa.string(), pa.string(), own, pa.binary()]
         for b in batches:

@@ -45,3 +45,19 @@ def test_record_round_trip():
     assert x["payload"] == b"\r\n\r\nbody" and x["warc-type"] == "response" and x["x-page-id"] == "5"
     y = warc.parse(warc.record(4, None, b"body", warc.base32_sha1(b"body"), 9))
     assert (y["payload"], y["payload_bytes"], y["x-refers-to-page-id"]) == (b"", 4, "9")
+
+
+def test_pages_of_a_hot_payload_stay_where_they_are(spark):
+    """Broadcasts of the session off: only the hot digests are broadcast, so the empty payload's rows are not dealt out by it."""
+    rows = [(i, "u", "") for i in range(900)] + [(900 + i, "u", f"p{i // 2}") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)
+    got = warc.archive(df)
+    assert got.schema["page_id"].dataType.simpleString() == got.schema["refers_to"].dataType.simpleString() == "int"
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = warc.revisits(df, "page_id", "html")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan
