@@ -15,8 +15,11 @@ pass over the data:
   so one cluster holding a third of all points never lands in one task.
 * a final pass computes every run's inertia with its final centres.
 
-Data stays partitioned by Spark; numpy runs inside ``mapInPandas`` tasks.  The
-driver holds only centres (sum of k over runs, times p floats) per step.
+Data stays partitioned by Spark; numpy runs inside Arrow tasks.  The points are
+persisted as blocks of ``ROWS`` (ids and a matrix as bytes), so a pass hands them
+to numpy as they are, and a pass is two matrix products per ``CHUNK`` points for
+all runs: distances to all centres, and sums by the one-hot marks of the nearest.
+The driver holds only centres (sum of k over runs, times p floats) per step.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,30 +40,47 @@ TOLERANCE = 1e-4
 # tasks get this module's functions by value: executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROWS = 2048  # points per matrix product
+ROWS = 2048  # points per stored block
+CHUNK = 256  # points per matrix product: distances to a thousand centres stay in the processor's cache
+#: Points that one task may hold (80 MB of nine columns); fewer where that gives every core a task.
+MOST = 1_000_000
 
 
 def _points(scaled: DataFrame, cols, key: str | None):
-    """``(points, mean, rows, variances)``: the centred point matrix with a row id, persisted for the many passes.
+    """``(blocks, mean, rows, variances)``: the centred point matrix with row ids, in blocks persisted for the many passes.
 
     A NULL is an error (impute first).  Centring keeps squared distances exact
     for data far from the origin.  The id is a hash of ``key``, so random draws
     belong to the row, not to its batch, partition or cluster; without a key
     column rows are numbered by position.  Every pass is one task per
-    partition, so partitions beyond the cores are coalesced (no shuffle)."""
+    partition: as many as cores, more where a partition would have over ``MOST``
+    rows.  Larger numbers are coalesced (no shuffle), smaller ones dealt out once."""
     x = [F.col(c).cast("double") for c in cols]
     stats = scaled.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(v.isNull()).alias(f"e{i}") for i, v in enumerate(x)],
                        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.var_pop(v).alias(f"v{i}") for i, v in enumerate(x)]).first()
     empty = [c for i, c in enumerate(cols) if stats[f"e{i}"]]
     if empty:
         raise ValueError(f"NULL in {empty}: impute before clustering")
-    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(len(cols))])
+    n, p = int(stats["n"]), len(cols)
+    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(p)])
     row = F.xxhash64(key) if key and key in scaled.columns else F.xxhash64(F.monotonically_increasing_id())
     data = scaled.select(row.alias("id"), *[(v - F.lit(float(m))).alias(f"x{i}") for i, (v, m) in enumerate(zip(x, mean))])
-    cores = scaled.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() > cores:
-        data = data.coalesce(cores)
-    return data.persist(StorageLevel.MEMORY_AND_DISK), mean, int(stats["n"]), [stats[f"v{i}"] or 0.0 for i in range(len(cols))]
+    tasks = max(scaled.sparkSession.sparkContext.defaultParallelism, -(-n // MOST))
+    have = data.rdd.getNumPartitions()
+    if have > tasks:
+        data = data.coalesce(tasks)
+    elif have < tasks and n > ROWS:
+        data = data.repartition(tasks)
+
+    def stored(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            m = np.column_stack([b.column(i + 1).to_numpy() for i in range(p)])
+            at = range(0, len(ids), ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[lo:lo + ROWS].tobytes() for lo in at], pa.binary()),
+                                              pa.array([m[lo:lo + ROWS].tobytes() for lo in at], pa.binary())], ["ids", "points"])
+    blocks = data.mapInArrow(stored, "ids binary, points binary").persist(StorageLevel.MEMORY_AND_DISK)
+    return blocks, mean, n, [stats[f"v{i}"] or 0.0 for i in range(p)]
 
 
 def _uniform(ids: np.ndarray, seed: int, run: int, step: int) -> np.ndarray:
@@ -96,6 +116,48 @@ def _sums(lab: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return (lab[None, :] == np.arange(k)[:, None]).astype(float) @ x
 
 
+def _blocks(it, p: int):
+    """(ids, points) of the stored blocks of a task."""
+    for b in it:
+        for ids, points in zip(b.column(0), b.column(1)):
+            yield np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(points.as_buffer(), float).reshape(-1, p)
+
+
+def _lloyd_sums(blocks, stack: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per stacked centre of all runs: sums of its points, their number, their squared distances.
+
+    Each point counts for the nearest centre of every run, the first of equally near ones; run j has the rows
+    ``at[j]:at[j + 1]`` of ``stack``.  Runs of one size that lie side by side are compared together."""
+    total, p = np.zeros((len(stack), stack.shape[1] + 2)), stack.shape[1]
+    product = np.hstack([-2.0 * stack, (stack * stack).sum(1)[:, None]])
+    sizes = np.diff(at)
+    ends = [j for j in range(1, len(sizes) + 1) if j == len(sizes) or sizes[j] != sizes[j - 1]]
+    groups = [(int(at[i]), int(at[j]), j - i, int(sizes[i])) for i, j in zip([0] + ends, ends)]
+    for _, points in blocks:
+        for lo in range(0, len(points), CHUNK):
+            x = points[lo:lo + CHUNK]
+            one = np.hstack([x, np.ones((len(x), 1))])
+            d = product @ one.T
+            d += (x * x).sum(1)
+            np.maximum(d, 0.0, out=d)
+            mark = np.empty_like(d)
+            for a, e, runs, k in groups:
+                own, out = d[a:e].reshape(runs, k, -1), mark[a:e].reshape(runs, k, -1)
+                np.equal(own, own.min(1)[:, None, :], out=out, casting="unsafe")
+                if out.sum() > runs * len(x):  # equally near centres: the first takes the point
+                    out *= np.cumsum(out, axis=1) == 1
+            total[:, :p + 1] += mark @ one
+            total[:, p + 1] += np.einsum("kr,kr->k", mark, d)
+    return total
+
+
+def _table(rows, names, whole: int) -> pa.RecordBatch:
+    """Rows as an Arrow batch: the first ``whole`` columns whole numbers (int; long for ``n``), the others doubles."""
+    kinds = [pa.int64() if c == "n" else pa.int32() if i < whole else pa.float64() for i, c in enumerate(names)]
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(np.array(c, kind.to_pandas_dtype()), kind) for c, kind in zip(columns, kinds)], names)
+
+
 def _pieces(it):
     """(ids, points) of at most ROWS rows from the batches of a task."""
     for pdf in it:
@@ -129,10 +191,10 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
             def pick(it, stack=_stacked({r: centres[r] for r in active}), step=step):
                 best = {}
                 names, c, at = stack
-                for ids, x in _pieces(it):
-                    d = _distances(x, c) if len(c) else None
+                for ids, x in _blocks(it, p):
+                    d = np.ascontiguousarray(_distances(x, c).T) if len(c) else None
                     for j, r in enumerate(names):
-                        d2 = d[:, at[j]:at[j + 1]].min(1) if at[j + 1] > at[j] else np.ones(len(x))
+                        d2 = d[at[j]:at[j + 1]].min(0) if at[j + 1] > at[j] else np.ones(len(x))
                         u = _uniform(ids, seed, r, step)
                         with np.errstate(divide="ignore"):
                             draw = np.where(d2 > 0, np.log(u) / d2, -np.inf)
@@ -140,9 +202,9 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
                         if np.isfinite(draw[i]) and (r not in best or draw[i] > best[r][0]):
                             best[r] = (float(draw[i]), x[i])
                 rows = [(r, k_, *v.tolist()) for r, (k_, v) in best.items()]
-                yield pd.DataFrame(rows, columns=["run", "key"] + [f"x{i}" for i in range(p)])
+                yield _table(rows, ["run", "key"] + [f"x{i}" for i in range(p)], 1)
 
-            cands = data.mapInPandas(pick, cand_schema).groupBy("run").agg(
+            cands = data.mapInArrow(pick, cand_schema).groupBy("run").agg(
                 F.max_by(F.struct(*[f"x{i}" for i in range(p)]), F.struct("key", *[f"x{i}" for i in range(p)])).alias("c")).collect()
             got = {row["run"]: np.array([row["c"][f"x{i}"] for i in range(p)]) for row in cands}
             for r in active:
@@ -157,24 +219,14 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
         def partial_fn(stack):
             def f(it):
                 names, c, at = stack
-                acc = {}
-                for _, x in _pieces(it):
-                    d = _distances(x, c)
-                    rows = np.arange(len(x))
-                    for j, r in enumerate(names):
-                        own = d[:, at[j]:at[j + 1]]
-                        lab, k = own.argmin(1), own.shape[1]
-                        part = (np.bincount(lab, minlength=k), np.bincount(lab, weights=own[rows, lab], minlength=k), _sums(lab, x, k))
-                        acc[r] = part if r not in acc else tuple(u + v for u, v in zip(acc[r], part))
-                rows = []
-                for r, (cnt, sse, sums) in acc.items():
-                    for j in range(cnt.shape[0]):
-                        rows.append((r, j, int(cnt[j]), float(sse[j]), *sums[j].tolist()))
-                yield pd.DataFrame(rows, columns=["run", "cluster", "n", "sse"] + [f"s{i}" for i in range(p)])
+                total = _lloyd_sums(_blocks(it, p), c, at)
+                rows = [(r, i - at[j], int(total[i, p]), total[i, p + 1], *total[i, :p])
+                        for j, r in enumerate(names) for i in range(at[j], at[j + 1])]
+                yield _table(rows, ["run", "cluster", "n", "sse"] + [f"s{i}" for i in range(p)], 3)
             return f
 
         def run_pass(snap_c):
-            agg = (data.mapInPandas(partial_fn(_stacked(snap_c)), part_schema)
+            agg = (data.mapInArrow(partial_fn(_stacked(snap_c)), part_schema)
                        .groupBy("run", "cluster")
                        .agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)])
                        .collect())
@@ -229,7 +281,7 @@ def quality_many(scaled: DataFrame, centres_by_k: dict, columns=FEATURES) -> lis
 
         def pass1(it):
             acc = {}
-            for _, x in _pieces(it):
+            for _, x in _blocks(it, p):
                 nx = (x * x).sum(1)
                 for k in ks:
                     c = centres_by_k[k]
@@ -240,9 +292,9 @@ def quality_many(scaled: DataFrame, centres_by_k: dict, columns=FEATURES) -> lis
                     acc[k] = part if k not in acc else tuple(a + b for a, b in zip(acc[k], part))
             rows = [(k, j, int(a[0][j]), float(a[1][j]), float(a[2][j]), *a[3][j].tolist())
                     for k, a in acc.items() for j in range(a[0].shape[0])]
-            yield pd.DataFrame(rows, columns=["k", "cluster", "n", "q", "sse"] + [f"s{i}" for i in range(p)])
+            yield _table(rows, ["k", "cluster", "n", "q", "sse"] + [f"s{i}" for i in range(p)], 3)
 
-        st = (data.mapInPandas(pass1, schema1).groupBy("k", "cluster")
+        st = (data.mapInArrow(pass1, schema1).groupBy("k", "cluster")
                   .agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("sse").alias("sse"),
                        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)]).collect())
         stats = {}
@@ -259,7 +311,7 @@ def quality_many(scaled: DataFrame, centres_by_k: dict, columns=FEATURES) -> lis
 
         def pass2(it):
             acc = {}
-            for _, x in _pieces(it):
+            for _, x in _blocks(it, p):
                 nx = (x * x).sum(1)
                 for k in ks:
                     n, q, sv = summ[k]
@@ -282,9 +334,9 @@ def quality_many(scaled: DataFrame, centres_by_k: dict, columns=FEATURES) -> lis
                             np.bincount(lab, weights=d2, minlength=m))
                     acc[k] = part if k not in acc else tuple(u + v for u, v in zip(acc[k], part))
             rows = [(k, j, float(a[0][j]), float(a[1][j]), float(a[2][j])) for k, a in acc.items() for j in range(a[0].shape[0])]
-            yield pd.DataFrame(rows, columns=["k", "cluster", "sil", "dist", "ssw"])
+            yield _table(rows, ["k", "cluster", "sil", "dist", "ssw"], 2)
 
-        st2 = (data.mapInPandas(pass2, schema2).groupBy("k", "cluster")
+        st2 = (data.mapInArrow(pass2, schema2).groupBy("k", "cluster")
                    .agg(F.sum("sil").alias("sil"), F.sum("dist").alias("dist"), F.sum("ssw").alias("ssw")).collect())
         agg2 = {}
         for r in st2:

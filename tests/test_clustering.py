@@ -134,3 +134,31 @@ def test_batched_quality_matches_single_scores(spark):
     assert math.isclose(db, ev.davies_bouldin(pts, COLS).collect()[0]["davies_bouldin"], rel_tol=1e-9)
     assert math.isclose(ch, ev.calinski_harabasz(pts, COLS).collect()[0]["calinski_harabasz"], rel_tol=1e-9)
     assert math.isclose(inertia, cost, rel_tol=1e-9)
+
+
+def test_lloyd_sums_of_all_runs_equal_brute_force_also_on_ties():
+    from sellerscope.operators import batch_kmeans as bk
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(700, 3)), 1)
+    runs = [x[:2], x[5:8], x[20:23], np.vstack([x[:1], x[:1], x[30:32]])]  # two runs of one size side by side; a centre met twice
+    runs[0] = np.array([[0.0, 0, 0], [2.0, 0, 0]])
+    x[:40, 0] = 1.0                                                       # equally near both centres of the first run
+    at = np.cumsum([0] + [len(r) for r in runs])
+    got = bk._lloyd_sums([(None, x[:300]), (None, x[300:])], np.vstack(runs), at)
+    for j, c in enumerate(runs):
+        d = ((x[:, None, :] - c[None, :, :]) ** 2).sum(2)
+        near = d.argmin(1)
+        for i in range(len(c)):
+            own = near == i
+            want = [*x[own].sum(0), own.sum(), d[own, i].sum()]
+            assert np.allclose(got[at[j] + i], want, atol=1e-9), (j, i)
+
+
+def test_points_are_dealt_to_every_core(spark):
+    from sellerscope.operators import batch_kmeans as bk
+    df = spark.range(5000).select(F.col("id").alias("k"), F.col("id").cast("double").alias("a")).coalesce(1)
+    blocks, _, n, _ = bk._points(df, ["a"], "k")
+    try:  # one partition before: every pass ran on one core
+        assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and n == 5000
+    finally:
+        blocks.unpersist()
