@@ -252,13 +252,13 @@ def q_grid(spark, sf_dir):
 @register("correlation_matrix", P("SELECT * FROM corrm"), keep=('corr',))
 def q_corr(spark, sf_dir):
     """3.13: pairwise-complete Pearson correlation of numeric columns, 2 decimals."""
-    return corr.correlation_matrix(ctx(spark, sf_dir).source)
+    return corr.correlation_matrix(ctx(spark, sf_dir).facts.select(*SOURCE_COLUMNS))
 
 
 @register("correlation_lower", P("SELECT * FROM corrm WHERE x_position > y_position"), keep=('corr',))
 def q_corr_lower(spark, sf_dir):
     """3.18: strict lower triangle of the correlation matrix."""
-    return corr.correlation_lower(corr.correlation_matrix(ctx(spark, sf_dir).source))
+    return corr.correlation_lower(corr.correlation_matrix(ctx(spark, sf_dir).facts.select(*SOURCE_COLUMNS)))
 
 
 def _stored_profile(c):
