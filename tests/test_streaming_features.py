@@ -85,3 +85,36 @@ def test_registered_query_reads_state(spark):
     from sellerscope.plans.registry import QUERIES
     df = QUERIES["streamed_seller_features"](spark, "/root/testdata/sf0.001")
     assert df.where(F.col("num_publicaciones") > 0).count() == df.count() > 0
+
+
+def test_state_in_rocksdb_and_the_callers_session_unchanged(spark, folders):
+    src, path, checkpoint = folders
+    rows = [row(i, i % 9) for i in range(20)]
+    feed(spark, rows, src, "a")
+    feed(spark, rows[3:9], src, "b")                          # sent again
+    before, own = spark.conf.getAll, sf.state_session(spark)
+    assert spark.conf.getAll == before and all(own.conf.get(k) == v for k, v in sf.STATE_CONF.items())
+    assert own.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+    q = run(own, src, path, checkpoint)
+    assert any("rocksdb" in k for k in q.lastProgress["stateOperators"][0]["customMetrics"])
+    assert rows_of(sf.read_features(spark, path)) == rows_of(seller_features(spark.createDataFrame(rows, COLUMNS)))
+
+
+def test_ids_that_differ_in_where_they_are_null_are_two_listings(spark, folders):
+    src, path, checkpoint = folders
+    one, two = row(1, 1, seller="s", category="x"), row(1, 1, seller="s", category="x")
+    rows = [(None, *one[1:2], "x", *one[3:]), ("x", *two[1:2], None, *two[3:])]
+    feed(spark, rows, src, "a")
+    stream = spark.readStream.schema(COLUMNS).parquet(f"{src}/*")
+    sf.start_feature_stream(stream, path, checkpoint, available_now=True, listing_id=("url", "category_id")).awaitTermination()
+    assert sf.read_features(spark, path).first()["num_publicaciones"] == 2
+
+
+def test_compaction_merges_once_and_reads_plainly(spark, folders):
+    _, path, _ = folders
+    for i, n in enumerate((4, 9, 12)):
+        sf.commit_batch(sf.feature_state(spark.createDataFrame([row(j, j) for j in range(n)], COLUMNS), period="10 days"), i, path)
+    want = rows_of(seller_features(spark.createDataFrame([row(j, j) for j in range(12)], COLUMNS)))
+    assert sf.compact(spark, path) == 2 and sf.compact(spark, path) == 2
+    plan = sf.latest_state(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and rows_of(sf.read_features(spark, path)) == want  # compacted rows were grouped again before
