@@ -92,8 +92,10 @@ def counted(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = DIGEST_BITS):
     often = plain.groupBy("lang", "digest").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).filter(F.col("df") >= min_docs)
     often = written(often.select("lang", "digest", "n"), "often")  # a superset of the kept terms where a digest is shared
     wanted = small(written(often.select("digest").distinct(), "wanted"))
-    read = terms.select("digest", "term").join(wanted, "digest", "left_semi")
-    names = written(read.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("_last")), "names")
+    read = terms.select("digest", "term", "n").join(wanted, "digest", "left_semi")
+    # counted by hash before the least and greatest strings, which Spark finds by sorting (a mere distinct would be optimised away)
+    read = read.groupBy("digest", "term").agg(F.sum("n").alias("n"))
+    names = written(read.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("_last"), F.sum("n").alias("n")), "names").drop("n")
     shared = names.filter("term != _last").select("digest")
     names = names.filter("term = _last").select("digest", F.lit(0).alias("twin"), "term")
     if shared.isEmpty():

@@ -83,3 +83,18 @@ def test_odd_and_empty_tables(odd, empty, monkeypatch):
     whole = [t for part in dv.term_lists(text) for t in part]
     monkeypatch.setattr(dv, "STEP", 5)
     assert [t for part in dv.term_lists(text) for t in part] == whole
+
+
+def test_least_and_greatest_strings_are_taken_of_distinct_terms(spark, monkeypatch):
+    """Sorting for the least string of a digest comes after the terms are made distinct by hash, not over all counts."""
+    from sellerscope.llm import divergence as dv
+    plans, plain = {}, dv.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name)
+    monkeypatch.setattr(dv, "written", seen)
+    docs = spark.createDataFrame([("en", "a", "one two one")] * 12 + [("en", "b", "two three")] * 11, "lang string, source string, text string")
+    kept, _, names = dv.counted(docs)
+    assert sorted(r.term for r in names.collect()) == ["one", "three", "two"] and kept.count() == 3
+    assert re.search(r"Aggregate \[(digest|term)#\w+, (digest|term)#\w+\]", plans["names"])  # none before
