@@ -31,6 +31,8 @@ STAR = 500
 FEW = 8
 #: Most classes and about most shingles of a block; a task compares two blocks.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+#: Bits of the table that marks wanted ids: 4 MB at any size of the input.
+MARKS = 1 << 25
 
 
 def shingle_sets(column, shingle: int = SHINGLE) -> list:
@@ -112,6 +114,21 @@ def signatures(docs: DataFrame, doc_id: str, text: str, percent: int = PERCENT,
     return written(rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node binary, bands array<long>"), "signatures")
 
 
+def likely(rows: DataFrame, key: str, wanted: DataFrame, by: str, marks: int = MARKS) -> DataFrame:
+    """The rows whose ``key`` is in ``wanted`` (``by``), null too, and a few others, where they stand: only they have to be dealt out.
+
+    Hashes of wanted keys set bits of a table of fixed size, which is broadcast.  Keys that share a bit pass as well, so
+    the exact join has to follow.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(marks))
+    table = wanted.select(F.bitmap_bucket_number(spot(by)).alias("_bucket"), F.bitmap_bit_position(spot(by)).alias("_bit"))
+    table = table.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    place = F.bitmap_bit_position(spot(key))
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = (F.bitmap_bucket_number(spot(key)) == F.col("_bucket")) & (F.getbit(byte, (place % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(table), met, "left_semi")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """node, hashes (its full set) for the classes in ``wanted`` (node, rep): from one document of each, written once.
 
@@ -127,7 +144,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle:
                 last = n if ok[-1] else last
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())),
                                               pa.array([s.tobytes() for s, x in zip(sets, ok) if x], pa.binary())], ["node", "hashes"])
-    j = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(wanted, F.col("_id").eqNullSafe(F.col("rep")))
+    rows = likely(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), "_id", wanted, "rep")
+    j = rows.join(wanted, F.col("_id").eqNullSafe(F.col("rep")))
     return written(j.select("node", "text").mapInArrow(run, "node binary, hashes binary"), "sets")
 
 
@@ -308,7 +326,7 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     rows = classes.select("node", F.col("n"), F.explode("bands").alias("band"))
     many = rows.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band")
     rows = written(rows.join(many, "band"), "bands")
-    wanted = rows.select("node").distinct().join(classes.select("node", "rep"), "node")
+    wanted = written(rows.select("node").distinct().join(classes.select("node", "rep"), "node"), "wanted")
     sets = sets_of(docs, wanted, doc_id, text, shingle)
     labels, links, tried = None, None, None
     for r in range(ROUNDS):

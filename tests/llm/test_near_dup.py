@@ -211,3 +211,25 @@ def test_large_groups_of_copies_stay_where_they_are(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_only_rows_that_may_be_wanted_are_dealt_out(spark, kind):
+    """All rows of wanted ids pass, null and repeated ones too, and of 3,000 others hardly any; with few bits more pass, never fewer."""
+    rows = [(i if kind == "long" else f"d{i}", str(i)) for i in range(3000)]
+    rows += [(None, "a"), (None, "b"), rows[5], rows[30]]
+    want = [rows[i][0] for i in (0, 5, 30, 31, 2999)] + [None]
+    docs = spark.createDataFrame(rows, f"_id {kind}, text string").repartition(4)
+    wanted = spark.createDataFrame([(w,) for w in want], f"rep {kind}")
+    own = sorted((r for r in rows if r[0] in want), key=str)
+    got = [tuple(r) for r in nd.likely(docs, "_id", wanted, "rep").collect()]
+    assert sorted((r for r in got if r[0] in want), key=str) == own and len(got) <= len(own) + 3
+    few = [tuple(r) for r in nd.likely(docs, "_id", wanted, "rep", 16).collect()]
+    assert sorted((r for r in few if r[0] in want), key=str) == own and len(got) < len(few) < len(rows)
+    assert nd.likely(docs, "_id", wanted.limit(0), "rep").count() == 0
+
+
+def test_ids_that_share_marks_change_no_component(spark, monkeypatch):
+    rows = list(enumerate(family(3, 20, 150, 3) + [words(50, 900 + i) for i in range(20)]))
+    monkeypatch.setattr(nd.likely, "__defaults__", (8,))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
