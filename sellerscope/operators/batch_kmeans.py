@@ -17,8 +17,9 @@ pass over the data:
 
 Data stays partitioned by Spark; numpy runs inside Arrow tasks.  The points are
 persisted as blocks of ``ROWS`` (ids and a matrix as bytes), so a pass hands them
-to numpy as they are, and a pass is two matrix products per ``CHUNK`` points for
-all runs: distances to all centres, and sums by the one-hot marks of the nearest.
+to numpy as they are, and a pass is two matrix products per ``CHUNK`` points and
+number of centres: distances to all centres, and sums by the one-hot marks of the
+nearest.  Squared distances are added up in the last pass only.
 The driver holds only centres (sum of k over runs, times p floats) per step.
 """
 
@@ -41,7 +42,7 @@ TOLERANCE = 1e-4
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS = 2048  # points per stored block
-CHUNK = 256  # points per matrix product: distances to a thousand centres stay in the processor's cache
+CHUNK = 512  # points per matrix product: the distances to the centres of ten runs of one size stay in the processor's cache
 #: Points that one task may hold (80 MB of nine columns); fewer where that gives every core a task.
 MOST = 1_000_000
 
@@ -123,31 +124,43 @@ def _blocks(it, p: int):
             yield np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(points.as_buffer(), float).reshape(-1, p)
 
 
-def _lloyd_sums(blocks, stack: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Per stacked centre of all runs: sums of its points, their number, their squared distances.
+def _lloyd_sums(blocks, stack: np.ndarray, at: np.ndarray, cost: bool = True) -> np.ndarray:
+    """Per stacked centre of all runs: sums of its points, their number, their squared distances (0 without ``cost``).
 
     Each point counts for the nearest centre of every run, the first of equally near ones; run j has the rows
-    ``at[j]:at[j + 1]`` of ``stack``.  Runs of one size that lie side by side are compared together."""
+    ``at[j]:at[j + 1]`` of ``stack``.  Runs of one size that lie side by side are compared together, in buffers that are
+    kept from chunk to chunk and fit the processor's cache."""
     total, p = np.zeros((len(stack), stack.shape[1] + 2)), stack.shape[1]
-    product = np.hstack([-2.0 * stack, (stack * stack).sum(1)[:, None]])
+    product = np.hstack([-2.0 * stack, (stack * stack).sum(1)[:, None], np.ones((len(stack), 1))])
     sizes = np.diff(at)
     ends = [j for j in range(1, len(sizes) + 1) if j == len(sizes) or sizes[j] != sizes[j - 1]]
     groups = [(int(at[i]), int(at[j]), j - i, int(sizes[i])) for i, j in zip([0] + ends, ends)]
+    most = max((e - a for a, e, _, _ in groups), default=0)
+    room = np.empty((3, most * CHUNK))
+    row = np.empty((CHUNK, p + 2))
     for _, points in blocks:
         for lo in range(0, len(points), CHUNK):
             x = points[lo:lo + CHUNK]
-            one = np.hstack([x, np.ones((len(x), 1))])
-            d = product @ one.T
-            d += (x * x).sum(1)
-            np.maximum(d, 0.0, out=d)
-            mark = np.empty_like(d)
+            n = len(x)
+            one = row[:n]
+            one[:, :p], one[:, p], one[:, p + 1] = x, 1.0, (x * x).sum(1)
             for a, e, runs, k in groups:
-                own, out = d[a:e].reshape(runs, k, -1), mark[a:e].reshape(runs, k, -1)
-                np.equal(own, own.min(1)[:, None, :], out=out, casting="unsafe")
-                if out.sum() > runs * len(x):  # equally near centres: the first takes the point
+                d, mark = (room[i, :(e - a) * n].reshape(e - a, n) for i in (0, 1))
+                near = room[2, :runs * n].reshape(runs, n)
+                np.matmul(product[a:e], one.T, out=d)
+                own, out = d.reshape(runs, k, n), mark.reshape(runs, k, n)
+                np.minimum.reduce(own, axis=1, out=near)
+                if near.min() < 0:  # rounding at a point that is a centre
+                    np.maximum(d, 0.0, out=d)
+                    np.maximum(near, 0.0, out=near)
+                np.equal(own, near[:, None, :], out=out, casting="unsafe")
+                sums = mark @ one[:, :p + 1]
+                if sums[:, p].sum() > runs * n:  # equally near centres: the first takes the point
                     out *= np.cumsum(out, axis=1) == 1
-            total[:, :p + 1] += mark @ one
-            total[:, p + 1] += np.einsum("kr,kr->k", mark, d)
+                    sums = mark @ one[:, :p + 1]
+                total[a:e, :p + 1] += sums
+                if cost:
+                    total[a:e, p + 1] += np.einsum("kr,kr->k", mark, d)
     return total
 
 
@@ -216,17 +229,17 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
         # ---- Lloyd iterations, all unconverged runs per pass ----
         part_schema = "run int, cluster int, n long, sse double, " + ", ".join(f"s{i} double" for i in range(p))
 
-        def partial_fn(stack):
+        def partial_fn(stack, cost):
             def f(it):
                 names, c, at = stack
-                total = _lloyd_sums(_blocks(it, p), c, at)
+                total = _lloyd_sums(_blocks(it, p), c, at, cost)
                 rows = [(r, i - at[j], int(total[i, p]), total[i, p + 1], *total[i, :p])
                         for j, r in enumerate(names) for i in range(at[j], at[j + 1])]
                 yield _table(rows, ["run", "cluster", "n", "sse"] + [f"s{i}" for i in range(p)], 3)
             return f
 
-        def run_pass(snap_c):
-            agg = (data.mapInArrow(partial_fn(_stacked(snap_c)), part_schema)
+        def run_pass(snap_c, cost=False):
+            agg = (data.mapInArrow(partial_fn(_stacked(snap_c), cost), part_schema)
                        .groupBy("run", "cluster")
                        .agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)])
                        .collect())
@@ -250,7 +263,7 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
                 centres[r] = new
                 if shift <= tol_abs:
                     converged.add(r)
-        final = run_pass({r: centres[r] for r in range(len(runs))})
+        final = run_pass({r: centres[r] for r in range(len(runs))}, cost=True)
         return {runs[r]: (centres[r] + mean, float(sum(v[1] for v in final.get(r, {}).values()))) for r in range(len(runs))}
     finally:
         data.unpersist()

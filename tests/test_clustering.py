@@ -162,3 +162,19 @@ def test_points_are_dealt_to_every_core(spark):
         assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and n == 5000
     finally:
         blocks.unpersist()
+
+
+def test_lloyd_passes_give_the_sums_of_the_cost_pass_without_costs():
+    from sellerscope.operators import batch_kmeans as bk
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(bk.CHUNK + 70, 3)), np.zeros((40, 3))])
+    runs = [x[:2], x[2:5], np.vstack([x[:1], x[:1], np.zeros((1, 3))])]  # two equal centres, and centres that are points
+    at = np.cumsum([0] + [len(r) for r in runs])
+    whole = bk._lloyd_sums([(None, x)], np.vstack(runs), at)
+    moved = bk._lloyd_sums([(None, x)], np.vstack(runs), at, cost=False)
+    assert np.array_equal(moved[:, :4], whole[:, :4]) and not moved[:, 4].any()
+    for j, r in enumerate(runs):
+        d = ((x[:, None, :] - r[None]) ** 2).sum(2)
+        lab = d.argmin(1)
+        assert np.array_equal(whole[at[j]:at[j + 1], 3], np.bincount(lab, minlength=len(r)))
+        assert np.allclose(whole[at[j]:at[j + 1], 4], np.bincount(lab, weights=d.min(1), minlength=len(r)), atol=1e-9)
