@@ -41,15 +41,17 @@ def column_sketches(df: DataFrame, period: str, columns=None, lg_k: int = LG_K,
     """``(period, column_name, rows, nulls, least, greatest, n, mean, m2, distinct_sketch, quantile_sketch, top_sketch)``."""
     columns = [c for c in df.columns if c != period] if columns is None else list(columns)
     numbers = set(numeric_columns(df, columns))
+    # texts and hashes are made here, in compiled code: the sketches evaluate their own arguments row by row without it
     facts = df.select(F.col(period).alias("_period"), *[as_text(df, c).alias(f"t{i}") for i, c in enumerate(columns)],
                       *[listed(as_text(df, c)).alias(f"v{i}") for i, c in enumerate(columns)],
+                      *[F.when(as_text(df, c).isNotNull(), F.xxhash64(as_text(df, c))).alias(f"h{i}") for i, c in enumerate(columns)],
                       *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}")
                         for i, c in enumerate(columns) if c in numbers])
     aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
     for i, c in enumerate(columns):
         text, x = F.col(f"t{i}"), F.col(f"x{i}")
         aggregates += [F.count(text).alias(f"filled{i}"), F.min(text).alias(f"least{i}"), F.max(text).alias(f"greatest{i}"),
-                       F.hll_sketch_agg(F.when(text.isNotNull(), F.xxhash64(text)), F.lit(lg_k)).alias(f"distinct{i}"),
+                       F.hll_sketch_agg(f"h{i}", F.lit(lg_k)).alias(f"distinct{i}"),
                        F.expr(f"approx_top_k_accumulate(v{i}, {int(tracked)})").alias(f"top{i}")]
         number = (F.lit(0).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("binary"))
         if c in numbers:

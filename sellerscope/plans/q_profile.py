@@ -265,7 +265,7 @@ def _stored_profile(c):
     """Sketches of the listings per month of publication, written once per data set; a second write replaces the months."""
     if getattr(c, "_profile_store", None) is None:
         path = c.path("profile-months")
-        months = c.listings.withColumn("month", F.date_format("published_on", "yyyy-MM"))
+        months = c.facts.withColumn("month", F.date_format("published_on", "yyyy-MM"))  # scanned once: nothing else needs the fixture
         sinks.append_snapshot(ps.column_sketches(months, "month", SOURCE_COLUMNS), path, "period")
         c._profile_store = path
     return c.spark.read.parquet(c._profile_store)
