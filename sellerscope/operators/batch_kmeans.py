@@ -84,13 +84,24 @@ def _points(scaled: DataFrame, cols, key: str | None):
     return blocks, mean, n, [stats[f"v{i}"] or 0.0 for i in range(p)]
 
 
-def _uniform(ids: np.ndarray, seed: int, run: int, step: int) -> np.ndarray:
-    """One number in (0, 1) per row id and (seed, run, step): a finaliser of the hash, no generator state."""
-    h = ids.astype(np.int64).view(np.uint64) ^ np.random.default_rng([seed, run, step]).integers(0, 2 ** 63, dtype=np.uint64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    h ^= h >> np.uint64(31)
-    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+def _salt(seed: int, run: int, step: int) -> np.uint64:
+    return np.random.default_rng([seed, run, step]).integers(0, 2 ** 63, dtype=np.uint64)
+
+
+def _uniform(ids: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """One number in (0, 1) per salt, of (seed, run, step), and row id: a finaliser of the hash, no generator state."""
+    h = ids.view(np.uint64)[None, :] ^ salts[:, None]
+    part = np.empty_like(h)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        np.right_shift(h, np.uint64(shift), out=part)
+        h ^= part
+        if factor > 1:
+            h *= np.uint64(factor)
+    h >>= np.uint64(11)
+    u = h.astype(float)
+    u += 0.5
+    u /= 2.0 ** 53
+    return u
 
 
 def _stacked(centres: dict):
@@ -164,6 +175,42 @@ def _lloyd_sums(blocks, stack: np.ndarray, at: np.ndarray, cost: bool = True) ->
     return total
 
 
+def _draws(blocks, stack: np.ndarray, at: np.ndarray, salts: np.ndarray) -> dict:
+    """Per run (place in ``at``) the largest key ``log(u) / D2`` and its point; a run without a point off its centres is left out.
+
+    ``at`` and ``salts`` as in ``_stacked`` and ``_uniform``; a run without centres draws all points alike.  The distances of
+    a chunk to the centres of all runs stay in the processor's cache."""
+    best, squares, runs = {}, (stack * stack).sum(1)[:, None], np.arange(len(salts))
+    for ids, points in blocks:
+        for lo in range(0, len(points), CHUNK):
+            x = points[lo:lo + CHUNK]
+            d2 = np.ones((len(salts), len(x)))
+            if len(stack):
+                d = (-2.0 * stack) @ x.T
+                d += (x * x).sum(1)[None, :]
+                d += squares
+                for j in runs:
+                    if at[j + 1] > at[j]:
+                        np.minimum.reduce(d[at[j]:at[j + 1]], axis=0, out=d2[j])
+            draw = _uniform(ids[lo:lo + CHUNK], salts)
+            np.log(draw, out=draw)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                draw /= d2
+            draw[~(d2 > 0)] = -np.inf
+            i = draw.argmax(1)
+            for j, key in zip(runs, draw[runs, i]):
+                if np.isfinite(key) and (j not in best or key > best[j][0]):
+                    best[j] = (float(key), x[i[j]])
+    return best
+
+
+def _merged(parts: DataFrame, tasks: int, keys, *sums) -> DataFrame:
+    """The partial rows of all tasks, one per key and task, brought together: ``tasks`` buckets of them.
+
+    They are few, so the session's number of shuffle partitions (a file each per task and pass) isn't asked for them."""
+    return parts.repartition(tasks, *keys).groupBy(*keys).agg(*sums)
+
+
 def _table(rows, names, whole: int) -> pa.RecordBatch:
     """Rows as an Arrow batch: the first ``whole`` columns whole numbers (int; long for ``n``), the others doubles."""
     kinds = [pa.int64() if c == "n" else pa.int32() if i < whole else pa.float64() for i, c in enumerate(names)]
@@ -187,6 +234,7 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
     cols = list(columns)
     p = len(cols)
     data, mean, n, variances = _points(scaled, cols, key)
+    tasks = scaled.sparkSession.sparkContext.defaultParallelism
     try:
         if n == 0:
             raise ValueError("no rows to cluster")
@@ -201,24 +249,13 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
             if not active:
                 break
 
-            def pick(it, stack=_stacked({r: centres[r] for r in active}), step=step):
-                best = {}
+            def pick(it, stack=_stacked({r: centres[r] for r in active}), salts=np.array([_salt(seed, r, step) for r in active])):
                 names, c, at = stack
-                for ids, x in _blocks(it, p):
-                    d = np.ascontiguousarray(_distances(x, c).T) if len(c) else None
-                    for j, r in enumerate(names):
-                        d2 = d[at[j]:at[j + 1]].min(0) if at[j + 1] > at[j] else np.ones(len(x))
-                        u = _uniform(ids, seed, r, step)
-                        with np.errstate(divide="ignore"):
-                            draw = np.where(d2 > 0, np.log(u) / d2, -np.inf)
-                        i = int(np.argmax(draw))
-                        if np.isfinite(draw[i]) and (r not in best or draw[i] > best[r][0]):
-                            best[r] = (float(draw[i]), x[i])
-                rows = [(r, k_, *v.tolist()) for r, (k_, v) in best.items()]
+                rows = [(names[j], key, *x.tolist()) for j, (key, x) in _draws(_blocks(it, p), c, at, salts).items()]
                 yield _table(rows, ["run", "key"] + [f"x{i}" for i in range(p)], 1)
 
-            cands = data.mapInArrow(pick, cand_schema).groupBy("run").agg(
-                F.max_by(F.struct(*[f"x{i}" for i in range(p)]), F.struct("key", *[f"x{i}" for i in range(p)])).alias("c")).collect()
+            cands = _merged(data.mapInArrow(pick, cand_schema), tasks, ["run"],
+                            F.max_by(F.struct(*[f"x{i}" for i in range(p)]), F.struct("key", *[f"x{i}" for i in range(p)])).alias("c")).collect()
             got = {row["run"]: np.array([row["c"][f"x{i}"] for i in range(p)]) for row in cands}
             for r in active:
                 if r in got:
@@ -239,10 +276,8 @@ def fit_many(scaled: DataFrame, runs: list[tuple[int, int]], columns=FEATURES, *
             return f
 
         def run_pass(snap_c, cost=False):
-            agg = (data.mapInArrow(partial_fn(_stacked(snap_c), cost), part_schema)
-                       .groupBy("run", "cluster")
-                       .agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)])
-                       .collect())
+            agg = _merged(data.mapInArrow(partial_fn(_stacked(snap_c), cost), part_schema), tasks, ["run", "cluster"],
+                          F.sum("n").alias("n"), F.sum("sse").alias("sse"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)]).collect()
             out = {}
             for row in agg:
                 out.setdefault(row["run"], {})[row["cluster"]] = (row["n"], row["sse"], np.array([row[f"s{i}"] for i in range(p)]))

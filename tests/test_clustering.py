@@ -178,3 +178,30 @@ def test_lloyd_passes_give_the_sums_of_the_cost_pass_without_costs():
         lab = d.argmin(1)
         assert np.array_equal(whole[at[j]:at[j + 1], 3], np.bincount(lab, minlength=len(r)))
         assert np.allclose(whole[at[j]:at[j + 1], 4], np.bincount(lab, weights=d.min(1), minlength=len(r)), atol=1e-9)
+
+
+def test_draws_of_all_runs_equal_brute_force():
+    from sellerscope.operators import batch_kmeans as bk
+    rng = np.random.default_rng(8)
+    x, ids = np.vstack([rng.normal(size=(bk.CHUNK + 90, 3)), np.zeros((20, 3))]), rng.integers(-2 ** 63, 2 ** 63 - 1, bk.CHUNK + 110)
+    runs = [x[:2], np.zeros((0, 3)), x[4:7], np.zeros((1, 3))]  # one run has no centre yet, one a centre that is a point many times
+    at, salts = np.cumsum([0] + [len(r) for r in runs]), np.array([bk._salt(42, r, 2) for r in range(4)])
+    got = bk._draws([(ids[:300], x[:300]), (ids[300:], x[300:])], np.vstack(runs), at, salts)
+    for j, c in enumerate(runs):
+        d2 = ((x[:, None, :] - c[None]) ** 2).sum(2).min(1) if len(c) else np.ones(len(x))
+        keys = np.where(d2 > 1e-12, np.log(bk._uniform(ids, salts[j:j + 1])[0]) / np.maximum(d2, 1e-300), -np.inf)
+        assert np.array_equal(got[j][1], x[keys.argmax()]) and math.isclose(got[j][0], keys.max(), rel_tol=1e-9)
+    assert bk._draws([(ids[-20:], x[-20:])], runs[3], np.array([0, 1]), salts[:1]) == {}  # every point is the centre
+
+
+def test_a_pass_asks_for_few_buckets(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    df, plans, real, was = _points(spark, 6), [], DataFrame.collect, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(DataFrame, "collect", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or real(d))
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        fit_many(df, [(2, 0), (3, 0)], COLS)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    passes = [p for p in plans if "hashpartitioning(run#" in p]
+    assert len(passes) > 4 and not any(", 61)" in p for p in passes)  # 61 files per task and pass before
