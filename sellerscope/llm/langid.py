@@ -26,8 +26,10 @@ SAMPLE_PER_LANG, SAMPLE_ROWS = 800, 4000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.002, 0.002
 PIECE = 1 << 20
 #: Texts of so many grams (about 200 letters) and more are rejected below SLACK times the least score that any such text of
-#: the sample's held rows gets; shorter ones are never rejected for their score.
+#: the sample's held rows gets; shorter ones below SLACK times the least that a beginning of their size of a held row gets.
 LONG, SLACK = 600, 0.9
+#: Signs of those beginnings: 1 to about 600 grams, at least one for each power of two.
+STARTS = (1, 2, 3, 5, 8, 16, 32, 64, 128, 190)
 UNKNOWN = "und"
 
 
@@ -109,11 +111,13 @@ def labelled_sample(rows: DataFrame) -> list:
                 counts = gram_counts(t, letters) if t else None
                 if counts is not None:
                     at = np.flatnonzero(counts)
-                    out.append((lang, hh, at.astype(np.uint16).tobytes(), counts[at].astype(np.int64).tobytes()))
-            cols = list(zip(*out)) if out else [(), (), (), ()]
+                    out.append((lang, hh, at.astype(np.uint16).tobytes(), counts[at].astype(np.int64).tobytes(), t[:STARTS[-1]]))
+            cols = list(zip(*out)) if out else [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()),
-                                              pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["lang", "h", "at", "n"])
-    return some.mapInArrow(features, "lang string, h long, at binary, n binary").orderBy("h", "lang", "at", "n").limit(SAMPLE_ROWS).collect()
+                                              pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.string())],
+                                             ["lang", "h", "at", "n", "start"])
+    return (some.mapInArrow(features, "lang string, h long, at binary, n binary, start string")
+            .orderBy("h", "lang", "at", "n", "start").limit(SAMPLE_ROWS).collect())
 
 
 def ftrl(examples, classes: int, epochs: int = EPOCHS):
@@ -163,7 +167,8 @@ def temperature(scores, y) -> float:
 
 
 class Model(SimpleNamespace):
-    """langs, idf, weights, bias, temp, floor (the least score that a long text of a learnt language can be expected to get)."""
+    """langs, idf, weights, bias, temp, floor (the least score that a long text of a learnt language can be expected to get),
+    short (the same of shorter texts: place k is for those whose number of grams has k bits)."""
 
 
 def fit_languages(rows: DataFrame) -> Model:
@@ -184,14 +189,46 @@ def fit_languages(rows: DataFrame) -> Model:
     w, b = ftrl(learn or examples, max(1, len(langs)))
     scores = np.array([x @ w[at] + b for at, x, _ in held]).reshape(len(held), max(1, len(langs)))
     temp = temperature(scores, np.array([y for _, _, y in held], int))
-    sure = [certainty(s, temp) for s, n in zip(scores, sizes[::5]) if n >= LONG]
-    return Model(langs=langs, idf=idf, weights=w, bias=b, temp=temp, floor=SLACK * min(sure, default=0.0))
+    m = Model(langs=langs, idf=idf, weights=w, bias=b, temp=temp)
+    m.floor = SLACK * min((identified(s, m)[1] for s, n in zip(scores, sizes[::5]) if n >= LONG), default=0.0)
+    m.short = short_limits([r.start for r in sample[::5]], m)
+    return m
 
 
-def certainty(scores, temp: float) -> float:
-    """The probability of the likeliest language."""
-    s = scores / temp
-    return float(1.0 / np.exp(s - s.max()).sum())
+def short_limits(starts, m) -> list:
+    """The least scores of texts below LONG grams by the bits of that number, from the beginnings of held texts.
+
+    No size is held to more than a longer one.  A size that no beginning has: 0, so nothing is rejected."""
+    letters, least = letter_table(), np.full(LONG.bit_length() + 1, np.inf)
+    for text in starts:
+        for n in STARTS:
+            counts = gram_counts(text[:n], letters)
+            size = 0 if counts is None else int(counts.sum())
+            if 0 < size < LONG:
+                least[size.bit_length()] = min(least[size.bit_length()], language(counts, m)[1])
+    upto = np.minimum.accumulate(np.append(SLACK * least, m.floor or np.inf)[::-1])[::-1][:-1]
+    return np.where(np.isinf(least), 0.0, upto).tolist()
+
+
+def identified(scores, m) -> tuple[str, float]:
+    """(the likeliest language, its probability) of a text's scores."""
+    s = scores / m.temp
+    p = np.exp(s - s.max())
+    return m.langs[int(p.argmax())], float(p.max() / p.sum())
+
+
+def language(counts, m) -> tuple[str, float]:
+    """The same of a text's grams; `und` and 0 where there is no letter or no learnt language."""
+    if counts is None or not m.langs:
+        return UNKNOWN, 0.0
+    at, x = unit_features(counts, m.idf)
+    return identified(x @ m.weights[at] + m.bias, m)
+
+
+def least_score(counts, m) -> float:
+    """The score below which a text of so many grams is taken for none of a learnt language."""
+    size = int(counts.sum())
+    return m.floor if size >= LONG else m.short[size.bit_length()]
 
 
 def predict_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,16 +241,9 @@ def predict_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", tex
         for b in batches:
             pred, score = [], []
             for t in b.column(1).to_pylist():
-                counts = gram_counts(t, letters) if t and m.langs else None
-                if counts is None:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                at, x = unit_features(counts, m.idf)
-                s = (x @ m.weights[at] + m.bias) / m.temp
-                p = np.exp(s - s.max())
-                pred.append(m.langs[int(p.argmax())])
-                score.append(float(p.max() / p.sum()))
+                lang, p = language(gram_counts(t, letters) if t and m.langs else None, m)
+                pred.append(lang)
+                score.append(p)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
@@ -238,14 +268,14 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float | None = None) -> DataFrame:
     """The rows (with columns doc_id, text, lang) whose language is identified; columns unchanged.
 
-    Rejected are rows without a letter (null and empty text too), and long texts with a score below ``min_score``:
-    unless given, nine tenths of the least score that a long text among the sample's held rows gets, so texts of
-    letters in no learnt language go, and clean texts and short ones stay.  Very long texts are judged whole.  Repeated
-    rows are judged alike.  No labelled row: all go.  Empty table: no rows.  Scores travel with the text: nothing is
-    joined or shuffled.
+    The language of every text with a letter is identified.  Rejected are rows without a letter (null and empty text
+    too), and texts with a score below ``min_score``: unless given, nine tenths of the least score that a text of their
+    size gets, a long one among the sample's held rows or a beginning of one of these.  So texts of letters in no learnt
+    language go and clean texts stay; the shorter a text, the less its score must be.  Very long texts are judged whole.
+    Repeated rows are judged alike.  No labelled row: all go.  Empty table: no rows.  Scores travel with the text:
+    nothing is joined or shuffled.
     """
     model = fit_languages(training_rows(docs))
-    least = model.floor if min_score is None else min_score
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     at = docs.columns.index("text")
 
@@ -256,10 +286,7 @@ def keep_identified(docs: DataFrame, min_score: float | None = None) -> DataFram
             ok = []
             for t in b.column(at).to_pylist():
                 counts = gram_counts(t, letters) if t and m.langs else None
-                if counts is None:
-                    ok.append(False)
-                    continue
-                i, x = unit_features(counts, m.idf)
-                ok.append(bool(counts.sum() < LONG or certainty(x @ m.weights[i] + m.bias, m.temp) >= least))
+                _, score = language(counts, m)
+                ok.append(counts is not None and score >= (least_score(counts, m) if min_score is None else min_score))
             yield b.filter(pa.array(ok, pa.bool_()))
     return docs.mapInArrow(keep, docs.schema)

@@ -96,6 +96,28 @@ def test_long_texts_of_no_learnt_language_go_and_clean_ones_stay(spark, docs):
     assert {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} <= kept
 
 
+def test_short_texts_are_scored_and_held_to_a_limit_of_their_size(spark, docs):
+    letters = ("бвгджзиклмнпрстфхцчшщ", "ぁあいうえおかきくけこさしすせそ")
+    junk = [(10 ** 6 + i, strange(16, letters[i % 2], i), None, "x", 1) for i in range(10)]  # under LONG grams: kept unscored before
+    clean = [(2 * 10 ** 6 + i, r.text[:n], None, "x", 1) for i, (r, n) in enumerate((r, n) for r in docs.orderBy("doc_id").limit(8).collect() for n in (60, 150))]
+    clean = [x for x in clean if any(c.isalpha() for c in x[1])]
+    assert all(langid.gram_counts(x[1], langid.letter_table()).sum() < langid.LONG for x in junk + clean)
+    both = docs.unionByName(spark.createDataFrame(junk + clean, docs.schema))
+    kept = {r.doc_id for r in langid.keep_identified(both).collect()}
+    assert not kept & {x[0] for x in junk} and {x[0] for x in clean} <= kept
+    assert {r.doc_id for r in langid.keep_identified(both, min_score=1.1).collect()} == set()
+
+
+def test_limits_of_short_texts_follow_the_size(docs):
+    model = langid.fit_languages(langid.training_rows(docs))
+    assert len(model.short) == langid.LONG.bit_length() + 1 and model.short == sorted(model.short)
+    assert 0 < model.short[5] <= model.short[-1] <= model.floor
+    assert langid.short_limits([], model) == [0.0] * len(model.short)
+    counts = langid.gram_counts("the name of the rose", langid.letter_table())
+    assert langid.language(counts, model)[0] in model.langs and langid.language(None, model) == ("und", 0.0)
+    assert langid.least_score(counts, model) == model.short[int(counts.sum()).bit_length()]
+
+
 def test_ftrl_is_sparse_and_separates():
     r = np.random.default_rng(0)
     ex = []
