@@ -36,8 +36,11 @@ STEP = 4
 #: Text of a shard file, and of a shard whose suffixes are sorted at once.
 FILE_BYTES, SHARD_BYTES = 8 << 20, 256 << 10
 CHUNK = 1 << 16
-#: Anchors of more occurrences have their strings dealt out one by one, by their own hash.
+#: Anchors of more occurrences have their strings dealt out one by one, by their own hash, about so many together.
 HOT = 4096
+#: Segment bytes of a bucket that are unpacked at once, and those whose transforms are merged at once: whole anchors, so
+#: that memory doesn't grow with the bucket.
+PART_BYTES, MERGE_BYTES = 16 << 20, 1 << 20
 #: Buckets per shuffle partition.
 SPREAD = 4
 _LOW = np.uint64((1 << 24) - 1)
@@ -170,7 +173,7 @@ def repeated_anchors(table):
     all_ = np.concatenate(blobs)
     key, back = np.unique(all_ >> np.uint64(4), return_inverse=True)
     times = np.bincount(back.reshape(-1), weights=np.exp2((all_ & np.uint64(15)).astype(float)))
-    parts = np.minimum(15, np.ceil(np.log2(np.maximum(1, times / HOT)))).astype(np.uint64)
+    parts = np.where(times > HOT, np.minimum(15, np.ceil(np.log2(np.maximum(1, times / HOT * WIDE)))), 0).astype(np.uint64)
     many, tag = times > 1, key << np.uint64(4) | parts
     out, at = [], 0
     for shard, x in zip(table.column("shard").to_pylist(), blobs):
@@ -180,6 +183,12 @@ def repeated_anchors(table):
     return pa.table({"shard": pa.array([s for s, _ in out]), "repeated": pa.array([x for _, x in out], pa.binary())})
 
 
+def row_by_row(batch):
+    """The rows of a batch of two columns; only one row's lists are Python objects at a time."""
+    for i in range(batch.num_rows):
+        yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+
+
 def segment_rows(repeated: DataFrame, buckets: int) -> DataFrame:
     """(bucket, shard, blob) of the segments around repeated anchors: each distinct segment of a shard once.
 
@@ -190,7 +199,7 @@ def segment_rows(repeated: DataFrame, buckets: int) -> DataFrame:
         import zstandard
         pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for shard, blobs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for shard, blobs in row_by_row(b):
                 tags = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in blobs] or [np.zeros(0, np.uint64)]))
                 if not len(tags):
                     continue
@@ -205,7 +214,11 @@ def segment_rows(repeated: DataFrame, buckets: int) -> DataFrame:
                     for f, n in [(f, n)] if not p else [(f + j, 1) for j in range(n)]:
                         s = raw[f:f + n + SPAN - 1]
                         if (s, k) in seen:
-                            gone.append((d, f - int(offsets[d]), f - int(offsets[d]) + n + SPAN - 1))
+                            at = f - int(offsets[d])
+                            if gone and gone[-1][0] == d and at <= gone[-1][2]:  # goes on where the last range ends
+                                gone[-1] = (d, gone[-1][1], at + n + SPAN - 1)
+                            else:
+                                gone.append((d, at, at + n + SPAN - 1))
                         else:
                             seen[(s, k)] = None
                             sub = int.from_bytes(hashlib.blake2b(s, digest_size=4).digest(), "little") % (1 << p) if p else 0
@@ -337,50 +350,76 @@ def repeated_strings(segments: list, counts, place) -> np.ndarray:
     return out
 
 
-def bucket_ranges(table):
-    """(shard, removed ranges) of one bucket; rows of bucket -1 are ranges already."""
-    import pyarrow as pa
+def merged_ranges(kept: list, gone: dict):
+    """Appends the ranges of all strings but the first of the corpus of some anchors' segments (text, place) to ``gone``."""
+    kept.sort(key=lambda x: x[1])
+    rank = {d: r for r, d in enumerate(sorted({w[:3] for _, w in kept}))}
+    counts = np.array([w[4] for _, w in kept], np.int64)
+    again = repeated_strings([s for s, _ in kept], counts, np.array([(rank[w[:3]] << 40) + w[3] for _, w in kept], np.int64))
+    edge = np.diff(np.concatenate([[False], again, [False]]).astype(np.int8))
+    seg_at = np.concatenate([[0], np.cumsum(counts)])
+    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    for a, b in zip(lo.tolist(), hi.tolist()):
+        while a < b:  # a stretch may go on into the next segment
+            x = int(np.searchsorted(seg_at, a, "right")) - 1
+            e = min(b, int(seg_at[x + 1]))
+            _, (i, no, d, f, c, shard) = kept[x]
+            gone.setdefault(shard, []).append((d, f + a - int(seg_at[x]), f + e - int(seg_at[x]) - 1 + SPAN))
+            a = e
+
+
+def part_ranges(rows: list, part: int, parts: int) -> dict:
+    """shard -> removed ranges of the anchors of one part of a bucket's (shard, blob) rows."""
     import zstandard
-    shards, blobs = table.column("shard").to_pylist(), table.column("blob").to_pylist()
-    if table.column("bucket")[0].as_py() < 0:
-        return pa.table({"shard": pa.array(shards), "ranges": pa.array(blobs, pa.binary())})
-    unzip, gone = zstandard.ZstdDecompressor(), {s: [] for s in shards}
-    found = {}
-    for no, (shard, blob) in enumerate(sorted(zip(shards, blobs))):
+    unzip, gone, found = zstandard.ZstdDecompressor(), {}, {}
+    for no, (shard, blob) in enumerate(rows):
         raw = unzip.decompress(blob)
         n, at = struct.unpack_from("<q", raw)[0], 8
         cols = []
         for kind in (np.uint64, np.int32, np.int64, np.int64, np.int32):
-            cols.append(np.frombuffer(raw, kind, n, at).tolist())
+            cols.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
-        for k, d, i, f, c in zip(*cols):
-            found.setdefault((k, raw[at:at + c + SPAN - 1]), []).append((i, no, d, f, c, shard))
-            at += c + SPAN - 1
+        cols.append(at + np.cumsum(cols[4] + (SPAN - 1), dtype=np.int64))
+        mine = np.flatnonzero(mix(cols[0]) % np.uint64(parts) == part)
+        for k, d, i, f, c, end in zip(*(x[mine].tolist() for x in cols)):
+            found.setdefault((k, raw[end - c - SPAN + 1:end]), []).append((i, no, d, f, c, shard))
     by_anchor = {}
     for (k, s), where in found.items():
         where.sort()
         for i, no, d, f, c, shard in where[1:]:
-            gone[shard].append((d, f, f + c + SPAN - 1))
+            gone.setdefault(shard, []).append((d, f, f + c + SPAN - 1))
         by_anchor.setdefault(k, []).append((s, where[0]))
-    # an anchor with one distinct segment has no two equal strings: its place in a string is part of the string
-    kept = sorted((x for group in by_anchor.values() if len(group) > 1 for x in group), key=lambda x: x[1])
+    del found
+    kept, size = [], 0
+    for group in by_anchor.values():
+        # an anchor with one distinct segment has no two equal strings: its place in a string is part of the string;
+        # neither has one whose segments, all distinct, are single strings, as those of a hot anchor are
+        if len(group) > 1 and any(w[4] > 1 for _, w in group):
+            kept += group
+            size += sum(len(s) for s, _ in group)
+            if size >= MERGE_BYTES:
+                merged_ranges(kept, gone)
+                kept, size = [], 0
     if kept:
-        docs = sorted({w[:3] for _, w in kept})
-        rank = {d: r for r, d in enumerate(docs)}
-        counts = np.array([w[4] for _, w in kept], np.int64)
-        again = repeated_strings([s for s, _ in kept], counts, np.array([(rank[w[:3]] << 40) + w[3] for _, w in kept], np.int64))
-        edge = np.diff(np.concatenate([[False], again, [False]]).astype(np.int8))
-        seg_at = np.concatenate([[0], np.cumsum(counts)])
-        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        for a, b in zip(lo.tolist(), hi.tolist()):
-            while a < b:  # a stretch may go on into the next segment
-                x = int(np.searchsorted(seg_at, a, "right")) - 1
-                e = min(b, int(seg_at[x + 1]))
-                _, (i, no, d, f, c, shard) = kept[x]
-                gone[shard].append((d, f + a - int(seg_at[x]), f + e - int(seg_at[x]) - 1 + SPAN))
-                a = e
-    some = [(s, np.array(x, np.int64).tobytes()) for s, x in gone.items() if x]
-    return pa.table({"shard": pa.array([s for s, _ in some], pa.string()), "ranges": pa.array([x for _, x in some], pa.binary())})
+        merged_ranges(kept, gone)
+    return gone
+
+
+def bucket_ranges(table):
+    """(shard, removed ranges) of one bucket; rows of bucket -1 are ranges already.
+
+    A large bucket is worked through in parts of its anchors: equal strings have equal ones."""
+    import pyarrow as pa
+    import zstandard
+    shards, blobs = table.column("shard").to_pylist(), table.column("blob").to_pylist()
+    if table.column("bucket")[0].as_py() < 0:
+        return pa.table({"shard": pa.array(shards), "ranges": pa.array(blobs, pa.binary())})
+    rows, out = sorted(zip(shards, blobs)), {}
+    parts = 1 + sum(zstandard.frame_content_size(x) for x in blobs) // PART_BYTES
+    for part in range(parts):
+        for shard, ranges in part_ranges(rows, part, parts).items():
+            out.setdefault(shard, []).append(np.array(ranges, np.int64).tobytes())
+    return pa.table({"shard": pa.array(list(out), pa.string()), "ranges": pa.array([b"".join(x) for x in out.values()], pa.binary())})
 
 
 def cleaned_rows(ranges: DataFrame, with_text: bool = False) -> DataFrame:
@@ -388,7 +427,7 @@ def cleaned_rows(ranges: DataFrame, with_text: bool = False) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            for shard, blobs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for shard, blobs in row_by_row(b):
                 ids, data, offsets = load_shard(shard)
                 gone = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in blobs] or [np.zeros((0, 3), np.int64)])
                 gone = gone[np.lexsort((gone[:, 1], gone[:, 0]))]

@@ -84,3 +84,47 @@ def test_removed_text_is_returned_on_demand(spark):
     t = words(60, 4)
     got = {r.doc_id: bytes(r.kept) for r in sd.remove_repeats(spark.createDataFrame([(1, t), (2, "before " + t + " after")], "doc_id long, text string"), with_text=True).collect()}
     assert got == {1: t.encode(), 2: b"before  after"}
+
+
+def bucket(rows):
+    """A bucket's rows as segment_rows makes them, of (shard, [(anchor, document, id, place, count, text)])."""
+    import struct
+
+    import pyarrow as pa
+    import zstandard
+    out = []
+    for shard, part in rows:
+        cols = [np.array([x[c] for x in part], kind).tobytes() for c, kind in ((0, np.uint64), (1, np.int32), (2, np.int64), (3, np.int64), (4, np.int32))]
+        out.append((7, shard, zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(part)) + b"".join(cols) + b"".join(x[5] for x in part))))
+    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "shard": [x[1] for x in out], "blob": pa.array([x[2] for x in out], pa.binary())})
+
+
+def removed(table):
+    return {(s, *r) for s, x in zip(table.column("shard").to_pylist(), table.column("ranges").to_pylist()) for a in [np.frombuffer(x, np.int64).reshape(-1, 3)]
+            for d, lo, hi in a.tolist() for r in [(d, p) for p in range(lo, hi)]}
+
+
+def test_large_buckets_are_merged_in_parts_of_whole_anchors(monkeypatch):
+    r, rows = random.Random(3), []
+    family = [bytes(r.choice(b"abcd") for _ in range(300)) for _ in range(40)]
+    for no in range(3):
+        part = []
+        for i in range(120):
+            k, at = r.randrange(40), r.randrange(130)
+            n = r.randint(1, 69)
+            part.append((k, i, no * 1000 + i, r.randrange(5), n, family[k][at:at + n + 99]))
+        rows.append((f"s{no}", part))
+    whole, sizes = removed(sd.bucket_ranges(bucket(rows))), []
+    plain = sd.repeated_strings
+    monkeypatch.setattr(sd, "repeated_strings", lambda segments, *a: sizes.append(sum(map(len, segments))) or plain(segments, *a))
+    monkeypatch.setattr(sd, "PART_BYTES", 10_000)
+    monkeypatch.setattr(sd, "MERGE_BYTES", 2_000)
+    assert removed(sd.bucket_ranges(bucket(rows))) == whole and whole
+    assert len(sizes) > 5 and max(sizes) < 2_000 + 12 * 168  # one merge of the whole bucket before
+
+
+def test_single_strings_of_a_hot_anchor_are_not_merged(monkeypatch):
+    texts = [bytes([97 + i % 26, 97 + i // 26]) * 50 for i in range(60)]
+    rows = [("s0", [(5, i, i, 0, 1, t) for i, t in enumerate(texts)]), ("s1", [(5, i, 100 + i, 3, 1, t) for i, t in enumerate(texts[:7])])]
+    monkeypatch.setattr(sd, "repeated_strings", lambda *a: pytest.fail("distinct strings were merged"))
+    assert removed(sd.bucket_ranges(bucket(rows))) == {("s1", i, p) for i in range(7) for p in range(3, 103)}
