@@ -1,11 +1,14 @@
 """Seller features of a stream: late and repeated rows, a restart, replayed batches, compaction."""
 import datetime as dt
+import os
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sellerscope.operators.features import FEATURES, seller_features
+from sellerscope.session import own_session
 from sellerscope.streaming import features as sf
 
 COLUMNS = ("url string, seller_nickname string, category_id string, snapshot_on date, price double, regular_price double, stock long, "
@@ -110,6 +113,42 @@ def test_ids_that_differ_in_where_they_are_null_are_two_listings(spark, folders)
     assert sf.read_features(spark, path).first()["num_publicaciones"] == 2
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def left(spark, before):
+    """New shuffle files, once those being removed are gone."""
+    for _ in range(50):
+        new = shuffle_files(spark) - before
+        if not new:
+            break
+        time.sleep(0.1)
+    return new
+
+
+def test_shuffle_files_of_committed_batches_and_compactions_go(spark, folders):
+    src, path, checkpoint = folders
+    rows = [row(i, i % 9) for i in range(60)]
+    for n in range(3):
+        feed(spark, rows[20 * n:20 * n + 20], src, f"part{n}")
+    own, before = sf.state_session(spark), shuffle_files(spark)
+    run(own, src, path, checkpoint)
+    assert not left(spark, before)  # stayed until a garbage collection before
+    assert sf.compact(own, path) is not None and not left(spark, before)
+    sf.drop_checkpoint(own, checkpoint)
+    assert not os.path.exists(checkpoint)
+    assert rows_of(sf.read_features(spark, path)) == rows_of(seller_features(spark.createDataFrame(rows, COLUMNS)))
+
+
+def test_a_session_of_its_own_leaves_no_shuffle_files_and_the_caller_as_it_was(spark, folders):
+    before, conf = shuffle_files(spark), spark.conf.getAll
+    own_session(spark).range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(folders[1])
+    assert not left(spark, before) and spark.conf.getAll == conf
+    assert spark.read.parquet(folders[1]).agg(F.sum("count")).first()[0] == 1000
+
+
 def test_compaction_merges_once_and_reads_plainly(spark, folders):
     _, path, _ = folders
     for i, n in enumerate((4, 9, 12)):
